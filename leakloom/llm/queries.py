@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from leakloom.llm.decontam import OP1_SQL, op1_benchmark_hits
 from leakloom.llm.flac import op4_flac_media
+from leakloom.llm.minhash import op5_minhash_components
 from leakloom.llm.packing import op3_best_fit_packing
 from leakloom.llm.secrets import op6_markov_secrets
 from leakloom.llm.sharding import op10_feistel_sharding
 from leakloom.llm.tokens import op2_token_counts
 
-QUERIES = {q.__name__: q for q in (op1_benchmark_hits, op2_token_counts, op3_best_fit_packing, op4_flac_media, op6_markov_secrets, op10_feistel_sharding)}
+QUERIES = {q.__name__: q for q in (op1_benchmark_hits, op2_token_counts, op3_best_fit_packing, op4_flac_media, op5_minhash_components, op6_markov_secrets, op10_feistel_sharding)}
 SQL = {"op1_benchmark_hits": OP1_SQL}
