@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -74,3 +75,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this application has written."""
     fs, target = _hadoop(spark, path)
     fs.delete(target, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished jobs now: it does so once their plans are garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
