@@ -8,7 +8,8 @@ from leakloom.llm.minhash import op5_minhash_components
 from leakloom.llm.packing import op3_best_fit_packing
 from leakloom.llm.secrets import op6_markov_secrets
 from leakloom.llm.sharding import op10_feistel_sharding
+from leakloom.llm.substrings import OP7_SQL, op7_substring_dedup
 from leakloom.llm.tokens import op2_token_counts
 
-QUERIES = {q.__name__: q for q in (op1_benchmark_hits, op2_token_counts, op3_best_fit_packing, op4_flac_media, op5_minhash_components, op6_markov_secrets, op10_feistel_sharding)}
-SQL = {"op1_benchmark_hits": OP1_SQL}
+QUERIES = {q.__name__: q for q in (op1_benchmark_hits, op2_token_counts, op3_best_fit_packing, op4_flac_media, op5_minhash_components, op6_markov_secrets, op7_substring_dedup, op10_feistel_sharding)}
+SQL = {"op1_benchmark_hits": OP1_SQL, "op7_substring_dedup": OP7_SQL}
