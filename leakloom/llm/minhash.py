@@ -5,8 +5,8 @@ minimum, and empty bins borrow from full ones by optimal densification. Bands of
 Documents with equal shingle sets are one node. A bucket gives star-shaped candidate edges from its
 first node only; every edge is confirmed on the full sets. Buckets whose nodes are then still in
 different components go on: nodes with so many shingles of their own that no other can be similar
-enough leave, small buckets compare what is left across components, and larger ones take their
-next node as hub, round by round, until none is open. So no link between nodes that share a bucket
+enough leave, small buckets compare what is left across components, and larger ones take further
+nodes as hubs, round by round, until none is open. So no link between nodes that share a bucket
 is lost, and pairs never grow with the square of a bucket.
 """
 
@@ -27,8 +27,9 @@ from leakloom.session import materialize, ship_package
 SHINGLE, SIMILARITY = 5, 0.85
 #: Bins (2 ** BITS), bands of BAND bins: a pair at 0.85 misses all 42 buckets with probability 2e-9.
 BITS, BAND = 8, 6
-#: Open buckets up to this many nodes compare all that is left in them at once.
-SMALL = 32
+#: Open buckets up to this many nodes compare all that is left in them at once; larger ones take
+#: about so many hubs in a round, and twice as many in each further one.
+SMALL = 64
 
 
 def sets_of(w: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -170,16 +171,18 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     comps = components(links)
     left = materialize(_open(members.filter("node <> hub").select("bucket", "node"), comps), "open")
     left = materialize(_open(_not_alone(left, sets, similarity).select("bucket", "node"), comps), "open")
+    turn = 0
     while not left.isEmpty():
-        small, large = left.filter(F.col("size") <= SMALL), left.filter(F.col("size") > SMALL)
-        x, y = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")), small.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-        across = x.join(y, "bucket").filter("a > b and ra <> rb").select("a", "b")
-        hubs = large.groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("h")).select("bucket", F.col("h.node").alias("b"), F.col("h.root").alias("rb"))
-        stars = large.join(hubs, "bucket").filter("node <> b and root <> rb").select(F.col("node").alias("a"), "b")
-        links = materialize(links.unionByName(confirm(across.unionByName(stars).distinct(), sets, similarity)), "links")
+        # Hubs are chosen by a hash that differs from round to round; in a small bucket all nodes are hubs.
+        every = F.greatest(F.lit(1), F.expr(f"size div {SMALL << turn}"))
+        left = left.withColumn("hub", (F.col("size") <= SMALL) | (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0))
+        hubs = left.filter("hub").select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
+        met = left.select("bucket", F.col("node").alias("a"), "root").join(hubs, "bucket").filter("a <> b and root <> rb")
+        pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        links = materialize(links.unionByName(confirm(pairs, sets, similarity)), "links")
         comps = components(links)
-        rest = large.join(hubs.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        left = materialize(_open(rest, comps), "open")
+        left = materialize(_open(left.filter("not hub").select("bucket", "node"), comps), "open")
+        turn += 1
     named = nodes.select("s1", "s2", "node", "doc_id").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_set = named.join(least, "root").select("s1", "s2", "component_id")
