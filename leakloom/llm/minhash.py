@@ -5,8 +5,8 @@ minimum, and empty bins borrow from full ones by optimal densification. Bands of
 Documents with equal shingle sets are one node. A bucket gives star-shaped candidate edges from its
 first node only; every edge is confirmed on the full sets. Buckets whose nodes are then still in
 different components go on: nodes with so many shingles of their own that no other can be similar
-enough leave, small buckets compare what is left across components, and larger ones take further
-nodes as hubs, round by round, until none is open. So no link between nodes that share a bucket
+enough leave, and those outside a bucket's main component become further hubs, round by round,
+until no bucket is open. So no link between nodes that share a bucket
 is lost, and pairs never grow with the square of a bucket.
 """
 
@@ -21,14 +21,13 @@ from pyspark.sql import functions as F
 
 from leakloom.llm.graph import components
 from leakloom.llm.words import SPACED, Words, grams, mix, slices, whole
-from leakloom.session import materialize, ship_package
+from leakloom.session import materialize, release_shuffles, ship_package
 
 #: Words of a shingle, and the similarity from which on documents are linked.
 SHINGLE, SIMILARITY = 5, 0.85
 #: Bins (2 ** BITS), bands of BAND bins: a pair at 0.85 misses all 42 buckets with probability 2e-9.
 BITS, BAND = 8, 6
-#: Open buckets up to this many nodes compare all that is left in them at once; larger ones take
-#: about so many hubs in a round, and twice as many in each further one.
+#: Further hubs of an open bucket in the first round, about; twice as many in each further one.
 SMALL = 64
 
 
@@ -161,11 +160,13 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     placed = nodes.select("node", F.explode("values").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("hub")).filter("c > 1").select("bucket", "hub")
     members = materialize(placed.join(shared, "bucket"), "members")
+    release_shuffles(docs.sparkSession)
     involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "s1", "s2")
     found = texts.join(involved.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_document_batches(k, True), _SCHEMA)
     named = found.join(involved.filter("doc_id is not null"), ["doc_id", "s1", "s2"]).select("node", F.col("n_shingles").alias("n"), "values")
     nameless = texts.filter("doc_id is null").mapInArrow(_document_batches(k, True), _SCHEMA).join(involved.filter("doc_id is null").select("node", "s1", "s2"), ["s1", "s2"])
     sets = materialize(named.unionByName(nameless.select("node", F.col("n_shingles").alias("n"), "values")).dropDuplicates(["node"]), "sets")
+    release_shuffles(docs.sparkSession)
     pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialize(confirm(pairs, sets, similarity), "links")
     comps = components(links)
@@ -173,12 +174,19 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     left = materialize(_open(_not_alone(left, sets, similarity).select("bucket", "node"), comps), "open")
     turn = 0
     while not left.isEmpty():
-        # Hubs are chosen by a hash that differs from round to round; in a small bucket all nodes are hubs.
-        every = F.greatest(F.lit(1), F.expr(f"size div {SMALL << turn}"))
-        left = left.withColumn("hub", (F.col("size") <= SMALL) | (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0))
-        hubs = left.filter("hub").select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-        met = left.select("bucket", F.col("node").alias("a"), "root").join(hubs, "bucket").filter("a <> b and root <> rb")
-        pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        # Pairs inside the main component of a bucket need no test, so all others are its hubs: at once
+        # if they are few, else a part of them that grows from round to round, chosen by a hash.
+        sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("bucket", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"))
+        held = left.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # as many as there are bands at most
+        every = F.greatest(F.lit(1), F.expr(f"others div {SMALL << turn}"))
+        left = left.join(main, "bucket").withColumn("hub", (F.col("root") != F.col("main")) & ((F.col("others") <= SMALL << turn) | (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0)))
+        left = materialize(left.join(held, "node").select("bucket", "node", "root", "hub", "buckets"), "open")
+        x, y = left.alias("x"), left.filter("hub").alias("y")
+        # A pair is met in each bucket that it shares; it is taken in the first of them.
+        first = F.get(F.array_intersect("x.buckets", "y.buckets"), F.lit(0)) == F.col("x.bucket")
+        met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (~F.col("x.hub") | (F.col("x.node") > F.col("y.node"))) & first)
+        pairs = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
         links = materialize(links.unionByName(confirm(pairs, sets, similarity)), "links")
         comps = components(links)
         left = materialize(_open(left.filter("not hub").select("bucket", "node"), comps), "open")
