@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text is handled alone, whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
