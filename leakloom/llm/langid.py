@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakloom.llm.words import mix
 from leakloom.session import ship_package
 
 #: Documents of each language that are learned from, about, chosen by a hash of the id; pieces of each; words of a piece.
@@ -28,21 +29,39 @@ MAX_LANGUAGES, WEIGHTS, LEXICON = 64, 1 << 17, 50_000
 #: Words that forward-backward takes as one sequence; a text is parted into such sequences.
 SEQUENCE = 64
 #: Texts are handled by so many words at once.
-CHUNK_WORDS = 600_000
+CHUNK_WORDS = 300_000
+#: Words whose scores a worker remembers.
+REMEMBERED = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-_memo: dict[int, tuple] = {}
 
 
-def features(word: str, lexicon: dict[str, str]) -> list[int]:
-    """Places of a word's features in the hashed weights."""
-    w = f"^{word}$"
-    names = {f"n:{w[i:i + n]}" for n in (2, 3) for i in range(len(w) - n + 1)}
-    names |= {f"p:{word[:n]}" for n in (1, 2, 3, 4) if len(word) >= n} | {f"s:{word[-n:]}" for n in (1, 2, 3, 4) if len(word) >= n}
-    names |= {f"w:{word}", f"b:{min(len(word), 12)}"}
-    if word in lexicon:
-        names.add(f"l:{lexicon[word]}")
-    return [zlib.crc32(x.encode()) % WEIGHTS for x in sorted(names)]
+def features(words: list[str], lexicon: dict[str, str], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of words, as (which word, place in the hashed weights): runs of two and three
+    characters, beginnings and ends of up to four, the word itself and its language in the lexicon."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(size)
+    owner = np.repeat(np.arange(len(words)), size)
+    begins, room = np.zeros(len(code), bool), np.repeat(end, size) - np.arange(len(code))
+    begins[end - size] = True
+    owners, places, total = [], [], code.copy()
+    for n in range(2, 6):
+        total = total[: len(code) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :]
+        left = room[: len(total)]
+        keep = left >= n
+        if n > 3:
+            keep &= begins[: len(total)] | (left == n)
+        owners.append(owner[: len(total)][keep])
+        places.append(mix(total[keep] + np.uint64(n)))
+    lookup = {x: i for i, x in enumerate(languages)}
+    known = np.fromiter((lookup.get(lexicon.get(w), -1) for w in words), np.int64, len(words))
+    own = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    owners += [np.arange(len(words)), np.flatnonzero(known >= 0)]
+    places += [mix(own + np.uint64(1 << 40)), mix(known[known >= 0].astype(np.uint64) + np.uint64(1 << 41))]
+    return np.concatenate(owners), (np.concatenate(places) % np.uint64(WEIGHTS)).astype(np.int64)
 
 
 @dataclass
@@ -56,19 +75,26 @@ class Field:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores (word x language); a word's are computed once a worker while they fit the memory."""
-        known, table = _memo.setdefault(id(self), ({}, []))
-        if len(known) > 400_000:
+        known, table = self.__dict__.setdefault("_memo", ({}, np.zeros((REMEMBERED, len(self.languages)), np.float32)))
+        if not words:
+            return table[:0]
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(new) > REMEMBERED:
             known.clear()
-            table.clear()
-        at = np.fromiter(map(known.get, words, iter(lambda: -1, 0)), np.int64, len(words))
-        for i in np.flatnonzero(at < 0).tolist():
-            w = words[i]
-            if w not in known:
-                known[w] = len(table)
-                table.append(self.weights[features(w, self.lexicon)].sum(0))
-            at[i] = known[w]
-        rows = np.unique(at, return_inverse=True)
-        return np.stack([table[j] for j in rows[0]])[rows[1]] if len(words) else np.zeros((0, len(self.languages)), np.float32)
+            new = list(dict.fromkeys(words))
+            if len(new) > REMEMBERED:  # more words at once than are remembered
+                return self._scored(new)[np.fromiter(map({w: i for i, w in enumerate(new)}.get, words), np.int64, len(words))]
+        if new:
+            table[len(known) : len(known) + len(new)] = self._scored(new)
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        return table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+
+    def _scored(self, words: list[str]) -> np.ndarray:
+        owner, place = features(words, self.lexicon, self.languages)
+        return np.stack([np.bincount(owner, self.weights[place, j], len(words)) for j in range(len(self.languages))], 1).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_memo"}
 
     def marginals(self, words: list[str], counts: list[int]) -> np.ndarray:
         """Each word's distribution over the languages, for texts that have so many words each."""
@@ -141,8 +167,7 @@ def fit(pieces: list[tuple[str, list[str]]], rounds: int = 40, seed: int = 7) ->
         sequences.append([w for _, words in take for w in words][:SEQUENCE])
         labels.append([label for label, words in take for _ in words][:SEQUENCE])
     vocabulary = {w: j for j, w in enumerate(sorted({w for s in sequences for w in s}))}
-    lists = [features(w, lexicon) for w in vocabulary]
-    owner, place = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.array(x) for x in lists])
+    owner, place = features(list(vocabulary), lexicon, languages)
     used, slot = np.unique(place, return_inverse=True)
     n, k = len(sequences), len(languages)
     word, gold, real = np.zeros((n, SEQUENCE), np.int64), np.zeros((n, SEQUENCE), np.int64), np.zeros((n, SEQUENCE), bool)
@@ -156,11 +181,11 @@ def fit(pieces: list[tuple[str, list[str]]], rounds: int = 40, seed: int = 7) ->
     words_total = real.sum()
     flat_word, flat_gold = word[real], gold[real]
     for step in range(1, rounds + 1):
-        of_word = np.stack([np.bincount(owner, weights[slot, j], len(lists)) for j in range(k)], 1)
+        of_word = np.stack([np.bincount(owner, weights[slot, j], len(vocabulary)) for j in range(k)], 1)
         p, moved, _ = forward_backward(of_word[word], real, moves)
         g = -p[real]
         g[np.arange(len(g)), flat_gold] += 1
-        by_word = np.stack([np.bincount(flat_word, g[:, j], len(lists)) for j in range(k)], 1) / words_total
+        by_word = np.stack([np.bincount(flat_word, g[:, j], len(vocabulary)) for j in range(k)], 1) / words_total
         grad = np.stack([np.bincount(slot, by_word[owner, j], len(used)) for j in range(k)], 1) - 1e-6 * weights
         grad_moves = (target - moved) / words_total - 1e-5 * moves
         for x, d, first, second, rate in ((weights, grad, m, v, 0.08), (moves, grad_moves, mm, vm, 0.15)):

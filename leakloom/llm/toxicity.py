@@ -37,7 +37,6 @@ _LOUD = re.compile(r"!{2,}|\b[A-Z]{4,}\b(?:\W+\b[A-Z]{4,}\b)+")
 VOTERS = ("seed", "seeds", "words", "begin3", "begin4", "begin5", "begin6", "begin7", "hits2", "hits3", "hits5", "dense", "aimed", "loud", "clean")
 #: Voters that look at words; share of a text's distinct words that have to be in a lexicon for the vote `dense`.
 BY_WORDS, DENSE = 12, 0.02
-_remembered: dict[int, dict] = {}
 
 
 def features_of(word: str) -> list[str]:
@@ -60,7 +59,7 @@ class Model:
 
     def hits(self, text: str | None) -> tuple[set[int], np.ndarray]:
         """The features in a text, and which voters fire."""
-        known = _remembered.setdefault(id(self), {})
+        known = self.__dict__.setdefault("_memo", {})
         found: set[int] = set()
         words, in_lexicon = words_in(text), 0
         for w in words:
@@ -85,6 +84,9 @@ class Model:
         fires[14] = not fires[:BY_WORDS].any()
         return found, fires
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_memo"}
+
     def score(self, text: str | None) -> float:
         found, fires = self.hits(text)
         z = self.bias + float(fires @ self.voter_weights) + sum(self.weights[i] for i in found)
