@@ -310,6 +310,8 @@ def decode(streams: list[bytes]) -> list[bytes]:
     at, number, frames, owner, base = [], [], [], [], 0
     for i, (total, _, seek, begin) in enumerate(heads):
         first = seek["sample"].astype(np.int64) // BLOCK
+        lanes_ok = (np.diff(seek["offset"].astype(np.int64)) > 0).all() and (seek["offset"] < len(streams[i]) - begin).all() and (seek["sample"] < total).all() and (np.diff(first) > 0).all()
+        _must(np.array(len(seek) > 0 and first[0] == 0 and lanes_ok), "seek table")
         at.append(base + begin + seek["offset"].astype(np.int64))
         number.append(first)
         frames.append(np.diff(np.append(first, total // BLOCK)))
@@ -321,7 +323,10 @@ def decode(streams: list[bytes]) -> list[bytes]:
     for low in range(0, len(at), step):
         high = min(len(at), low + step)
         begin, end = at[low], at[high] if high < len(at) else len(data)
-        x = _decode_lanes(data[begin:end], at[low:high] - begin, number[low:high], frames[low:high])
+        try:
+            x = _decode_lanes(data[begin:end], at[low:high] - begin, number[low:high], frames[low:high])
+        except IndexError:
+            raise ValueError("damaged FLAC stream: it ends too early") from None
         real = np.arange(x.shape[1]) < frames[low:high, None]
         out.append((x[real] + 128).astype(np.uint8).reshape(-1))
     signal, low, payloads = np.concatenate(out), 0, []

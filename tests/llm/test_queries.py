@@ -1,0 +1,48 @@
+"""The registered queries of the subpackage against SQL, and the pipeline against its parts."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from leakloom.llm import queries
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_against_sql(spark, name):
+    for f in glob.glob(f"{SMALL}/*.parquet"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    got, want = queries.QUERIES[name](spark, SMALL).toPandas(), duckdb.sql(queries.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got)
+    rows = lambda x: sorted(map(str, x[sorted(x.columns)].values.tolist()))
+    assert rows(got) == rows(want)
+
+
+def test_ten_operators_are_registered():
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    n, columns = docs.count(), docs.columns
+    assert [s[0] for s in corpus_pipeline.STAGES] == ["toxicity", "near-duplicates", "benchmark decontamination", "secret scan", "best-fit packing"]
+    op5 = {r.doc_id: r.component_id for r in queries.QUERIES["op5_minhash_components"](spark, SMALL).collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id for r in docs.select("doc_id").collect()}
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns == columns
+        kept = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert kept <= before
+        if name == "near-duplicates":
+            assert len({op5[i] for i in kept}) <= len(kept)
+            assert {op5[i] for i in before} == {op5[i] for i in kept}
+        if name == "secret scan":
+            assert kept == before
+    texts = [r.text or "" for r in docs.collect()]
+    assert not any('token = "' in t and "[SECRET]" not in t for t in texts) and len(texts) > n // 2
+    last = corpus_pipeline.run(spark, SMALL)
+    assert last.select("doc_id").distinct().count() == len(texts)
