@@ -4,8 +4,8 @@ A document's shingle hashes fall into bins by their leading bits, the least in e
 minimum, and empty bins borrow from full ones by optimal densification. Bands of bins give buckets.
 Documents with equal shingle sets are one node. A bucket gives star-shaped candidate edges from its
 first node only; every edge is confirmed on the full sets. Buckets whose nodes are then still in
-different components go on: nodes with so many shingles of their own that no other can be similar
-enough leave, and those outside a bucket's main component become further hubs, round by round,
+different components go on: pairs that share a rare shingle are compared, nodes with so many rare
+shingles that they cannot be similar to any other leave, and those outside a bucket's main component become further hubs, round by round,
 until no bucket is open. So no link between nodes that share a bucket
 is lost, and pairs never grow with the square of a bucket.
 """
@@ -29,6 +29,8 @@ SHINGLE, SIMILARITY = 5, 0.85
 BITS, BAND = 8, 6
 #: Further hubs of an open bucket in the first round, about; twice as many in each further one.
 SMALL = 64
+#: Members of open buckets that hold a shingle at most if it is a rare one.
+RARE = 4
 
 
 def sets_of(w: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -124,22 +126,29 @@ def _open(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rooted.join(still, "bucket")
 
 
-def _not_alone(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Leave out nodes that hold too many shingles of their own to be similar to any other member.
+def _apart(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of members that share a rare shingle, and the members that may also be similar to others.
 
-    A pair at the similarity s shares at least s / (1 + s) of the sum of its sizes; the least size
-    that a partner can have is that of the smallest node in the same buckets, or s times its own.
+    A rare shingle lies in RARE members at most, so the pairs grow with the members. Two members that
+    share none can have in common only what is not rare in either. A pair at the similarity s shares
+    at least s / (1 + s) of the sum of its sizes, and the least size that a partner can have is that
+    of the smallest member of the same buckets, or s times its own: who has too little is done.
     """
-    involved = members.select("node").distinct().join(sets, "node").select("node", "n", "values")
-    single = involved.select("node", F.explode("values").alias("v")).groupBy("v").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("own"))
-    sized = members.join(involved.select("node", "n"), "node")
+    rooted = members.groupBy("node").agg(F.first("root").alias("root"))
+    involved = rooted.join(sets, "node").select("node", "root", "n", "values")
+    held = involved.select("node", "root", F.explode("values").alias("v"))
+    rare = held.join(held.groupBy("v").agg(F.count("*").alias("c")).filter(F.col("c") <= RARE), "v")
+    own = rare.groupBy("node").agg(F.count("*").alias("own"))
+    some = rare.filter("c > 1")
+    x, y = some.select("v", F.col("node").alias("a"), F.col("root").alias("ra")), some.select("v", F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = x.join(y, "v").filter("a > b and ra <> rb").select("a", "b").distinct()
+    sized = members.select("bucket", "node").join(involved.select("node", "n"), "node")
     floor = sized.groupBy("bucket").agg(F.min("n").alias("least"))
     bound = sized.join(floor, "bucket").groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least")).join(own, "node", "left")
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * F.lit(similarity) - 1e-9))
     shared = F.ceil((F.col("n") + partner) * F.lit(similarity / (1 + similarity)) - 1e-9)
     able = bound.filter(F.col("n") - F.coalesce("own", F.lit(0)) >= shared).select("node")
-    return members.join(able, "node", "left_semi")
+    return pairs, members.join(able, "node", "left_semi")
 
 
 def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +180,11 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     links = materialize(confirm(pairs, sets, similarity), "links")
     comps = components(links)
     left = materialize(_open(members.filter("node <> hub").select("bucket", "node"), comps), "open")
-    left = materialize(_open(_not_alone(left, sets, similarity).select("bucket", "node"), comps), "open")
+    pairs, left = _apart(left, sets, similarity)
+    links = materialize(links.unionByName(confirm(pairs, sets, similarity)), "links")
+    comps = components(links)
+    left = materialize(_open(left.select("bucket", "node"), comps), "open")
+    release_shuffles(docs.sparkSession)
     turn = 0
     while not left.isEmpty():
         # Pairs inside the main component of a bucket need no test, so all others are its hubs: at once

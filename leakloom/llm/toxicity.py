@@ -136,13 +136,20 @@ def mine(rows: DataFrame) -> Model:
     model = Model()
     for r in best:
         model.places[r["feature"]] = len(model.lexicon)
-        pure = (r["pos"] / p) / (r["pos"] / p + (r["neg"] + 0.5) / n) >= PURITY and r["pos"] >= SUPPORT
+        pure = (r["pos"] / p) / (r["pos"] / p + (r["neg"] + 0.5) / n) >= PURITY and surprise(r["pos"], r["neg"], p / (p + n)) > math.log(20 * MAX_FEATURES)
         begins = r["feature"].endswith("-")
         model.lexicon.append((len(r["feature"]) - 1 if begins else 2) if pure else -1)
     model.weights = np.zeros(len(model.lexicon))
     return model
 
 
+def surprise(pos: int, neg: int, share: float) -> float:
+    """How unlikely chance alone gives a feature these labels, as a negative logarithm (Chernoff's bound)."""
+    k = pos + neg
+    of = pos / k
+    return k * sum(q * math.log(q / base) for q, base in ((of, share), (1 - of, 1 - share)) if q > 0) if of > share else 0.0
+
+
 def label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float, rounds: int = 40) -> np.ndarray:
     """The posterior of toxicity of each row from its voters (0/1) and its gold label (1, 0 or -1 for none).
 
