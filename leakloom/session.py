@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -81,3 +82,4 @@ def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished jobs now: it does so once their plans are garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # Spark's cleaner works beside
