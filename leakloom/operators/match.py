@@ -38,7 +38,7 @@ def chunk_bounds(text: str, size: int = CHUNK_CHARS, shared: int = SHARED_LINES)
         high = cut if cut > low else high
         out.append((low, high))
         back = high
-        for _ in range(shared + 1):
+        for _ in range(shared):
             found = text.rfind("\n", 0, max(0, back - 1))
             if found < 0:
                 back = 0
