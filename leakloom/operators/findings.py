@@ -88,10 +88,13 @@ def with_matches(found: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def top_matches(matches: DataFrame, n: int = 3) -> DataFrame:
-    """The first n matches of each finding, with their number and how many there are."""
-    per = Window.partitionBy("finding_id")
-    order = per.orderBy("blob_id", "start", "end")
-    return matches.withColumns({"number": F.row_number().over(order), "of": F.count("*").over(per)}).filter(F.col("number") <= n)
+    """The first n matches of each finding, with their number and how many there are.
+
+    Numbers and counts are apart, so that tasks cut to n rows a finding before they are exchanged.
+    """
+    order = Window.partitionBy("finding_id").orderBy("blob_id", "start", "end")
+    first = matches.withColumn("number", F.row_number().over(order)).filter(F.col("number") <= n)
+    return first.join(matches.groupBy("finding_id").agg(F.count("*").alias("of")), "finding_id")
 
 
 def with_provenance(matches: DataFrame, provenance: DataFrame, first: bool = True) -> DataFrame:

@@ -86,8 +86,8 @@ def document_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_matches(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    """Matches in distinct documents: equal texts are matched once."""
-    return scan(B.distinct(document_blobs(spark, sf_dir)), PACK, **how)
+    """Matches in distinct documents. Equal blobs have equal matches, so those meet instead of the texts."""
+    return scan(document_blobs(spark, sf_dir), PACK, **how).dropDuplicates(["blob_id", "rule_id", "start", "end"])
 
 
 def passed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def cross_rule_winners(spark, sf_dir):
 @query(f"WITH {_BLOBS_SQL} SELECT rule_id, count(*) AS candidates FROM ({' UNION ALL '.join(f'SELECT {_quoted(r.id)} AS rule_id FROM d WHERE ' + (' OR '.join(f'contains(text, {_quoted(k)})' for k in r.keywords) or 'true') for r in PACK)}) GROUP BY rule_id")
 def keyword_candidates(spark, sf_dir):
     """Blobs by rule that the keyword prefilter leaves."""
-    left = filters.candidates(B.distinct(document_blobs(spark, sf_dir)), R.frame(spark, PACK))
+    left = filters.candidates(document_blobs(spark, sf_dir), R.frame(spark, PACK)).distinct()
     return left.groupBy("rule_id").agg(F.count("*").alias("candidates"))
 
 
@@ -194,7 +194,7 @@ _CHOSEN = R.chosen(PACK, include=R.patterns_of(r"token, hex, ipv4"), exclude=[r"
 @query(f"WITH {_BLOBS_SQL}, raw AS ({_raw_sql('d', _CHOSEN)}) SELECT rule_id, count(DISTINCT blob_id) AS blobs FROM raw GROUP BY rule_id")
 def chosen_rules(spark, sf_dir):
     """Blobs with matches of the rules that include and exclude patterns leave."""
-    return scan(B.distinct(document_blobs(spark, sf_dir)), _CHOSEN).groupBy("rule_id").agg(F.countDistinct("blob_id").alias("blobs"))
+    return scan(document_blobs(spark, sf_dir), _CHOSEN).groupBy("rule_id").agg(F.countDistinct("blob_id").alias("blobs"))
 
 
 def _planted(spark, sf_dir):

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ class Ruleset:
 
 def normalised(pattern: str) -> str:
     """A pattern as Python's engine takes it: global flags that stand inside become scoped groups."""
-    return re.sub(r"\(\?:\(\?([aimsx]+)\)", r"(?\1:", pattern.strip())
+    return re.sub(r"\(\?:\s*\(\?([aims]+)\)", r"(?\1:", pattern.strip())
 
 
 def compiled(pattern: str) -> re.Pattern:
@@ -63,6 +64,10 @@ def compiled(pattern: str) -> re.Pattern:
     while found := re.match(r"\(\?([aimsx]+)\)", text):
         flags |= sum({"i": re.IGNORECASE, "m": re.MULTILINE, "s": re.DOTALL, "x": re.VERBOSE, "a": re.ASCII}[c] for c in set(found[1]))
         text = text[found.end() :].lstrip()
+    if found := re.search(r"(?<!\\)\(\?([ims]+)\)", text):  # flags further on hold from there to the end
+        before = re.sub(r"\\.|\[[^\]]*\]", "", text[: found.start()])
+        if before.count("(") == before.count(")"):
+            text = f"{text[: found.start()]}(?{found[1]}:{text[found.end() :]})"
     return re.compile(text, flags | re.ASCII)
 
 
@@ -151,7 +156,8 @@ def frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     last = {r.id: (i, r) for i, r in enumerate(rules)}
     rows = [(r.id, r.name, r.pattern, r.structural_id, i, list(r.categories), list(r.keywords), float(r.min_entropy), asdict(r.requirements) if r.requirements else None) for i, r in last.values()]
     need = "struct<min_digits:int,min_uppercase:int,min_lowercase:int,min_special_chars:int,special_chars:string,ignore_if_contains:array<string>>"
-    return spark.createDataFrame(rows, f"rule_id string, rule_name string, pattern string, rule_sid string, rule_place int, categories array<string>, keywords array<string>, min_entropy double, requirements {need}")
+    # Rules are a list of the driver's, so their rows may go to every task.
+    return F.broadcast(spark.createDataFrame(rows, f"rule_id string, rule_name string, pattern string, rule_sid string, rule_place int, categories array<string>, keywords array<string>, min_entropy double, requirements {need}"))
 
 
 #: Rules for what texts at large hold, with small patterns that other SQL engines take too.
