@@ -5,13 +5,13 @@ from __future__ import annotations
 from leakloom.llm.decontam import OP1_SQL, op1_benchmark_hits
 from leakloom.llm.flac import op4_flac_media
 from leakloom.llm.langid import op9_crf_language
-from leakloom.llm.minhash import op5_minhash_components
+from leakloom.llm.minhash import OP5_SQL, op5_minhash_components
 from leakloom.llm.packing import op3_best_fit_packing
 from leakloom.llm.secrets import op6_markov_secrets
-from leakloom.llm.sharding import op10_feistel_sharding
+from leakloom.llm.sharding import OP10_SQL, op10_feistel_sharding
 from leakloom.llm.substrings import OP7_SQL, op7_substring_dedup
 from leakloom.llm.tokens import op2_token_counts
 from leakloom.llm.toxicity import op8_weak_toxicity
 
 QUERIES = {q.__name__: q for q in (op1_benchmark_hits, op2_token_counts, op3_best_fit_packing, op4_flac_media, op5_minhash_components, op6_markov_secrets, op7_substring_dedup, op8_weak_toxicity, op9_crf_language, op10_feistel_sharding)}
-SQL = {"op1_benchmark_hits": OP1_SQL, "op7_substring_dedup": OP7_SQL}
+SQL = {"op1_benchmark_hits": OP1_SQL, "op5_minhash_components": OP5_SQL, "op7_substring_dedup": OP7_SQL, "op10_feistel_sharding": OP10_SQL}

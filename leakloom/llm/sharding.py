@@ -96,3 +96,39 @@ def op10_feistel_sharding(spark, sf_dir: str) -> DataFrame:
     """Shard and slot of every document over 40 shards, by row count."""
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def _crc_entries() -> str:
+    """The 256 steps of CRC-32 (reflected polynomial 0xEDB88320), as a SQL list."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        out.append(f"{x}::UBIGINT")
+    return "[" + ", ".join(out) + "]"
+
+
+def _network_sql(x: str) -> str:
+    """One pass of the network, as a SQL select of (x0, p) from a source that has x0, a, b and n."""
+    word = lambda half, key: f"CAST('0x' || left(md5({half} || ':{key}'), 8) AS BIGINT)"
+    inner = f"SELECT x0, a, b, n, {x} % a AS l, {x} // a AS r FROM src"
+    for i, key in enumerate(KEYS):
+        step = f"(l + {word('r', key)}) % a AS l, r" if i % 2 == 0 else f"l, (r + {word('l', key)}) % b AS r"
+        inner = f"SELECT x0, a, b, n, {step} FROM ({inner})"
+    return f"SELECT x0, a, b, n, l + r * a AS p FROM ({inner})"
+
+
+OP10_SQL = f"""
+WITH RECURSIVE size AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents),
+dom AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b, least({BUCKETS}, greatest(1, CAST(ceil(n / {BUCKET_ROWS}) AS BIGINT))) AS buckets FROM size),
+t AS (SELECT {_crc_entries()} AS steps),
+bytes AS (SELECT doc_id, coalesce(text, '') AS x, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS UBIGINT)) AS bs FROM documents),
+d AS (SELECT doc_id, CAST(strlen(x) + 16 AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, bs), lambda c, y: xor(c >> 8, steps[CAST(xor(c, y) & 255 AS INT) + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM bytes, t),
+k AS (SELECT *, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || text_crc32 || '|' || size), 8) AS BIGINT) % buckets AS bucket FROM d, dom),
+num AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS x0, a, b, n FROM k),
+walk AS (
+  {_network_sql('x0').replace('FROM src', 'FROM num')}
+  UNION ALL {_network_sql('p').replace('FROM src', 'FROM walk WHERE p >= n')})
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % 40 AS INT) AS shard, CAST(p // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM num JOIN walk USING (x0) WHERE p < walk.n
+"""
