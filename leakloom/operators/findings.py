@@ -189,3 +189,37 @@ def combined(sources: list[DataFrame]) -> DataFrame:
 
 def count_by(rows: DataFrame, *by: Column | str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by)
+
+
+def status_breakdown(rows: DataFrame, by: str) -> DataFrame:
+    """Rows by a column with how many are valid, invalid, undetermined, unchecked and false positives."""
+    count = lambda c: F.count_if(c)
+    status, false = F.col("status"), F.coalesce("false_positive", F.lit(False))
+    parts = [count((status == s) & ~false).alias(s) for s in ("valid", "invalid", "undetermined")]
+    return rows.groupBy(by).agg(F.count("*").alias("n"), *parts, count(status.isNull() & ~false).alias("unchecked"), count(false).alias("false_positives")).orderBy(F.desc("n"), by)
+
+
+def dashboard(rows: DataFrame, rule: str = "", text: str = "", sort: str = "seen_at", descending: bool = True) -> DataFrame:
+    """Rows of a rule that hold a text in secret, URL or source, sorted without regard to case."""
+    if rule:
+        rows = rows.filter(F.col("rule_name") == rule)
+    if text:
+        held = F.lit(False)
+        for c in ("secret", "url", "source"):
+            held = held | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(text.lower()))
+        rows = rows.filter(held)
+    by = F.lower(sort) if dict(rows.dtypes)[sort] == "string" else F.col(sort)
+    return rows.orderBy(by.desc() if descending else by.asc())
+
+
+def grid(rows: DataFrame, host: str = "", method: str = "", status_class: int = 0, with_secrets: bool | None = None, kind: str = "", url: str = "") -> DataFrame:
+    """Requests that meet all conditions given: host and method in any case, status class, secrets, parts of type and URL."""
+    for column, value in (("host", host), ("method", method)):
+        if value:
+            rows = rows.filter(F.lower(column) == value.lower())
+    for column, value in (("types", kind), ("url", url)):
+        if value:
+            rows = rows.filter(F.contains(F.lower(column), F.lit(value.lower())))
+    if status_class:
+        rows = rows.filter(F.floor(F.col("status_code") / 100) == status_class)
+    return rows if with_secrets is None else rows.filter((F.col("secrets") > 0) == with_secrets)
