@@ -49,11 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, tasks: int = 0) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, cutting its lineage.
 
-    The table survives the loss of executors and is deleted when the application's JVM ends.
+    The table survives the loss of executors and is deleted when the application's JVM ends. tasks,
+    if given, keeps a table that is small for its input from being spread over more files than that.
     """
+    if tasks:
+        df = df.coalesce(tasks)
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
