@@ -20,19 +20,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _done(edges: DataFrame) -> bool:
+    """Whether all edges are stars: each node has one edge down, and none leads to a node with another."""
+    several = edges.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
+    return several.unionByName(edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")).isEmpty()
+
+
+def components(edges: DataFrame, tasks: int = 0) -> DataFrame:
     """(node, root) of every node that has an edge; root is the least node reachable.
 
     edges has columns a and b; direction, repeats and loops do not matter. Each round is kept in the
-    shared folder; the rounds grow with the logarithm of the longest path.
+    shared folder, in that many files at most if tasks is given; the rounds grow with the logarithm of
+    the longest path.
     """
     now = edges.filter("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialize(now, "edges")
-    mark = None
-    while True:
-        now = materialize(_star(_star(now, True), False), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
+    now = materialize(now, "edges", tasks)
+    while not _done(now):
+        now = materialize(_star(_star(now, True), False), "edges", tasks)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -115,14 +115,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(100 * F.col("both") >= per_cent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _open(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The members (bucket, node) of buckets whose nodes lie in several components, with root and size."""
-    rooted = members.drop("root", "size")
-    if comps is not None:
-        rooted = rooted.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        rooted = rooted.withColumn("root", F.col("node"))
-    still = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).filter("r0 <> r1").select("bucket", "size")
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members (bucket, node) of buckets whose nodes lie in several components, with their root."""
+    rooted = members.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    still = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
     return rooted.join(still, "bucket")
 
 
@@ -162,6 +158,7 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(texts.mapInArrow(_document_batches(k, False), _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    tasks = max(24, texts.rdd.getNumPartitions() // 8)  # for tables of links: they are small beside the texts
     some = rows.filter("n_shingles > 0")
     # Documents with equal sets are one node, named by the row of the least id.
     nodes = some.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("x"), F.first("values").alias("values"), F.first("n_shingles").alias("n"))
@@ -177,16 +174,13 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     sets = materialize(named.unionByName(nameless.select("node", F.col("n_shingles").alias("n"), "values")).dropDuplicates(["node"]), "sets")
     release_shuffles(docs.sparkSession)
     pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = materialize(confirm(pairs, sets, similarity), "links")
-    comps = components(links)
-    left = materialize(_open(members.filter("node <> hub").select("bucket", "node"), comps), "open")
-    pairs, left = _apart(left, sets, similarity)
-    links = materialize(links.unionByName(confirm(pairs, sets, similarity)), "links")
-    comps = components(links)
-    left = materialize(_open(left.select("bucket", "node"), comps), "open")
+    links = materialize(confirm(pairs, sets, similarity), "links", tasks)
+    comps = components(links, tasks)
+    left = materialize(_open(members.filter("node <> hub").select("bucket", "node"), comps), "open", tasks)
+    rare, left = _apart(left, sets, similarity)
+    left, turn = materialize(_open(left.select("bucket", "node"), comps), "open", tasks), 0
     release_shuffles(docs.sparkSession)
-    turn = 0
-    while not left.isEmpty():
+    while turn == 0 or not left.isEmpty():
         # Pairs inside the main component of a bucket need no test, so all others are its hubs: at once
         # if they are few, else a part of them that grows from round to round, chosen by a hash.
         sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("c"))
@@ -194,15 +188,17 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
         held = left.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # as many as there are bands at most
         every = F.greatest(F.lit(1), F.expr(f"others div {SMALL << turn}"))
         left = left.join(main, "bucket").withColumn("hub", (F.col("root") != F.col("main")) & ((F.col("others") <= SMALL << turn) | (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0)))
-        left = materialize(left.join(held, "node").select("bucket", "node", "root", "hub", "buckets"), "open")
+        left = materialize(left.join(held, "node").select("bucket", "node", "root", "hub", "buckets"), "open", tasks)
         x, y = left.alias("x"), left.filter("hub").alias("y")
         # A pair is met in each bucket that it shares; it is taken in the first of them.
         first = F.get(F.array_intersect("x.buckets", "y.buckets"), F.lit(0)) == F.col("x.bucket")
         met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (~F.col("x.hub") | (F.col("x.node") > F.col("y.node"))) & first)
-        pairs = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-        links = materialize(links.unionByName(confirm(pairs, sets, similarity)), "links")
-        comps = components(links)
-        left = materialize(_open(left.filter("not hub").select("bucket", "node"), comps), "open")
+        pairs = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+        if turn == 0:
+            pairs = pairs.unionByName(rare)
+        links = materialize(links.unionByName(confirm(pairs.distinct(), sets, similarity)), "links", tasks)
+        comps = components(links, tasks)
+        left = materialize(_open(left.filter("not hub").select("bucket", "node"), comps), "open", tasks)
         turn += 1
     named = nodes.select("s1", "s2", "node", "doc_id").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
