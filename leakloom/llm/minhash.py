@@ -3,10 +3,10 @@
 A document's shingle hashes fall into bins by their leading bits, the least in each bin is its
 minimum, and empty bins borrow from full ones by optimal densification. Bands of bins give buckets.
 Documents with equal shingle sets are one node. A bucket gives star-shaped candidate edges from its
-first node only; every edge is confirmed on the full sets. Buckets whose nodes are then still in
-different components go on: pairs that share a rare shingle are compared, nodes with so many rare
-shingles that they cannot be similar to any other leave, and those outside a bucket's main component become further hubs, round by round,
-until no bucket is open. So no link between nodes that share a bucket
+most central node only; every edge is confirmed on the full sets. Buckets whose nodes are then still in
+different components go on: their nodes are dealt anew, by the rarest of their shingles, of which any
+similar two must share one, and in these finer buckets the nodes outside the main component become
+further hubs, round by round, until no bucket is open. So no link between nodes that share a bucket
 is lost, and pairs never grow with the square of a bucket.
 """
 
@@ -29,8 +29,6 @@ SHINGLE, SIMILARITY = 5, 0.85
 BITS, BAND = 8, 6
 #: Further hubs of an open bucket in the first round, about; twice as many in each further one.
 SMALL = 64
-#: Members of open buckets that hold a shingle at most if it is a rare one.
-RARE = 4
 
 
 def sets_of(w: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -122,29 +120,27 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     return rooted.join(still, "bucket")
 
 
-def _apart(members: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of members that share a rare shingle, and the members that may also be similar to others.
+def _prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, node) of members of open buckets, where a bucket now is a shingle of the node's prefix.
 
-    A rare shingle lies in RARE members at most, so the pairs grow with the members. Two members that
-    share none can have in common only what is not rare in either. A pair at the similarity s shares
-    at least s / (1 + s) of the sum of its sizes, and the least size that a partner can have is that
-    of the smallest member of the same buckets, or s times its own: who has too little is done.
+    A pair at the similarity s shares at least s / (1 + s) of the sum of its sizes, and the least size
+    that a partner can have is that of the smallest member of the same buckets, or s times its own.
+    With all shingles ordered by the number of members that hold them, similar members have one in
+    common among the first n - shared + 1 of each. Edits come first in that order, so that copies
+    with too many of them meet only those with the same edits.
     """
-    rooted = members.groupBy("node").agg(F.first("root").alias("root"))
-    involved = rooted.join(sets, "node").select("node", "root", "n", "values")
-    held = involved.select("node", "root", F.explode("values").alias("v"))
-    rare = held.join(held.groupBy("v").agg(F.count("*").alias("c")).filter(F.col("c") <= RARE), "v")
-    own = rare.groupBy("node").agg(F.count("*").alias("own"))
-    some = rare.filter("c > 1")
-    x, y = some.select("v", F.col("node").alias("a"), F.col("root").alias("ra")), some.select("v", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = x.join(y, "v").filter("a > b and ra <> rb").select("a", "b").distinct()
+    involved = members.select("node").distinct().join(sets, "node").select("node", "n", "values")
     sized = members.select("bucket", "node").join(involved.select("node", "n"), "node")
     floor = sized.groupBy("bucket").agg(F.min("n").alias("least"))
-    bound = sized.join(floor, "bucket").groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least")).join(own, "node", "left")
+    bound = sized.join(floor, "bucket").groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least"))
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * F.lit(similarity) - 1e-9))
     shared = F.ceil((F.col("n") + partner) * F.lit(similarity / (1 + similarity)) - 1e-9)
-    able = bound.filter(F.col("n") - F.coalesce("own", F.lit(0)) >= shared).select("node")
-    return pairs, members.join(able, "node", "left_semi")
+    length = bound.select("node", (F.col("n") - F.least(shared, F.col("n")) + 1).cast("int").alias("length"))
+    held = involved.select("node", F.explode("values").alias("v"))
+    counted = held.join(held.groupBy("v").agg(F.count("*").alias("c")), "v")
+    ordered = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values"))  # as many as a document has shingles
+    first = ordered.join(length, "node").select("node", F.explode(F.expr("slice(values, 1, length)")).alias("x"))
+    return first.filter("x.c > 1").select(F.col("x.v").alias("bucket"), "node")
 
 
 def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,8 +160,12 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     nodes = some.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("x"), F.first("values").alias("values"), F.first("n_shingles").alias("n"))
     nodes = materialize(nodes.select("s1", "s2", F.col("x.row").alias("node"), F.col("x.doc_id").alias("doc_id"), "n", "values"), "nodes")
     placed = nodes.select("node", F.explode("values").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("hub")).filter("c > 1").select("bucket", "hub")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
     members = materialize(placed.join(shared, "bucket"), "members")
+    # The hub of a bucket is the node that meets most others in all its buckets: what others were copied from.
+    score = members.groupBy("node").agg(F.sum("c").alias("score"))
+    hubs = members.join(score, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("hub"))
+    members = materialize(members.select("bucket", "node").join(hubs, "bucket"), "members")
     release_shuffles(docs.sparkSession)
     involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "s1", "s2")
     found = texts.join(involved.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_document_batches(k, True), _SCHEMA)
@@ -177,15 +177,14 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     links = materialize(confirm(pairs, sets, similarity), "links", tasks)
     comps = components(links, tasks)
     left = materialize(_open(members.filter("node <> hub").select("bucket", "node"), comps), "open", tasks)
-    rare, left = _apart(left, sets, similarity)
-    left, turn = materialize(_open(left.select("bucket", "node"), comps), "open", tasks), 0
+    left, turn = materialize(_open(_prefixes(left, sets, similarity), comps), "open", tasks), 0
     release_shuffles(docs.sparkSession)
-    while turn == 0 or not left.isEmpty():
+    while not left.isEmpty():
         # Pairs inside the main component of a bucket need no test, so all others are its hubs: at once
         # if they are few, else a part of them that grows from round to round, chosen by a hash.
         sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("bucket", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"))
-        held = left.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # as many as there are bands at most
+        held = left.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # a prefix at most
         every = F.greatest(F.lit(1), F.expr(f"others div {SMALL << turn}"))
         left = left.join(main, "bucket").withColumn("hub", (F.col("root") != F.col("main")) & ((F.col("others") <= SMALL << turn) | (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0)))
         left = materialize(left.join(held, "node").select("bucket", "node", "root", "hub", "buckets"), "open", tasks)
@@ -194,8 +193,6 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
         first = F.get(F.array_intersect("x.buckets", "y.buckets"), F.lit(0)) == F.col("x.bucket")
         met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (~F.col("x.hub") | (F.col("x.node") > F.col("y.node"))) & first)
         pairs = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-        if turn == 0:
-            pairs = pairs.unionByName(rare)
         links = materialize(links.unionByName(confirm(pairs.distinct(), sets, similarity)), "links", tasks)
         comps = components(links, tasks)
         left = materialize(_open(left.filter("not hub").select("bucket", "node"), comps), "open", tasks)
