@@ -81,8 +81,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
+def release_shuffles(spark: SparkSession, times: int = 1) -> None:
     """Let Spark delete shuffle files of finished jobs now: it does so once their plans are garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)  # Spark's cleaner works beside
+    for _ in range(times):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5 if times == 1 else 1.2)  # Spark's cleaner works beside
