@@ -27,6 +27,8 @@ MAX_TRAIN = 12_000
 MAX_FEATURES, SUPPORT = 8_000, 4
 #: Share of toxic rows (at even classes) from which on a mined feature belongs to a lexicon.
 PURITY = 0.8
+#: How far from chance a feature of a lexicon has to be, as a negative logarithm.
+SURPRISE = math.log(20 * MAX_FEATURES)
 #: Characters of the word beginnings that are mined.
 PREFIXES = (3, 4, 5, 6, 7)
 # Common English insults.
@@ -136,7 +138,7 @@ def mine(rows: DataFrame) -> Model:
     model = Model()
     for r in best:
         model.places[r["feature"]] = len(model.lexicon)
-        pure = (r["pos"] / p) / (r["pos"] / p + (r["neg"] + 0.5) / n) >= PURITY and surprise(r["pos"], r["neg"], p / (p + n)) > math.log(20 * MAX_FEATURES)
+        pure = (r["pos"] / p) / (r["pos"] / p + (r["neg"] + 0.5) / n) >= PURITY and surprise(r["pos"], r["neg"], p / (p + n)) > SURPRISE
         begins = r["feature"].endswith("-")
         model.lexicon.append((len(r["feature"]) - 1 if begins else 2) if pure else -1)
     model.weights = np.zeros(len(model.lexicon))
