@@ -52,7 +52,7 @@ def test_text_functions(spark):
     assert one(spark, text.url_host(F.lit("https://u:p@h.example:80/x"))) == "h.example"
     assert one(spark, text.file_uri(F.lit("/a"))) == "file:///a" and one(spark, text.file_uri(F.lit("a"))) == "a"
     assert one(spark, text.printable(F.lit("a\n\té"))) == "a\n..."[:2] + "..." and one(spark, text.without_tags(F.lit("<b>x</b>"))) == "x"
-    for rule, level in (("np.aws.6", "HIGH"), ("x.generic.1", "LOW"), ("password_1", "MEDIUM"), ("mysqlthing", "HIGH"), ("other", "MEDIUM")):
+    for rule, level in (("lk.aws.6", "HIGH"), ("x.generic.1", "LOW"), ("password_1", "MEDIUM"), ("mysqlthing", "HIGH"), ("other", "MEDIUM")):
         assert one(spark, text.severity(F.lit(rule))) == level
     assert one(spark, text.severity(F.lit("x.generic.1"), {"x.generic.1": "HIGH"})) == "HIGH"
     assert one(spark, text.substitute(F.lit("{{a}} {{ a }} {{.a}} {{ .a }} {{b}}"), {"a": F.lit("v")})) == "v v v v {{b}}"
