@@ -88,8 +88,8 @@ def _runs(w, held: np.ndarray, sizes: list[int], k: int) -> list[list[str]]:
             may[s] = inside & held[(g % np.uint64(BLOOM_BITS)).astype(np.int64)]
         fits = may[s].copy()
         for j in range(1, size - s + 1):  # all its shingles have to be there, in one text
-            fits[: n - j] &= may[s][j:]
-            fits[n - j :] = False
+            fits[: max(0, n - j)] &= may[s][j:]
+            fits[max(0, n - j) :] = False
         at = np.flatnonzero(fits)
         if size > s:
             at = at[at + size <= w.bounds[np.searchsorted(w.bounds, at, "right")]]

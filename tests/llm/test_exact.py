@@ -66,6 +66,17 @@ def test_contamination_against_every_window(spark, odd, empty):
     assert decontam.contamination(odd, bench).count() == odd.count()
 
 
+def test_contamination_of_partitions_with_one_short_document(spark):
+    words = [f"b{i}" for i in range(12)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "b0 b1 b2")], "item_id long, text string")
+    for step in (1, -1):  # words of the benchmark, and others
+        rows = [(n, " ".join(words[::step][:n])) for n in range(13)]
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+        got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontam.contamination(docs, bench).collect()}
+        want = {n: (n, n if n >= 10 else 3 if n >= 3 else 0, ["1", "2"] if n >= 10 else ["2"] if n >= 3 else []) for n in range(13)}
+        assert got == (want if step == 1 else {n: (n, 0, []) for n in range(13)})
+
+
 def test_token_counts_against_the_library(spark, odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = tokens.tokenizer(path)
