@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from leakloom.plans.rules import Rule, compiled
 from leakloom.session import ship_package
 
-#: Characters above which a text is matched in chunks that end at line ends, and the lines they share.
+#: Defaults of chunk_bounds(): characters of a chunk, and the lines that chunks share.
 CHUNK_CHARS, SHARED_LINES = 5 << 20, 10
 
 MATCHES = (
@@ -25,7 +25,10 @@ _FIELDS = pa.schema(
 
 
 def chunk_bounds(text: str, size: int = CHUNK_CHARS, shared: int = SHARED_LINES) -> list[tuple[int, int]]:
-    """Ranges that cover a text; each but the last ends after a newline, and the next starts some lines before."""
+    """Ranges that cover a text; each but the last ends after a newline, and the next starts some lines before.
+
+    Matching does not use them: a match across a cut would be lost, and a cut would count as the text's end.
+    """
     if len(text) <= size:
         return [(0, len(text))]
     out, low = [], 0
@@ -88,21 +91,20 @@ class _Bytes:
 
 
 def matches_in(text: str, rules: list[tuple[str, tuple[str, ...], object]], lines: int, dedupe: str | None) -> Iterator[tuple]:
-    """Matches of each rule in turn; groups that took no part are left out."""
+    """Matches of each rule in turn, in the whole text whatever its size; groups that took no part are left out."""
     for place, (rule_id, keywords, pattern) in enumerate(rules):
         if keywords and not any(k in text for k in keywords):
             continue
         seen, of = set(), _Bytes(text)
-        for low, high in chunk_bounds(text):
-            for m in pattern.finditer(text, low, high):
-                groups = [g for g in m.groups() if g is not None]
-                key = tuple(groups) if dedupe == "content" else m.span()
-                if key in seen:
-                    continue
-                seen.add(key)
-                start, end = of.offset(m.start()), of.offset(m.end())
-                before, after = context(text, m.start(), m.end(), lines)
-                yield rule_id, place, start, end, groups, [(k, v) for k, v in m.groupdict().items() if v is not None], before, m[0], after, *of.place(m.start()), *of.place(m.end())
+        for m in pattern.finditer(text):
+            groups = [g for g in m.groups() if g is not None]
+            key = tuple(groups) if dedupe == "content" else m.span()
+            if key in seen:
+                continue
+            seen.add(key)
+            start, end = of.offset(m.start()), of.offset(m.end())
+            before, after = context(text, m.start(), m.end(), lines)
+            yield rule_id, place, start, end, groups, [(k, v) for k, v in m.groupdict().items() if v is not None], before, m[0], after, *of.place(m.start()), *of.place(m.end())
 
 
 def _scan_batches(rules: list[Rule], lines: int, dedupe: str | None) -> Callable:

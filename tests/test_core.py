@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leakloom.functions import ids, text
 from leakloom.operators import filters, findings, validation
-from leakloom.operators.match import chunk_bounds, context, scan
+from leakloom.operators.match import CHUNK_CHARS, chunk_bounds, context, matches_in, scan
 from leakloom.plans import report
 from leakloom.plans import rules as R
 from leakloom.sources import blobs as B
@@ -106,6 +106,17 @@ def test_chunks_cover_and_share_lines():
     assert chunk_bounds("x" * 1000, 300, 3)[-1][1] == 1000
 
 
+def test_texts_of_any_size_are_matched_whole():
+    rules = [("tok", (), R.compiled(r"\bghp_[a-z]{30}\b")), ("block", (), R.compiled(r"BEGIN\n(?:[a-z]{60}\n){25}END")), ("last", (), R.compiled(r"z+$"))]
+    line = "x " * (CHUNK_CHARS // 2 - 5) + "ghp_" + "a" * 30 + " y" * 5000
+    assert [(r[0], r[2], r[3]) for r in matches_in(line, rules, 0, "location")] == [("tok", CHUNK_CHARS - 10, CHUNK_CHARS + 24)]
+    block = "BEGIN\n" + ("k" * 60 + "\n") * 25 + "END"
+    lines = "filler line\n" * ((CHUNK_CHARS - 800) // 12) + block + "\nmore\n" * 50
+    assert [(r[0], r[7]) for r in matches_in(lines, rules, 0, "location")] == [("block", block)]
+    run = "x " * (CHUNK_CHARS // 2 - 3) + "z" * 12 + " y"  # a cut inside it would be no end of a line
+    assert list(matches_in(run, rules, 0, "location")) == []
+
+
 def test_pack_examples(spark):
     for rule in R.CREDENTIAL_PACK:
         assert not R.faults_of(rule)
