@@ -37,7 +37,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are masked, and n_chars follows; documents without any stay as they are."""
-    marked = secrets.with_spans(docs, secrets.train(secrets.samples(docs)))
+    sample = secrets.samples(docs)
+    table = secrets.train(sample)
+    marked = secrets.with_spans(docs, table, limit=secrets.limits(sample, table))
     masked = secrets.redact(marked, "secret_spans")
     return masked.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

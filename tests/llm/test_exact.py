@@ -255,6 +255,23 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     assert right >= 118
 
 
+def test_markov_spans_of_short_strings_and_any_alphabet(spark):
+    r = random.Random(8)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    parts = ["user", "name", "request", "handler", "count", "total", "index", "buffer", "stream", "config", "page", "table", "2024", "1987", "Over", "The"]
+    words = [r.choice(["", "_"]).join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(3000)] + [draw(digits, r.randint(2, 16)) for _ in range(300)]
+    sample = spark.createDataFrame([(draw(lower + upper + digits, 32), 1) for _ in range(200)] + [(w, 0) for w in words], "text string, label int")
+    table = secrets.train(sample)
+    limit = secrets.limits(sample, table)
+    rows = [(a, n, draw(alphabet, n)) for a, alphabet in (("mixed", lower + upper + digits), ("letters", lower + upper)) for n in (8, 12, 19, 20, 40) for _ in range(40)]
+    rows += [("ordinary", 0, w) for w in words[:400] + words[-100:]]
+    docs = spark.createDataFrame([(a, n, f"the {t}, user") for a, n, t in rows], "a string, n int, text string")
+    found = secrets.with_spans(docs, table, limit=limit).withColumn("found", F.exists("secret_spans", lambda s: (s["kind"] == 3) & (s["start"] == 4)))
+    got = {(x.a, x.n): x.share for x in found.groupBy("a", "n").agg(F.avg(F.col("found").cast("int")).alias("share")).collect()}
+    assert got.pop(("ordinary", 0)) <= 0.01 and min(got.values()) >= 0.75 and min(v for (_, n), v in got.items() if n > 8) >= 0.95, got
+
+
 def plain_removed(rows, window=20):
     seen, out = set(), {}
     for i, text in sorted(rows):
