@@ -22,16 +22,18 @@ from pyspark.sql import functions as F
 from leakloom.llm.words import mix
 from leakloom.session import ship_package
 
-#: Documents of each language that are learned from, about, chosen by a hash of the id; pieces of each; words of a piece.
-PER_LANGUAGE, PIECES, PIECE = 500, 4, 12
-#: Languages at most, the most frequent ones; size of the hashed weights; entries of the lexicon.
-MAX_LANGUAGES, WEIGHTS, LEXICON = 64, 1 << 17, 50_000
+#: Documents of each language that are learned from, about, chosen by a hash of the id, and of all languages,
+#: which is fewer of each when there are many; pieces of each; words of a piece.
+PER_LANGUAGE, IN_ALL, PIECES, PIECE = 500, 32_000, 4, 12
+#: Hashed weights of each language; entries of the lexicon.
+WEIGHTS, LEXICON = 1 << 17, 50_000
 #: Words that forward-backward takes as one sequence; a text is parted into such sequences.
 SEQUENCE = 64
-#: Texts are handled by so many words at once.
-CHUNK_WORDS = 300_000
-#: Words whose scores a worker remembers.
-REMEMBERED = 400_000
+#: Texts are handled by so many words at once, and a worker remembers the scores of so many; for more
+#: languages than FEW it is fewer words, so that tables keep their size.
+CHUNK_WORDS, REMEMBERED, FEW = 300_000, 400_000, 8
+#: Scores (words x languages) that forward-backward takes at once in training.
+CELLS = 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -64,6 +66,11 @@ def features(words: list[str], lexicon: dict[str, str], languages: list[str]) ->
     return np.concatenate(owners), (np.concatenate(places) % np.uint64(WEIGHTS)).astype(np.int64)
 
 
+def fitting(words: int, languages: int) -> int:
+    """So many words, or fewer for many languages."""
+    return max(1, words * FEW // max(FEW, languages))
+
+
 @dataclass
 class Field:
     """A trained field: languages, weights (feature x language), transitions and the lexicon."""
@@ -75,14 +82,14 @@ class Field:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores (word x language); a word's are computed once a worker while they fit the memory."""
-        known, table = self.__dict__.setdefault("_memo", ({}, np.zeros((REMEMBERED, len(self.languages)), np.float32)))
+        known, table = self.__dict__.setdefault("_memo", ({}, np.zeros((fitting(REMEMBERED, len(self.languages)), len(self.languages)), np.float32)))
         if not words:
             return table[:0]
         new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > len(table):
             known.clear()
             new = list(dict.fromkeys(words))
-            if len(new) > REMEMBERED:  # more words at once than are remembered
+            if len(new) > len(table):  # more words at once than are remembered
                 return self._scored(new)[np.fromiter(map({w: i for i, w in enumerate(new)}.get, words), np.int64, len(words))]
         if new:
             table[len(known) : len(known) + len(new)] = self._scored(new)
@@ -146,12 +153,11 @@ def forward_backward(scores: np.ndarray, real: np.ndarray, transitions: np.ndarr
 
 def fit(pieces: list[tuple[str, list[str]]], rounds: int = 40, seed: int = 7) -> Field:
     """Train on pieces (language, words), spliced at random into sequences of several pieces."""
-    languages = [x for x, _ in Counter(p[0] for p in pieces).most_common(MAX_LANGUAGES)]
+    languages = sorted({x for x, _ in pieces})
     if not languages:
         return Field()
-    code = {x: i for i, x in enumerate(sorted(languages))}
-    languages = sorted(languages)
-    pieces = [(code[x], w) for x, w in pieces if x in code and w]
+    code = {x: i for i, x in enumerate(languages)}
+    pieces = [(code[x], w) for x, w in pieces if w]
     random = np.random.default_rng(seed)
     pieces = [pieces[i] for i in random.permutation(len(pieces))]
     seen: dict[str, Counter] = defaultdict(Counter)
@@ -180,12 +186,20 @@ def fit(pieces: list[tuple[str, list[str]]], rounds: int = 40, seed: int = 7) ->
     m, v, mm, vm = np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)
     words_total = real.sum()
     flat_word, flat_gold = word[real], gold[real]
+    rows = max(1, CELLS // (SEQUENCE * k))
     for step in range(1, rounds + 1):
         of_word = np.stack([np.bincount(owner, weights[slot, j], len(vocabulary)) for j in range(k)], 1)
-        p, moved, _ = forward_backward(of_word[word], real, moves)
-        g = -p[real]
-        g[np.arange(len(g)), flat_gold] += 1
-        by_word = np.stack([np.bincount(flat_word, g[:, j], len(vocabulary)) for j in range(k)], 1) / words_total
+        by_word, moved, at = np.zeros((len(vocabulary), k)), np.zeros((k, k)), 0
+        for low in range(0, n, rows):
+            part = real[low : low + rows]
+            p, seen_moves, _ = forward_backward(of_word[word[low : low + rows]], part, moves)
+            g = -p[part]
+            here = slice(at, at + len(g))
+            g[np.arange(len(g)), flat_gold[here]] += 1
+            by_word += np.stack([np.bincount(flat_word[here], g[:, j], len(vocabulary)) for j in range(k)], 1)
+            moved += seen_moves
+            at += len(g)
+        by_word /= words_total
         grad = np.stack([np.bincount(slot, by_word[owner, j], len(used)) for j in range(k)], 1) - 1e-6 * weights
         grad_moves = (target - moved) / words_total - 1e-5 * moves
         for x, d, first, second, rate in ((weights, grad, m, v, 0.08), (moves, grad_moves, mm, vm, 0.15)):
@@ -215,22 +229,25 @@ def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(docs: DataFrame, usable) -> Field:
-    """Train on about PER_LANGUAGE usable documents of each language."""
+    """Train on about PER_LANGUAGE usable documents of each language, of about IN_ALL at most, and one of each at least."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(usable(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    known = known.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h"))
+    words = F.when(F.col("text").rlike(r"\p{L}"), F.col("h"))  # a text without letters teaches nothing
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(words).alias("least")).collect()  # a row a language
     if not counts:
         return Field()
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, PER_LANGUAGE / n)))])
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    each = min(PER_LANGUAGE, max(1, IN_ALL // len(counts)))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"]), r["least"]) for r in counts], "lang string, share double, least long")
+    chosen = known.join(F.broadcast(share), "lang").filter((F.col("h") < F.col("share") * 1_000_000) | (F.col("h") == F.col("least")))
     pieces = chosen.select("lang", "text").mapInArrow(_piece_batches, "lang string, words array<string>").toPandas()
     ordered = sorted((lang, list(words)) for lang, words in zip(pieces["lang"], pieces["words"], strict=True))
     return fit(ordered)
 
 
-def _groups(counts: list[int]) -> Iterator[tuple[int, int]]:
+def _groups(counts: list[int], most: int = CHUNK_WORDS) -> Iterator[tuple[int, int]]:
     low, total = 0, 0
     for i, n in enumerate(counts):
-        if i > low and total + n > CHUNK_WORDS:
+        if i > low and total + n > most:
             yield low, i
             low, total = i, 0
         total += n
@@ -249,7 +266,7 @@ def _predict_batches(given, words_too: bool) -> Callable:
         f = given.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for low, high in _groups([len(t or "") // 5 for t in texts]):
+            for low, high in _groups([len(t or "") // 5 for t in texts], fitting(CHUNK_WORDS, len(f.languages))):
                 lists = [_words(t) if f.languages else [] for t in texts[low:high]]
                 counts = [len(x) for x in lists]
                 p = f.marginals([w for x in lists for w in x], counts)

@@ -84,6 +84,20 @@ def test_language_on_held_out_rows(spark, labelled, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "IN_ALL", 300, raising=False)  # fewer documents of each
+    monkeypatch.setattr(langid, "CELLS", 1 << 15, raising=False)
+    r = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {f"l{i:02}": ["".join(r.choice(letters) for _ in range(4)) for _ in range(6)] for i in range(70)}
+    rows = [(lang, " ".join("".join(r.choice(s) for _ in range(2)) for _ in range(30))) for lang, s in stems.items() for _ in range(8)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    field = langid.train(docs, lambda c: ~langid.held_out(c))
+    assert field.languages == sorted(stems)
+    out = langid.predict(docs, field).join(docs, "doc_id").filter(langid.held_out(F.col("doc_id")))
+    assert out.filter("lang_pred = lang").count() >= 0.95 * out.count() and out.select("lang").distinct().count() >= 50
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
