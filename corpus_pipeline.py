@@ -13,6 +13,8 @@ from leakloom.session import materialize
 
 #: Documents with this toxicity score or more go, and those of whose words benchmark windows cover any.
 TOXIC = 0.3
+#: Similarity of near-duplicates, of sets of five words; op5 has its own.
+NEAR = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    found = minhash.link(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
+    found = minhash.link(docs.select("doc_id", "text"), similarity=NEAR).filter("not kept").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 

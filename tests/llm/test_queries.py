@@ -46,3 +46,13 @@ def test_pipeline_stages(spark):
     assert not any('token = "' in t and "[SECRET]" not in t for t in texts) and len(texts) > n // 2
     last = corpus_pipeline.run(spark, SMALL)
     assert last.select("doc_id").distinct().count() == len(texts)
+
+
+def test_pipeline_drops_near_copies_from_a_similarity_of_80_per_cent(spark):
+    words = [f"w{i}" for i in range(200)]
+    near, far = list(words[:100]), list(words[100:])
+    near[30], near[70] = "x", "y"  # 86 of 106 shingles in common
+    for i in (20, 50, 80):  # 81 of 111
+        far[i] = "z"
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words[:100], near, words[100:], far))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()} == {0, 2, 3}
