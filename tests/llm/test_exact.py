@@ -297,6 +297,16 @@ def test_substrings_against_a_scan_in_order(spark, odd, empty, monkeypatch):
     assert substrings.dedup(odd).count() == odd.count()
 
 
+def test_substrings_of_texts_that_repeat_themselves_at_once(spark):
+    r = random.Random(12)
+    texts = ["x " * n for n in (1, 19, 20, 21, 22, 45)] + ["a b " * 40, "a b c d e f g " * 9, " ".join(f"q{i % 15}" for i in range(70))]
+    texts += [" ".join(r.choice("ab") for _ in range(r.randint(15, 120))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for window in (20, 5, 1):
+        got = {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in substrings.dedup(docs, window=window).collect()}
+        assert got == plain_removed(list(enumerate(texts)), window)
+
+
 def test_substring_index_takes_further_batches(spark):
     docs = corpus(spark, 120, seed=5)
     index = substrings.FingerprintIndex(spark, 12, fanout=2)
