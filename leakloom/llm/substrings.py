@@ -1,240 +1,428 @@
-"""Substring dedup with a log-structured index of window fingerprints.
-
-A window is a run of consecutive words, its fingerprint a 64-bit hash with an independent check.
-Documents are dealt into slices, consecutive ranges of their ids of bounded size. Each slice sends
-its distinct fingerprints, sorted, to buckets by fingerprint range, so that a window common to many
-documents travels once a slice. A bucket merge-joins what a batch of slices sends with the sorted,
-immutable runs of earlier batches, verifies matches by their checks, answers each slice with the
-fingerprints that an earlier slice or batch holds, and writes the new ones as a run; once there are
-a few runs, they are compacted into one. Slices then remove covered words with the answers and
-with the repeats inside the slice.
+"""Substring dedup with a log-structured index of fingerprints.
+
+A window is a run of consecutive words. Its fingerprint in the index is the least hash of the shorter
+runs inside it (winnowing), so that equal windows have equal fingerprints while neighbours mostly
+share theirs. Documents are dealt by a hash into slices of bounded size, and a slice sends its distinct
+fingerprints, sorted, to buckets. A bucket merge-joins a batch with the sorted, immutable runs of
+earlier batches, tells all holders of a fingerprint that another slice has too, and writes what is new
+as a run; once there are a few runs, the same pass writes them as one. Candidates are then verified on
+whole windows: slices send the 96-bit digests of windows with a shared fingerprint, and buckets say
+which of them start earlier elsewhere. Slices remove the covered words with these answers and with the
+repeats inside the slice.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakloom.llm.words import SPACED, Words, grams, mix, slices
-from leakloom.session import drop_at_exit, drop_path, release_shuffles, shared_dir, ship_package
+from leakloom.session import drop_at_exit, drop_path, materialize, shared_dir, ship_package
 
-#: Words of a window.
-WINDOW = 20
-#: Bytes of text of a slice, and of all text for each bucket, about; the most buckets.
-SLICE_BYTES, BUCKET_BYTES, BUCKETS = 4 << 20, 8 << 20, 65_536
+#: Words of a window, and of the runs of which the least hash is its fingerprint.
+WINDOW, ANCHOR = 20, 7
+#: Bytes of text of a slice, and of all text for each bucket, about.
+SLICE_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 #: Batches in which a whole table passes the index, and runs that are compacted.
-BATCHES, FANOUT = 2, 4
+BATCHES, FANOUT = 2, 2
+#: Bytes of text and number of fingerprints that a task gathers before it sends them.
+HELD_BYTES, HELD = 16 << 20, 2_000_000
+#: Slices of different calls have different numbers: the call's number stands above these bits.
+CALL_BITS = 32
+_U = np.uint64
+_NO_ID = np.iinfo(np.int64).min
 
 
-def fingerprints(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint and check of the window that starts at each word, and whether it lies in one text."""
-    h = w.hashes()
-    g, inside = grams(h, w.bounds, window)
-    other, _ = grams(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), w.bounds, window)
-    return g, (other >> np.uint64(48)).astype(np.uint16), inside
+def anchors(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fingerprint of the window that starts at each word, the first place in it that gives this, and whether it lies in one text."""
+    k = min(ANCHOR, window)
+    g, _ = grams(h, w.bounds, k)
+    n = len(h)
+    out, at, inside = np.zeros(n, _U), np.zeros(n, np.int64), np.repeat(w.bounds[1:], w.counts) - np.arange(n) >= window
+    if n >= window:
+        least, place, span, width = g[: n - k + 1], np.arange(n - k + 1), 1, window - k + 1
+        while span < width:
+            step = min(span, width - span)
+            right = least[step:] < least[:-step]
+            least, place = np.where(right, least[step:], least[:-step]), np.where(right, place[step:], place[:-step])
+            span += step
+        out[: len(least)], at[: len(least)] = least, place
+    return out, at, inside
 
 
-def edges_of(buckets: int) -> np.ndarray:
-    """The first fingerprint of each bucket after the first."""
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+def digests(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes, of 64 and of 32 bits, of the window that starts at each word."""
+    other, _ = grams(w.hashes(second=True), w.bounds, window)
+    return grams(h, w.bounds, window)[0], (other >> _U(32)).astype(np.uint32)
 
 
-def packed(fps: np.ndarray) -> bytes:
-    """Sorted fingerprints as gaps of equal width: a byte for the width, then the low bytes of each gap."""
-    gaps = np.diff(fps, prepend=np.uint64(0))
-    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def bucket_of(fps: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(fps + _U(1)) % _U(buckets)).astype(np.int64)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Sorted numbers as gaps of equal width: a byte for the width, then the low bytes of each gap."""
+    return narrow(np.diff(x, prepend=_U(0)))
 
 
 def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(widened(blob), dtype=_U)
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers of equal width: a byte for the width, then the low bytes of each."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widened(blob: bytes) -> np.ndarray:
     width = blob[0]
     low = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    gaps = np.zeros((len(low), 8), np.uint8)
-    gaps[:, :width] = low
-    return np.cumsum(gaps.view("<u8").reshape(-1), dtype=np.uint64)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :width] = low
+    return out.view("<u8").reshape(-1)
 
 
-def _blob_batches(window: int, buckets: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = edges_of(buckets)
-        held: dict[int, list] = {}
-
-        def send(part: int) -> pa.RecordBatch:
-            fps, checks = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
-            fps, first = np.unique(fps, return_index=True)
-            checks = checks[first]
-            cut = np.concatenate([[0], np.searchsorted(fps, edges), [len(fps)]])
-            some = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([part] * len(some), pa.int64()), pa.array([packed(fps[cut[i] : cut[i + 1]]) for i in some], pa.binary()), pa.array([checks[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())],
-                ["bucket", "slice", "fps", "checks"],
-            )
+def _runs_of(*keys: np.ndarray) -> np.ndarray:
+    """The places where a run of equal keys starts, and the end."""
+    n = len(keys[0])
+    new = np.zeros(n + 1, bool)
+    new[[0, n]] = True
+    for k in keys:
+        new[1:n] |= k[1:] != k[:-1]
+    return np.flatnonzero(new) if n else np.zeros(1, np.int64)
 
-        for batch in batches:
-            part_of = batch.column(0).to_numpy()
-            for low, high, w in slices(batch.column(1), SPACED, False):
-                g, check, inside = fingerprints(w, window)
-                owner = np.repeat(part_of[low:high], w.counts)[inside]
-                g, check = g[inside], check[inside]
-                for part in np.unique(owner).tolist():
-                    mine = owner == part
-                    held.setdefault(part, []).append((g[mine], check[mine]))
-                for part in sorted(held):  # rows mostly come by id: what is not the latest slice is complete, or goes in parts
-                    if len(held) > 2 or sum(len(x[0]) for x in held[part]) > 4_000_000:
-                        yield send(part)
-        for part in sorted(held):
-            yield send(part)
 
-    return run
+def _table(rows: list[tuple], fields: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+
+_SENT = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("fps", pa.binary())])
+_SENT_DDL = "bucket long, slice long, fps binary"
 
 
-_BLOBS = "bucket int, slice long, fps binary, checks binary"
+def _anchor_batches(window: int, buckets: int) -> Callable:
+    """Of (slice, text) the distinct fingerprints of each slice, sorted, by bucket."""
+
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        of, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = bucket_of(fps, buckets)
+        by = np.lexsort((fps, of, at))
+        fps, of, at = fps[by], of[by], at[by]
+        first = _runs_of(fps, of, at)[:-1]
+        fps, of, at = fps[first], of[first], at[first]
+        cut = _runs_of(of, at)
+        return _table([(int(at[a]), int(of[a]), packed(fps[a:b])) for a, b in itertools.pairwise(cut.tolist())], _SENT).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            for low, high, w in slices(batch.column(1), SPACED, False):
+                fps, place, inside = anchors(w, w.hashes(), window)
+                if inside.any():
+                    first = _runs_of(place[inside])[:-1]  # neighbours mostly agree
+                    held.append((np.repeat(of[low:high], w.counts)[inside][first], fps[inside][first]))
+                    n += len(first)
+                if n > HELD:
+                    yield sent(held)
+                    held, n = [], 0
+        if held:
+            yield sent(held)
 
+    return run
 
-def _merge(key: tuple, run: pa.Table, sent: pa.Table) -> pa.Table:
-    """Merge-join what slices sent to a bucket with its runs: answers (kind 0, key: slice) and the new run (kind 1, key: bucket)."""
-    parts = np.asarray(sent.column("slice"))
-    order = np.argsort(parts, kind="stable")
-    of_runs, of_slices = [unpacked(x) for x in run.column("fps").to_pylist()], [unpacked(x) for x in sent.column("fps").to_pylist()]
-    checks = [np.frombuffer(x, np.uint16) for t in (run, sent) for x in t.column("checks").to_pylist()]
-    pieces, marks = of_runs + of_slices, [-1] * len(of_runs) + parts.tolist()
-    first = [*range(len(of_runs)), *(order + len(of_runs))]
-    fps, checks = (np.concatenate([x[i] for i in first]) if first else np.zeros(0, np.uint64) for x in (pieces, checks))
-    owner = np.repeat([marks[i] for i in first], [len(pieces[i]) for i in first])
-    by = np.argsort(fps, kind="stable")  # sorted pieces are merged; equal fingerprints stay in the order of slices
-    fps, checks, owner = fps[by], checks[by], owner[by]
-    new = np.diff(fps, prepend=np.uint64(0)) != 0
-    new[:1] = True
-    least = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = (owner > owner[least]) & (checks == checks[least])
-    rows = [(0, int(part), packed(fps[again & (owner == part)]), b"") for part in np.unique(owner[again]).tolist()]
-    fresh = new & (owner >= 0)
-    if fresh.any():
-        rows.append((1, key[0].as_py(), packed(fps[fresh]), checks[fresh].tobytes()))
-    return _table(rows)
 
+_MERGED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("fps", pa.binary()), ("owners", pa.binary())])
+_MERGED_DDL = "kind int, key long, fps binary, owners binary"
 
-def _compact(key: tuple, table: pa.Table) -> pa.Table:
-    fps = np.concatenate([unpacked(x) for x in table.column("fps").to_pylist()])
-    checks = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("checks").to_pylist()])
-    fps, first = np.unique(fps, return_index=True)
-    return _table([(1, key[0].as_py(), packed(fps), checks[first].tobytes())])
 
+def _merge(whole: bool, every: bool) -> Callable:
+    """Merge-join what slices sent to a bucket with its runs.
 
-def _table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "key", "fps", "checks"])
+    Gives answers (kind 0, key: a slice) with the fingerprints that another slice has too, and the new
+    run (kind 1, key: the bucket): its fingerprints with the slice that has them (and one added). whole
+    writes what the runs held as well. Of a fingerprint of several slices, which have then been told,
+    every keeps all of them for later calls; else one entry stays, with 0.
+    """
 
+    def run(key: tuple, runs: pa.Table, sent: pa.Table) -> pa.Table:
+        pieces = [unpacked(x) for x in runs.column("fps").to_pylist()]
+        owners = [widened(x).astype(np.int64) for x in runs.column("owners").to_pylist()]
+        old = sum(map(len, pieces))
+        pieces += [unpacked(x) for x in sent.column("fps").to_pylist()]
+        if not pieces:
+            return _table([], _MERGED)
+        owners += [np.full(len(p), o + 1) for p, o in zip(pieces[len(owners) :], sent.column("slice").to_pylist(), strict=True)]
+        fps, owner = np.concatenate(pieces), np.concatenate(owners)
+        new = np.arange(len(fps)) >= old
+        by = np.lexsort((new, owner, fps))
+        by = by[_runs_of(fps[by], owner[by])[:-1]]  # a slice may have sent it in several parts
+        fps, owner, new = fps[by], owner[by], new[by]
+        cut = _runs_of(fps)
+        first, size = cut[:-1], np.diff(cut)
+        least, most = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+        told, fresh = least == 0, np.maximum.reduceat(new, first)
+        met = told | (least != most)
+        tell = np.repeat(met & fresh, size) & (owner > 0) & (new | every | ~np.repeat(told, size))
+        rows, to = [], owner[tell] - 1
+        if len(to):
+            turn = np.argsort(to, kind="stable")
+            to, said = to[turn], fps[tell][turn]
+            for a, b in itertools.pairwise(_runs_of(to).tolist()):
+                rows.append((0, int(to[a]), packed(said[a:b]), b""))
+        if every:
+            kept = new | whole
+            if kept.any():
+                rows.append((1, key[0].as_py(), packed(fps[kept]), narrow(owner[kept].astype(_U))))
+            return _table(rows, _MERGED)
+        kept = np.ones(len(first), bool) if whole else fresh & ~told
+        if kept.any():
+            rows.append((1, key[0].as_py(), packed(fps[first][kept]), narrow(np.where(met, 0, least)[kept].astype(_U))))
+        return _table(rows, _MERGED)
 
-_MERGED = "kind int, key long, fps binary, checks binary"
+    return run
 
 
 class FingerprintIndex:
-    """Runs of fingerprints as files of a table bucketed by their key; files are added, never changed.
+    """Runs of sorted fingerprints with their slices, as files that are added and never changed.
 
-    As the table is read by bucket, a merge join does not shuffle it; only the new batch travels.
-    Once it holds fanout runs, they are compacted into one run of a new table.
+    Without a number of buckets, the first call's size gives it. With texts kept, later calls verify their windows against those of former ones. Once there are
+    fanout runs, the pass that merges a batch writes all of them as one run and drops the others.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT):
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT, texts: bool = True):
+        self.spark, self.buckets, self.fanout, self.texts = spark, buckets, fanout, texts
         self.path = f"{shared_dir(spark).rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
-        self.table, self.runs = "", 0
+        self.runs: list[str] = []
+        self.kept: list[str] = []
+        self.calls = 0
         drop_at_exit(spark, self.path)
 
-    def _read(self) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], "key long, fps binary, checks binary")
-        return self.spark.table(self.table)
-
-    def _write(self, merged: DataFrame) -> None:
-        if not self.runs:
-            self.table = f"fingerprints_{uuid.uuid4().hex}"
-        rows = merged.select("key", "fps", "checks").write.mode("append").bucketBy(self.buckets, "key")
-        rows.option("path", f"{self.path}/{self.table}").saveAsTable(self.table)
-        self.runs += 1
-
-    def add(self, blobs: DataFrame) -> DataFrame:
-        """Merge a batch's blobs into the index; returns its answers: (slice, fps), fingerprints met before."""
-        path = f"{self.path}/merged-{uuid.uuid4().hex}"
-        sent = blobs.withColumn("key", F.col("bucket").cast("long"))
-        self._read().groupBy("key").cogroup(sent.groupBy("key")).applyInArrow(_merge, _MERGED).write.partitionBy("kind").parquet(path)
-        del sent, blobs
-        release_shuffles(self.spark, 2)  # what was sent is merged
-        merged = self.spark.read.schema(_MERGED).parquet(path)
-        self._write(merged.filter("kind = 1"))
-        drop_path(self.spark, f"{path}/kind=1")
+    def add(self, sent: DataFrame) -> DataFrame:
+        """Merge a batch into the index; returns its answers: (slice, fps), fingerprints that several slices have."""
+        path, whole = f"{self.path}/run-{uuid.uuid4().hex}", len(self.runs) + 1 >= self.fanout
+        runs = self.spark.createDataFrame([], _MERGED_DDL)
+        for old in self.runs:
+            runs = runs.unionByName(self.spark.read.schema(_MERGED_DDL).parquet(old).filter("kind = 1"))
+        runs = runs.select(F.col("key").alias("bucket"), "fps", "owners")
+        runs.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_merge(whole, self.texts), _MERGED_DDL).write.partitionBy("kind").parquet(path)
+        merged = self.spark.read.schema(_MERGED_DDL).parquet(path)
+        if whole:
+            for old in self.runs:
+                drop_path(self.spark, f"{old}/kind=1")  # its answers stay
+            self.runs = []
+        self.runs.append(path)
         return merged.filter("kind = 0").select(F.col("key").alias("slice"), "fps")
 
-    def compact(self) -> None:
-        """Merge all runs into one once there are fanout of them."""
-        if self.runs >= self.fanout:
-            old, rows = self.table, self._read()
-            self.runs = 0
-            self._write(rows.groupBy("key").applyInArrow(_compact, _MERGED))
-            self.spark.sql(f"DROP TABLE {old}")
-            drop_path(self.spark, f"{self.path}/{old}")
-
-
-def cuts_of(docs: DataFrame, n: int) -> list[float]:
-    """Ids that part the table into about n slices of equal row counts."""
-    if n < 2:
-        return []
-    return sorted(set(docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)))
-
-
-def slice_of(doc_id: Column, cuts: list[float]) -> Column:
-    """The number of cuts at or below an id, by binary search; a null id is in the first slice."""
-    if not cuts:
-        return F.lit(0).cast("long")
-    edges = F.from_json(F.lit("[" + ",".join(str(math.ceil(c)) for c in cuts) + "]"), "array<bigint>")
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-    found = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(cuts)) & (F.get(edges, at + s - 1) <= doc_id), at + s).otherwise(at))
-    return F.coalesce(F.when(doc_id.isNotNull(), found), F.lit(0)).cast("long")
-
-
-def _kept(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
-    """Remove covered words in a slice, whose rows are judged in the order of their ids."""
-    ids, texts = docs.column("doc_id").to_pylist(), [t or "" for t in docs.column("text").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
-    column = pa.array([texts[i] for i in order], pa.large_string())
-    met = [unpacked(x) for x in answers.column("fps").to_pylist()]
-    met = np.unique(np.concatenate(met)) if met else np.zeros(0, np.uint64)
-    pieces = [(w, *fingerprints(w, window)) for _, _, w in slices(column, SPACED, False)]
-    n_words, n_removed, kept, at = [], [], [], 0
-    if pieces:
-        g, inside = np.concatenate([p[1] for p in pieces]), np.concatenate([p[3] for p in pieces])
-        starts = np.flatnonzero(inside)
-        fps = g[starts]
-        again = np.ones(len(fps), bool)
-        again[np.unique(fps, return_index=True)[1]] = False  # the first in the slice
-        if len(met):
-            place = np.minimum(np.searchsorted(met, fps), len(met) - 1)
-            again |= met[place] == fps
-        cover = np.zeros(len(g) + window + 1, np.int32)
-        np.add.at(cover, starts[again], 1)
-        np.add.at(cover, starts[again] + window, -1)
-        covered = np.cumsum(cover)[: len(g)] > 0
-        counts = np.concatenate([p[0].counts for p in pieces])
-    else:
-        counts = np.zeros(0, np.int64)
-    for i, n in zip(order, counts.tolist(), strict=True):
-        gone = covered[at : at + n]
-        words, removed = texts[i].encode().split(), int(gone.sum())  # bytes are split at the same white space
-        if removed:
-            words = itertools.compress(words, (~gone).tolist())
-        n_words.append(n)
-        n_removed.append(removed)
-        kept.append(b" ".join(words).decode())
+    def keep(self, dealt: DataFrame) -> None:
+        """Keep the texts of a call for later ones."""
+        path = f"{self.path}/texts-{uuid.uuid4().hex}"
+        dealt.write.parquet(path)
+        self.kept.append(path)
+
+    def former(self, slices: DataFrame) -> DataFrame | None:
+        """The kept texts of those slices."""
+        if not self.kept:
+            return None
+        return self.spark.read.schema(_DEALT_DDL).parquet(*self.kept).join(slices, "slice", "left_semi")
+
+    def drop(self) -> None:
+        """Delete all files of the index."""
+        drop_path(self.spark, self.path)
+
+
+_DEALT = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("texts", pa.binary())])
+_DEALT_DDL = "slice long, ids array<long>, ends array<long>, texts binary"
+
+
+def _deal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slice, doc_id, text) as compressed blocks of a slice's texts, so that texts travel small."""
+    codec = pa.Codec("zstd", compression_level=3)
+
+    def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        of = table.column(0).to_numpy()
+        by = np.argsort(of, kind="stable")
+        of, ids = of[by], table.column(1).combine_chunks().take(pa.array(by))
+        texts = pc.fill_null(table.column(2).cast(pa.large_string()).combine_chunks().take(pa.array(by)), "")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2] or pa.py_buffer(b"")
+        rows = []
+        for a, b in itertools.pairwise(_runs_of(of).tolist()):
+            rows.append((int(of[a]), ids[a:b].to_pylist(), ends[a + 1 : b + 1] - ends[a], codec.compress(data[int(ends[a]) : int(ends[b])], asbytes=True)))
+        return _table(rows, _DEALT).combine_chunks().to_batches()[0]
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > HELD_BYTES:
+            yield blocks(held)
+            held, size = [], 0
+    if held:
+        yield blocks(held)
+
+
+class _Slice:
+    """The documents of a slice in the order of their ids, with the windows that may repeat."""
+
+    def __init__(self, dealt: pa.Table, met: list[bytes], window: int):
+        self.ids, texts = [], []
+        codec = pa.Codec("zstd")
+        for ids, ends, blob in zip(*(dealt.column(c).to_pylist() for c in ("ids", "ends", "texts")), strict=True):
+            data = codec.decompress(blob, decompressed_size=ends[-1], asbytes=True) if ends[-1] else b""
+            self.ids += ids
+            texts += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        order = sorted(range(len(texts)), key=lambda i: (self.ids[i] is not None, self.ids[i] or 0, texts[i]))
+        self.ids, self.texts = [self.ids[i] for i in order], [texts[i] for i in order]
+        column = pa.array(self.texts, pa.large_binary()).view(pa.large_string())
+        told = np.unique(np.concatenate([unpacked(x) for x in met])) if met else np.zeros(0, _U)
+        counts, starts, fps, checks, shared, found, at = [], [], [], [], [], [], 0
+        for _, _, w in slices(column, SPACED, False):
+            h = w.hashes()
+            found.append((w, h, *anchors(w, h, window)))
+        # Equal windows have equal fingerprints at different places, so both of these are met here or elsewhere.
+        mine = [a[inside][_runs_of(place[inside])[:-1]] for _, _, a, place, inside in found if inside.any()]
+        seen, times = np.unique(np.concatenate(mine) if mine else np.zeros(0, _U), return_counts=True)
+        twice = seen[times > 1]
+        for w, h, a, _, inside in found:
+            outside = _within(a, told)
+            may = np.flatnonzero(inside & (outside | _within(a, twice)))
+            if len(may):
+                f, c = digests(w, h, window)
+                starts.append(may + at)
+                fps.append(f[may])
+                checks.append(c[may])
+                shared.append(outside[may])
+            counts.append(w.counts)
+            at += len(h)
+        empty = np.zeros(0, np.int64)
+        self.counts = np.concatenate(counts) if counts else empty
+        self.starts = np.concatenate(starts) if starts else empty
+        self.fps = np.concatenate(fps) if fps else np.zeros(0, _U)
+        self.checks = np.concatenate(checks) if checks else np.zeros(0, np.uint32)
+        shared = np.concatenate(shared) if shared else np.zeros(0, bool)
+        self.words = at
+        # Equal windows side by side, the earliest first.
+        self.by = np.lexsort((self.starts, self.checks, self.fps))
+        self.cut = _runs_of(self.fps[self.by], self.checks[self.by])
+        self.first = self.by[self.cut[:-1]]
+        self.asked = np.flatnonzero(shared[self.first]) if len(self.first) else empty  # equal windows share this
+
+    def owners(self) -> np.ndarray:
+        """The id of the document that holds the first of each group of equal windows that is asked for."""
+        ends = np.cumsum(self.counts)
+        ids = np.array([_NO_ID if i is None else i for i in self.ids], np.int64)
+        return ids[np.searchsorted(ends, self.starts[self.first[self.asked]], "right")]
+
+    def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each bucket with the groups, places in asked, that it is asked for; sorted by digest."""
+        at = bucket_of(self.fps[self.first[self.asked]], buckets)
+        order = np.argsort(at, kind="stable")
+        for a, b in itertools.pairwise(_runs_of(at[order]).tolist()):
+            yield int(at[order[a]]), order[a:b]
+
+
+def _within(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of x are in held, which is sorted."""
+    if not len(held):
+        return np.zeros(len(x), bool)
+    return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
+
+
+_ASKED = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("fps", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary())])
+_ASKED_DDL = "bucket long, slice long, fps binary, checks binary, ids binary"
+
+
+def _ask(window: int, buckets: int) -> Callable:
+    """The digests of a slice's windows with a shared fingerprint, each once, with the id that holds its first."""
+
+    def run(key: tuple, dealt: pa.Table, answers: pa.Table) -> pa.Table:
+        met = answers.column("fps").to_pylist()
+        if not met or not dealt.num_rows:
+            return _table([], _ASKED)
+        s = _Slice(dealt, met, window)
+        ids, rows = s.owners(), []
+        for bucket, groups in s.by_bucket(buckets):
+            at, own = s.first[s.asked[groups]], ids[groups]
+            low = int(own.min())
+            rows.append((bucket, key[0].as_py(), packed(s.fps[at]), s.checks[at].tobytes(), low.to_bytes(8, "little", signed=True) + narrow((own - low).view(_U))))
+        return _table(rows, _ASKED)
+
+    return run
+
+
+_ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])
+_ANSWER_DDL = "slice long, bucket long, bits binary"
+
+
+def _verify(key: tuple, asked: pa.Table) -> pa.Table:
+    """For each slice which of its windows start earlier in another: in a former call, or a smaller id."""
+    of = asked.column("slice").to_pylist()
+    fps = [unpacked(x) for x in asked.column("fps").to_pylist()]
+    checks = np.concatenate([np.frombuffer(x, np.uint32) for x in asked.column("checks").to_pylist()])
+    ids = np.concatenate([widened(x[8:]).view(np.int64) + np.int64(int.from_bytes(x[:8], "little", signed=True)) for x in asked.column("ids").to_pylist()])
+    size = [len(x) for x in fps]
+    slice_, fps = np.repeat(np.array(of, np.int64), size), np.concatenate(fps)
+    by = np.lexsort((slice_, ids, slice_ >> CALL_BITS, checks, fps))
+    again = np.ones(len(fps), bool)
+    again[by[_runs_of(fps[by], checks[by])[:-1]]] = False
+    rows, at = [], 0
+    for s, n in zip(of, size, strict=True):
+        bits = again[at : at + n]
         at += n
-    return pa.Table.from_arrays([pa.array([ids[i] for i in order], pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+        if bits.any():
+            rows.append((s, key[0].as_py(), np.packbits(bits).tobytes()))
+    return _table(rows, _ANSWER)
+
+
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+
+def _kept(window: int, buckets: int) -> Callable:
+    """Remove a slice's covered words, by the answers to it (fps: what it shares; bits: what starts earlier elsewhere)."""
+
+    def run(key: tuple, dealt: pa.Table, answers: pa.Table) -> pa.Table:
+        if not dealt.num_rows:
+            return _table([], _KEPT)
+        s = _Slice(dealt, [x for x in answers.column("fps").to_pylist() if x is not None], window)
+        bits = {b: x for b, x in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True) if x is not None}
+        again = np.ones(len(s.starts), bool)
+        again[s.first] = False
+        for bucket, groups in s.by_bucket(buckets):
+            if bucket in bits:
+                earlier = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(groups)).astype(bool)
+                again[s.first[s.asked[groups[earlier]]]] = True
+        cover = np.zeros(s.words + window + 1, np.int32)
+        np.add.at(cover, s.starts[again], 1)
+        np.add.at(cover, s.starts[again] + window, -1)
+        covered = np.cumsum(cover)[: s.words] > 0
+        removed, kept, at = [], [], 0
+        for text, n in zip(s.texts, s.counts.tolist(), strict=True):
+            gone = covered[at : at + n]
+            removed.append(int(gone.sum()))
+            words = text.split()  # bytes are split at the same white space
+            kept.append(b" ".join(itertools.compress(words, (~gone).tolist()) if removed[-1] else words).decode())
+            at += n
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((s.ids, s.counts, removed, kept), _KEPT, strict=True)], schema=_KEPT)
+
+    return run
+
+
+def slice_of(doc_id: Column, text: Column, n: int, window: int) -> Column:
+    """The slice of a row, by a hash of its id and text; a text too short for a window stays with its partition's."""
+    short = F.coalesce(F.octet_length(text), F.lit(0)) < 2 * window - 1
+    return F.pmod(F.when(short, F.xxhash64(F.spark_partition_id())).otherwise(F.xxhash64(doc_id, text)), F.lit(n)).cast("long")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, index: FingerprintIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,34 +430,46 @@ def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, index:
 
     A word goes if a window that covers it also starts earlier: in a row of a smaller id, earlier in
     the same row, or in an index given from former calls. Null and empty texts have no words; rows
-    without an id come first and rows that repeat an id are ordered by text; an empty table gives no
-    rows. All rows are judged on the input, not on what is left of it.
+    without an id come first, and rows that repeat an id are ordered by a hash of their texts; rows
+    equal in both are handled in one slice, where all but one of them lose their windows; an empty
+    table gives no rows. All rows are judged on the input, not on what is left of it.
     """
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cuts = cuts_of(rows, -(-size // SLICE_BYTES))
-    index = index or FingerprintIndex(spark, min(BUCKETS, max(12, -(-size // BUCKET_BYTES))))
-    dealt = rows.withColumn("slice", slice_of(F.col("doc_id"), cuts))
-    n, answers = len(cuts) + 1, spark.createDataFrame([], "slice long, fps binary")
-    bounds = [n * i // batches for i in range(batches + 1)]
-    for low, high in itertools.pairwise(bounds):
-        if low == high:
-            continue
-        least, most = (cuts[low - 1] if low else None), (cuts[high - 1] if high < n else None)
-        part = dealt if least is None else dealt.filter(F.col("doc_id") >= math.ceil(least))
-        part = part if most is None else part.filter((F.col("doc_id") < math.ceil(most)) | F.col("doc_id").isNull()) if low == 0 else part.filter(F.col("doc_id") < math.ceil(most))
-        answers = answers.unionByName(index.add(part.select("slice", "text").mapInArrow(_blob_batches(window, index.buckets), _BLOBS)))
-        index.compact()
-    grouped = dealt.groupBy("slice").cogroup(answers.groupBy("slice"))
-    return grouped.applyInArrow(lambda a, b: _kept(a, b, window), "doc_id long, n_words long, n_removed long, kept string")
+    n = max(1, -(-size // SLICE_BYTES))
+    index = index or FingerprintIndex(spark, texts=False)
+    index.buckets = index.buckets or max(12, -(-size // BUCKET_BYTES))
+    call = F.lit(index.calls << CALL_BITS)
+    index.calls += 1
+    placed = rows.withColumn("slice", slice_of(F.col("doc_id"), F.col("text"), n, window) + call)
+    shared = None
+    for b in range(batches):  # a batch is a part of the slices
+        part = placed.filter(F.pmod("slice", F.lit(batches)) == b).filter(F.octet_length("text") >= 2 * window - 1)
+        answers = index.add(part.select("slice", "text").mapInArrow(_anchor_batches(window, index.buckets), _SENT_DDL))
+        shared = answers if shared is None else shared.unionByName(answers)
+    dealt = placed.select("slice", "doc_id", "text").mapInArrow(_deal_batches, _DEALT_DDL)
+    if index.texts:
+        former = index.former(shared.select("slice").distinct())
+        index.keep(dealt)
+        every = dealt if former is None else dealt.unionByName(former)
+    else:
+        every = dealt
+    asked = every.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(_ask(window, index.buckets), _ASKED_DDL)
+    bits = materialize(asked.groupBy("bucket").applyInArrow(_verify, _ANSWER_DDL), "earlier")
+    told = shared.withColumns({"bucket": F.lit(None).cast("long"), "bits": F.lit(None).cast("binary")})
+    told = told.unionByName(bits.withColumn("fps", F.lit(None).cast("binary")))
+    return dealt.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_kept(window, index.buckets), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Words of every document that repeated windows of 20 words cover, and a digest of the others."""
-    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    index = FingerprintIndex(spark, texts=False)
+    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), index=index)
+    out = materialize(out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "substrings")
+    index.drop()
+    return out
 
 
 OP7_SQL = f"""

@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; one longer text is handled alone, whole.
 SLICE_BYTES = 1 << 20
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
+# Multipliers of two independent polynomial hashes of a word's bytes, and of the hash of consecutive words.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEP = _U(0xD1342543DE82EF95)
-_powers = [np.ones(1, _U), np.ones(1, _U)]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -47,13 +47,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            grown = np.full(max(n, 1 << 16), base, _U)
+def _power(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, modulo 2 ** 64."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        both = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            grown = np.full(max(n, 1 << 16), x, _U)
             grown[0] = 1
-            _powers[i] = np.multiply.accumulate(grown)
-    return _powers[0][:n], _powers[1][:n]
+            both.append(np.multiply.accumulate(grown))
+        _powers[base] = tuple(both)
+    return _powers[base][0][:n], _powers[base][1][:n]
 
 
 @dataclass
@@ -69,12 +72,12 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; the second one is independent of the first."""
         n = len(self.data)
         if not len(self.starts):
             return np.zeros(0, _U)
-        power, inverse = _power(n + 1)
+        power, inverse = _power(n + 1, _BASES[second])
         total = np.zeros(n + 1, _U)
         np.cumsum((self.data.astype(_U) + _U(1)) * power[:n], out=total[1:])
         h = (total[self.ends] - total[self.starts]) * inverse[self.starts]
