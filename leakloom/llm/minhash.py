@@ -3,11 +3,17 @@
 A document's shingle hashes fall into bins by their leading bits, the least in each bin is its
 minimum, and empty bins borrow from full ones by optimal densification. Bands of bins give buckets.
 Documents with equal shingle sets are one node. A bucket gives star-shaped candidate edges from its
-most central node only; every edge is confirmed on the full sets. Buckets whose nodes are then still in
-different components go on: their nodes are dealt anew, by the rarest of their shingles, of which any
-similar two must share one, and in these finer buckets the nodes outside the main component become
-further hubs, round by round, until no bucket is open. So no link between nodes that share a bucket
-is lost, and pairs never grow with the square of a bucket.
+most central node only: one pair less than it has nodes. Candidates are confirmed on the full sets,
+once sizes and short signatures of the sets allow them. Buckets whose nodes are then still in different
+components go on: their nodes are dealt anew, by the rarest of their shingles, of which any similar two
+must share one, and in these finer buckets the nodes outside the main component become further hubs,
+round by round, until no bucket is open. So no link between nodes that share a bucket is lost.
+
+Pairs of the further rounds are bounded as in a prefix join: only nodes of different components that
+share a prefix shingle are compared, and only those are confirmed on full sets whose sizes, places of
+the shingle and signatures leave room for the similarity. In a group of documents that all lie just
+below the similarity, comparisons still grow faster than the group; confirmed pairs are then about
+those within a tenth of the difference that the similarity allows.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakloom.llm.graph import components
@@ -29,6 +35,9 @@ SHINGLE, SIMILARITY = 5, 0.85
 BITS, BAND = 8, 6
 #: Further hubs of an open bucket in the first round, about; twice as many in each further one.
 SMALL = 64
+#: 64-bit words of a set's signature: for each of so many cells whether an odd number of its shingles falls there.
+SIGNATURE = 4
+_SIGNS = [f"g{i}" for i in range(SIGNATURE)]
 
 
 def sets_of(w: Words, k: int = SHINGLE) -> list[np.ndarray]:
@@ -82,25 +91,62 @@ def _set_sums(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return a, b
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Parities of the shingles in each cell (a row a set): where two differ, the sets have a shingle that the other lacks."""
+    cells = 64 * SIGNATURE
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * cells + (flat % np.uint64(cells)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * cells) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(len(sets), SIGNATURE)
+
+
 def _document_batches(k: int, whole_sets: bool) -> Callable:
+    """Of (doc_id, text, ...) the size, digests and values of the set: all of them, or its buckets with its signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, w in slices(batch.column(1), SPACED, True):
                 sets = sets_of(w, k)
                 a, b = _set_sums(sets)
                 columns = [batch.column(0).slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
+                names = ["doc_id", "n_shingles", "s1", "s2", "values"]
                 if whole_sets:
                     columns.append(pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
                 else:
                     some = [i for i, s in enumerate(sets) if len(s)]
                     found = dict(zip(some, buckets(sketch([sets[i] for i in some])), strict=True)) if some else {}
                     columns.append(pa.array([found.get(i, np.zeros(0, np.int64)) for i in range(len(sets))], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "s1", "s2", "values"])
+                    columns += [pa.array(g) for g in signatures(sets).T] + [c.slice(low, high - low) for c in batch.columns[2:]]
+                    names += _SIGNS + batch.schema.names[2:]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, values array<long>"
+_SETS = "doc_id long, n_shingles long, s1 long, s2 long, values array<long>"
+_SKETCHES = _SETS + "".join(f", {g} long" for g in _SIGNS)
+
+
+def _least_shared(na: Column, nb: Column, per_cent: int) -> Column:
+    """The fewest shingles that sets of these sizes share at the similarity: 100 c >= p (na + nb - c)."""
+    return F.floor((per_cent * (na + nb) + (100 + per_cent - 1)) / (100 + per_cent)).cast("long")
+
+
+def _may_link(x: str, y: str, per_cent: int) -> Column:
+    """Whether sizes and signatures of x and y leave room for the similarity; no pair that has it fails."""
+    na, nb = F.col(f"{x}n"), F.col(f"{y}n")
+    apart = F.lit(0)
+    for g in _SIGNS:
+        apart = apart + F.bit_count(F.col(f"{x}{g}").bitwiseXOR(F.col(f"{y}{g}")))
+    return (100 * na >= per_cent * nb) & (100 * nb >= per_cent * na) & (apart <= na + nb - 2 * _least_shared(na, nb, per_cent))
+
+
+def allowed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes those that sizes and signatures do not rule out."""
+    brief = ["n", *_SIGNS]
+    left = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in brief])
+    right = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in brief])
+    return pairs.join(left, "a").join(right, "b").filter(_may_link("a_", "b_", round(similarity * 100))).select("a", "b")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -108,20 +154,20 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     per_cent = round(similarity * 100)
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("values").alias("va"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb"))
-    may = pairs.join(left, "a").join(right, "b").filter((100 * F.col("na") >= per_cent * F.col("nb")) & (100 * F.col("nb") >= per_cent * F.col("na")))
-    both = may.withColumn("both", F.size(F.array_intersect("va", "vb")).cast("long"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("va", "vb")).cast("long"))
     return both.filter(100 * F.col("both") >= per_cent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """The members (bucket, node) of buckets whose nodes lie in several components, with their root."""
+def _open(members: DataFrame, comps: DataFrame, tasks: int) -> DataFrame:
+    """The members (bucket, node, ...) of buckets whose nodes lie in several components, with their root."""
     rooted = members.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    return rooted.join(still, "bucket")
+    return rooted.join(materialize(still, "still", tasks), "bucket")  # a table, so that Spark can split a large bucket here
 
 
 def _prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, node) of members of open buckets, where a bucket now is a shingle of the node's prefix.
+    """(bucket, node, at, n, signature) of members of open buckets, where a bucket now is a shingle of
+    the node's prefix and at its place there.
 
     A pair at the similarity s shares at least s / (1 + s) of the sum of its sizes, and the least size
     that a partner can have is that of the smallest member of the same buckets, or s times its own.
@@ -129,7 +175,7 @@ def _prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     common among the first n - shared + 1 of each. Edits come first in that order, so that copies
     with too many of them meet only those with the same edits.
     """
-    involved = members.select("node").distinct().join(sets, "node").select("node", "n", "values")
+    involved = members.select("node").distinct().join(sets, "node").select("node", "n", "values", *_SIGNS)
     sized = members.select("bucket", "node").join(involved.select("node", "n"), "node")
     floor = sized.groupBy("bucket").agg(F.min("n").alias("least"))
     bound = sized.join(floor, "bucket").groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least"))
@@ -139,75 +185,84 @@ def _prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     held = involved.select("node", F.explode("values").alias("v"))
     counted = held.join(held.groupBy("v").agg(F.count("*").alias("c")), "v")
     ordered = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("values"))  # as many as a document has shingles
-    first = ordered.join(length, "node").select("node", F.explode(F.expr("slice(values, 1, length)")).alias("x"))
-    return first.filter("x.c > 1").select(F.col("x.v").alias("bucket"), "node")
+    first = ordered.join(length, "node").select("node", F.posexplode(F.expr("slice(values, 1, length)")).alias("at", "x"))
+    placed = first.filter("x.c > 1").select(F.col("x.v").alias("bucket"), "node", "at")
+    return placed.join(involved.select("node", "n", *_SIGNS), "node")
 
 
-def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and chosen of every row, and row_col if given: numbers that tell rows apart.
 
     component_id is the smallest id reachable by links of that similarity. Rows with equal sets link;
     null and empty texts have no shingles and link with nothing; a row without an id counts as
     linked but never gives the id of a component that has another; rows that repeat an id are judged
-    each by their own text; an empty table gives no rows.
+    each by their own text; an empty table gives no rows. kept says whether a row has its component's
+    id; chosen is true for one row of each component, of that id, and for all rows without shingles.
     """
-    ship_package(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(texts.mapInArrow(_document_batches(k, False), _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    spark, per_cent = docs.sparkSession, round(similarity * 100)
+    ship_package(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).cast("long").alias("row")] if row_col else []))
+    rows = texts.mapInArrow(_document_batches(k, False), _SKETCHES + ", row long" * bool(row_col))
+    rows = materialize(rows if row_col else rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
     tasks = max(24, texts.rdd.getNumPartitions() // 8)  # for tables of links: they are small beside the texts
     some = rows.filter("n_shingles > 0")
     # Documents with equal sets are one node, named by the row of the least id.
-    nodes = some.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("x"), F.first("values").alias("values"), F.first("n_shingles").alias("n"))
-    nodes = materialize(nodes.select("s1", "s2", F.col("x.row").alias("node"), F.col("x.doc_id").alias("doc_id"), "n", "values"), "nodes")
+    head = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    nodes = some.groupBy("s1", "s2").agg(F.min(head).alias("x"), F.first("values").alias("values"), F.first("n_shingles").alias("n"), *[F.first(g).alias(g) for g in _SIGNS])
+    nodes = materialize(nodes.select("s1", "s2", F.col("x.row").alias("node"), F.col("x.doc_id").alias("doc_id"), "n", "values", *_SIGNS), "nodes")
     placed = nodes.select("node", F.explode("values").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = materialize(placed.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
     members = materialize(placed.join(shared, "bucket"), "members")
     # The hub of a bucket is the node that meets most others in all its buckets: what others were copied from.
     score = members.groupBy("node").agg(F.sum("c").alias("score"))
-    hubs = members.join(score, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("hub"))
+    hubs = materialize(members.join(score, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("hub")), "hubs")
     members = materialize(members.select("bucket", "node").join(hubs, "bucket"), "members")
-    release_shuffles(docs.sparkSession)
-    involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "s1", "s2")
-    found = texts.join(involved.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_document_batches(k, True), _SCHEMA)
-    named = found.join(involved.filter("doc_id is not null"), ["doc_id", "s1", "s2"]).select("node", F.col("n_shingles").alias("n"), "values")
-    nameless = texts.filter("doc_id is null").mapInArrow(_document_batches(k, True), _SCHEMA).join(involved.filter("doc_id is null").select("node", "s1", "s2"), ["s1", "s2"])
-    sets = materialize(named.unionByName(nameless.select("node", F.col("n_shingles").alias("n"), "values")).dropDuplicates(["node"]), "sets")
-    release_shuffles(docs.sparkSession)
+    release_shuffles(spark)
+    involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "s1", "s2", *_SIGNS)
+    found = texts.select("doc_id", "text").join(involved.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_document_batches(k, True), _SETS)
+    full = [F.col("n_shingles").alias("n"), "values", *_SIGNS]
+    named = found.join(involved.filter("doc_id is not null"), ["doc_id", "s1", "s2"]).select("node", *full)
+    nameless = texts.select("doc_id", "text").filter("doc_id is null").mapInArrow(_document_batches(k, True), _SETS).join(involved.filter("doc_id is null").drop("doc_id"), ["s1", "s2"])
+    sets = materialize(named.unionByName(nameless.select("node", *full)).dropDuplicates(["node"]), "sets")
+    release_shuffles(spark)
     pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = materialize(confirm(pairs, sets, similarity), "links", tasks)
+    links = materialize(confirm(allowed(pairs, sets, similarity), sets, similarity), "links", tasks)
     comps = components(links, tasks)
-    left = materialize(_open(members.filter("node <> hub").select("bucket", "node"), comps), "open", tasks)
-    left, turn = materialize(_open(_prefixes(left, sets, similarity), comps), "open", tasks), 0
-    release_shuffles(docs.sparkSession)
+    left = materialize(_open(members.filter("node <> hub").select("bucket", "node"), comps, tasks), "open", tasks)
+    left, turn = materialize(_open(_prefixes(left, sets, similarity), comps, tasks), "open", tasks), 0
+    release_shuffles(spark)
     while not left.isEmpty():
         # Pairs inside the main component of a bucket need no test, so all others are its hubs: at once
         # if they are few, else a part of them that grows from round to round, chosen by a hash.
         sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("bucket", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"))
-        held = left.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # a prefix at most
         every = F.greatest(F.lit(1), F.expr(f"others div {SMALL << turn}"))
-        left = left.join(main, "bucket").withColumn("hub", (F.col("root") != F.col("main")) & ((F.col("others") <= SMALL << turn) | (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0)))
-        left = materialize(left.join(held, "node").select("bucket", "node", "root", "hub", "buckets"), "open", tasks)
-        x, y = left.alias("x"), left.filter("hub").alias("y")
-        # A pair is met in each bucket that it shares; it is taken in the first of them.
-        first = F.get(F.array_intersect("x.buckets", "y.buckets"), F.lit(0)) == F.col("x.bucket")
-        met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & (~F.col("x.hub") | (F.col("x.node") > F.col("y.node"))) & first)
-        pairs = met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-        links = materialize(links.unionByName(confirm(pairs.distinct(), sets, similarity)), "links", tasks)
+        hub = (F.col("root") != F.col("main")) & ((F.col("others") <= SMALL << turn) | (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0))
+        left = materialize(left.join(materialize(main, "main", tasks), "bucket").withColumn("hub", hub).drop("main", "others"), "open", tasks)
+        x, y = (left.select("bucket", "hub", "root", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "at", "n", *_SIGNS)]).withColumnsRenamed({"hub": f"{side}_hub", "root": f"{side}_root"}) for side in "xy")
+        # Of what the shingle's places leave, enough has to be shared.
+        ahead = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+        room = (ahead >= _least_shared(F.col("x_n"), F.col("y_n"), per_cent)) & _may_link("x_", "y_", per_cent)
+        once = (F.col("x_root") != F.col("y_root")) & (~F.col("x_hub") | (F.col("x_node") > F.col("y_node")))
+        met = x.withColumnRenamed("bucket", "of").join(y.filter("y_hub"), (F.col("of") == F.col("bucket")) & once & room)
+        pairs = met.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+        links = materialize(links.unionByName(confirm(pairs, sets, similarity)), "links", tasks)
         comps = components(links, tasks)
-        left = materialize(_open(left.filter("not hub").select("bucket", "node"), comps), "open", tasks)
+        left = materialize(_open(left.filter("not hub").drop("root", "hub"), comps, tasks), "open", tasks)
         turn += 1
     named = nodes.select("s1", "s2", "node", "doc_id").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.join(least, "root").select("s1", "s2", "component_id")
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(of_set.withColumn("linked", F.lit(True)), ["s1", "s2"], "left")
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("m")).select("root", F.col("m.doc_id").alias("component_id"), F.col("m.node").alias("head"))
+    of_set = named.join(least, "root").select("s1", "s2", "component_id", "head")
+    out = rows.select("doc_id", "n_shingles", "s1", "s2", "row").join(of_set, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.withColumn("chosen", (F.col("n_shingles") == 0) | F.col("row").eqNullSafe(F.col("head")))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "chosen", *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def op5_minhash_components(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents."""
-    return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return link(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("chosen")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
