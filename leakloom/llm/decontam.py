@@ -2,7 +2,7 @@
 
 A benchmark item gives windows of consecutive words, a window gives shingles, and a document word is
 hit when it lies in an occurrence of a window. Spark tasks cut documents to the runs of words in
-which each shingle may be the benchmark's (a Bloom filter of fixed size) and a whole window may fit;
+which each shingle may be the benchmark's (a Bloom filter of bounded size) and a whole window may fit;
 equal runs are then handled once. Shingles are ordered by the number of documents that hold them.
 As containment is to be complete, the prefix of a window that must join is its one rarest shingle;
 positions bound where the window can lie, and its words are compared one for one.
@@ -16,14 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakloom.llm.words import ALNUM, grams, slices
 from leakloom.session import materialize, ship_package
 
 #: Words of a window and of a shingle; a shorter item is one window, a shorter window one shingle.
 WINDOW, SHINGLE = 10, 5
-#: Bits of the Bloom filter, whatever the benchmark's size: 1 MB is broadcast.
-BLOOM_BITS = 1 << 23
+#: Bits of the Bloom filter for each of the benchmark's shingles, and the least and most bits in all: at most 64 MB are
+#: broadcast. Beyond 33 million shingles more of the texts pass the filter; what it lets pass is joined in any case.
+BLOOM_PER, BLOOM_LEAST, BLOOM_MOST = 16, 1 << 20, 1 << 29
 # Fixed value: the characters between words, once A-Z are lower-cased.
 BETWEEN = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,36 +43,52 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WIN
     return rows.select("item_id", F.explode(cut).alias("c")).select("item_id", F.size("c").alias("size"), F.array_join("c", " ").alias("win")).distinct()
 
 
-def _shingle_batches(k: int) -> Callable:
+def _bits(g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a filter of so many bits, a power of two."""
+    return (g & np.uint64(size - 1)).astype(np.int64), ((g >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _shingle_batches(k: int, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.asarray(batch.column(1))
             for low, high, w in slices(batch.column(0), ALNUM, False):
                 h = w.hashes()
                 out = [np.zeros(0, np.uint64)]
-                for size in np.unique(np.minimum(sizes[low:high], k)):
-                    g, inside = grams(h, w.bounds, int(size))
-                    out.append(g[inside & np.repeat(np.minimum(sizes[low:high], k) == size, w.counts)])
-                yield pa.RecordBatch.from_arrays([pa.array((np.unique(np.concatenate(out)) % np.uint64(BLOOM_BITS)).astype(np.int64))], ["bit"])
+                for n in np.unique(np.minimum(sizes[low:high], k)):
+                    g, inside = grams(h, w.bounds, int(n))
+                    out.append(g[inside & np.repeat(np.minimum(sizes[low:high], k) == n, w.counts)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_bits(np.concatenate(out), size))))], ["bit"])
 
     return run
 
 
 def bloom(windows: DataFrame, k: int = SHINGLE) -> np.ndarray:
-    """The Bloom filter of all shingles of the windows: BLOOM_BITS / 64 rows at most are gathered."""
-    bits = windows.select("win", "size").distinct().mapInArrow(_shingle_batches(k), "bit long")
+    """The Bloom filter of all shingles of the windows: BLOOM_MOST / 64 rows at most are gathered."""
+    each = windows.select("win", "size").distinct()
+    shingles = each.agg(F.sum(F.col("size") - F.least("size", F.lit(k)) + 1)).first()[0] or 0
+    size = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (BLOOM_PER * shingles).bit_length()))
+    bits = each.mapInArrow(_shingle_batches(k, size), "bit long")
     cells = bits.groupBy(F.expr("bit div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("set")).toPandas()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[cells["cell"].to_numpy()] = cells["set"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def _held(bloom_bytes: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Which hashes the filter holds."""
+    a, b = _bits(g, 8 * len(bloom_bytes))
+    return ((bloom_bytes[a >> 3] >> (a & 7).astype(np.uint8)) & (bloom_bytes[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def _run_batches(filter_bits, sizes: list[int], k: int) -> Callable:
+    """Of (carried, text) the number of words and the runs that windows may cover."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, w in slices(batch.column(1), ALNUM, True):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(w.counts.astype(np.int64)), pa.array(_runs(w, filter_bits.value, sizes, k), pa.list_(pa.string()))], ["doc_id", "n_words", "runs"]
+                    [batch.column(0).slice(low, high - low), pa.array(w.counts.astype(np.int64)), pa.array(_runs(w, filter_bits.value, sizes, k), pa.list_(pa.string()))], ["carried", "n_words", "runs"]
                 )
 
     return run
@@ -85,7 +103,7 @@ def _runs(w, held: np.ndarray, sizes: list[int], k: int) -> list[list[str]]:
         s = min(size, k)
         if s not in may:
             g, inside = grams(h, w.bounds, s)
-            may[s] = inside & held[(g % np.uint64(BLOOM_BITS)).astype(np.int64)]
+            may[s] = inside & _held(held, g)
         fits = may[s].copy()
         for j in range(1, size - s + 1):  # all its shingles have to be there, in one text
             fits[: max(0, n - j)] &= may[s][j:]
@@ -135,26 +153,44 @@ def run_hits(runs: DataFrame, windows: DataFrame, k: int = SHINGLE) -> DataFrame
     return hit.join(items, "run")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit and the sorted item_ids of every document (as strings).
-
-    Null and empty texts have no words; items without words have no windows; repeated rows are judged
-    each, items with equal texts all count; an empty benchmark hits nothing.
-    """
+def _met(docs: DataFrame, carried: Column, text: Column, items: DataFrame, window: int, k: int, item_id_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows as (row, carried, n_words, runs), written, and (row, n_hit, item_ids: an array a run) of those with hits."""
     spark = docs.sparkSession
     ship_package(spark)
     windows = materialize(item_windows(items, item_id_col, item_text_col, window), "windows")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # as many as a window has words at most
     bits = spark.sparkContext.broadcast(bloom(windows, k))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = rows.mapInArrow(_run_batches(bits, sizes, k), "doc_id long, n_words long, runs array<string>")
-    kept = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "runs")
+    rows = docs.select(carried.alias("carried"), text.alias("text"))
+    schema = T.StructType([rows.schema["carried"], T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.StringType()))])
+    kept = materialize(rows.mapInArrow(_run_batches(bits, sizes, k), schema).withColumn("row", F.monotonically_increasing_id()), "runs")
     each = kept.select("row", F.explode("runs").alias("run"))
     found = run_hits(each.groupBy("run").agg(F.count("*").alias("docs")), windows, k)
+    return kept, each.join(found, "run")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit and the sorted item_ids of every document (as strings).
+
+    Null and empty texts have no words; items without words have no windows; repeated rows are judged
+    each, items with equal texts all count; an empty benchmark hits nothing.
+    """
+    kept, met = _met(docs, F.col(id_col).cast("long"), F.col(text_col), items, window, k, item_id_col, item_text_col)
     ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("item_ids", lambda x: x.cast("string"))))))
-    of_row = each.join(found, "run").groupBy("row").agg(F.sum("n_hit").alias("n_hit"), ids.alias("item_ids"))
+    of_row = met.groupBy("row").agg(F.sum("n_hit").alias("n_hit"), ids.alias("item_ids"))
     none = F.expr("cast(array() as array<string>)")
-    return kept.select("row", "doc_id", "n_words").join(of_row, "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
+    out = kept.select("row", F.col("carried").alias("doc_id"), "n_words").join(of_row, "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
+
+
+def without_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = SHINGLE, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, in whose text no window of the benchmark occurs.
+
+    Rows are told apart by their place, so null and repeated ids do not matter and each row is judged
+    by its own text. Only the rows that the filter finds runs in are shuffled.
+    """
+    kept, met = _met(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(text_col), items, window, k, item_id_col, item_text_col)
+    clean = kept.filter(F.size("runs") == 0).select("carried.*")
+    return clean.unionByName(kept.filter(F.size("runs") > 0).join(met.select("row").distinct(), "row", "left_anti").select("carried.*"))
 
 
 def op1_benchmark_hits(spark, sf_dir: str) -> DataFrame:
