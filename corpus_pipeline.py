@@ -18,36 +18,40 @@ NEAR = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from labelled rows that are not held out."""
+    """Documents that the toxicity model rejects go; it learns from labelled rows that are not held out.
+
+    Each row is judged by its text, whatever its id; a null text is scored as an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(docs, labels, lambda c: ~toxicity.held_out(c))
-    return toxicity.scores(docs, model).filter(F.col("toxicity_score") < TOXIC).select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels, lambda c: ~toxicity.held_out(c)), TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    found = minhash.link(docs.select("doc_id", "text"), similarity=NEAR).filter("not kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates one row stays, of the smallest id.
+
+    Rows are numbered and told apart by their numbers, so rows that repeat an id, or have none, are
+    members of groups like others. Rows without words are in no group and stay.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), whole), "numbered")
+    linked = minhash.link(rows.select("row", "whole.doc_id", "whole.text"), similarity=NEAR, row_col="row")
+    return rows.join(linked.filter("not chosen").select("row"), "row", "left_anti").select("whole.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark window occurs go."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontam.contamination(docs.select("doc_id", "text"), items).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Rows in whose text a benchmark window occurs go, whatever their id; null and empty texts stay."""
+    return decontam.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked, and n_chars follows; documents without any stay as they are."""
+    """Secrets in the texts are masked, and n_chars follows; rows without any stay as they are, and none goes."""
     sample = secrets.samples(docs)
     table = secrets.train(sample)
-    marked = secrets.with_spans(docs, table, limit=secrets.limits(sample, table))
-    masked = secrets.redact(marked, "secret_spans")
-    return masked.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return secrets.mask_texts(docs, table, secrets.limits(sample, table))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of 2048 tokens."""
+    """What is left, packed into sequences of 2048 tokens; a null text is an empty document, and each row is packed."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakloom.session import ship_package
 
@@ -249,12 +250,27 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs with column toxicity_score before their own; only the text is looked at.
 
     A null text is scored as an empty one; every row is scored by itself; an empty table gives none.
+    A column of docs that has that name already is left out.
     """
     ship_package(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_scored"), *[F.col(c) for c in docs.columns])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(_score_batches(given), f"toxicity_score double, {kinds}")
+    own = [c for c in docs.columns if c != "toxicity_score"]
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_scored"), *[F.col(f"`{c}`") for c in own])
+    schema = T.StructType([T.StructField("toxicity_score", T.DoubleType()), *rows.schema.fields[1:]])
+    return rows.mapInArrow(_score_batches(given), schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, whose score is below the threshold; nothing is shuffled."""
+    ship_package(docs.sparkSession)
+    given, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = given.value
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_weak_toxicity(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:

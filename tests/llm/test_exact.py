@@ -219,6 +219,53 @@ def test_all_rounds_of_open_buckets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.link(docs).collect()} == want
 
 
+def test_templated_pages_below_the_similarity_need_few_comparisons(spark, monkeypatch):
+    r = random.Random(4)
+    base, asked = [f"t{i}" for i in range(130)], []
+    slots = [[[f"s{i}v{j}w{k}" for k in range(7)] for j in range(8)] for i in range(4)]
+
+    def page(picks):
+        words = list(base)
+        for i, at in enumerate((10, 40, 70, 100)):
+            words[at : at + 7] = slots[i][picks[i]]
+        return " ".join(words)
+
+    plain = minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda pairs, sets, similarity: (asked.append((pairs.count(), plain(pairs, sets, similarity).count())), plain(pairs, sets, similarity))[1])
+    for n in (150, 300):
+        picks = [[r.randrange(8) for _ in range(4)] for _ in range(n)]
+        docs = spark.createDataFrame([(i, page(p)) for i, p in enumerate(picks)], "doc_id long, text string")
+        asked.clear()
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.link(docs).collect()}
+        assert got == plain_components([(x.doc_id, x.text) for x in docs.collect()])
+        near = sum(sum(a != b for a, b in zip(p, q, strict=True)) == 1 for i, p in enumerate(picks) for q in picks[:i])
+        # Of all pairs (44,850 of 300 pages) only those that differ in one place are compared in full.
+        assert sum(a for a, _ in asked) <= 1.1 * near + n // 10, (asked, near)
+
+
+def test_signatures_never_deny_a_link():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        n, d = int(r.integers(1, 400)), int(r.integers(0, 40))
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[d:], r.integers(0, 1 << 63, d).astype(np.uint64)]))
+        x, y = minhash.signatures([a, b]).view(np.uint64)
+        assert sum(int(v).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))
+
+
+def test_chosen_is_one_row_of_each_component(spark, odd):
+    rows = odd.unionByName(odd).withColumn("at", F.monotonically_increasing_id())
+    got = minhash.link(rows, row_col="at").collect()
+    assert len(got) == rows.count() and {x["at"] for x in got} == {x["at"] for x in rows.collect()}
+    by = defaultdict(list)
+    for x in got:
+        if x.n_shingles:
+            by[x.component_id].append(x)
+        else:
+            assert x.chosen
+    assert all(sum(x.chosen for x in xs) == 1 and all(x.doc_id == x.component_id for x in xs if x.chosen) for xs in by.values())
+
+
 def test_graph_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (95, 95), (7, 3)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -272,6 +319,20 @@ def test_markov_spans_of_short_strings_and_any_alphabet(spark):
     assert got.pop(("ordinary", 0)) <= 0.01 and min(got.values()) >= 0.75 and min(v for (_, n), v in got.items() if n > 8) >= 0.95, got
 
 
+def test_long_tokens_and_many_matches_take_linear_time(spark):
+    r = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = "".join(r.choices(letters, k=2_000_000))
+    many = "".join(f"é token={''.join(r.choices(letters, k=8))} " for _ in range(20_000))
+    table = secrets.train(spark.createDataFrame([("".join(r.choices(letters, k=32)), 1) for _ in range(200)] + [("the_user_name", 0)] * 200, "text string, label int"))
+    docs = spark.createDataFrame([(1, f"one {token} two"), (2, many)], "doc_id long, text string")
+    out = {x.doc_id: x for x in secrets.with_spans(docs, table).withColumn("masked", secrets.redacted(F.col("text"), F.col("secret_spans"))).collect()}
+    assert (4, 4 + len(token), 3) in {tuple(s) for s in out[1].secret_spans} and out[1].masked == "one [SECRET] two"
+    want = [(m.start(), m.end()) for m in re.finditer(r"token=\w+", many, re.ASCII)]
+    assert [(s.start, s.end) for s in out[2].secret_spans if s.kind == 0] == want
+    assert out[2].masked == "é [SECRET] " * 20_000
+
+
 def plain_removed(rows, window=20):
     seen, out = set(), {}
     for i, text in sorted(rows):
