@@ -16,18 +16,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakloom.llm.words import mix
 from leakloom.session import ship_package
 
-#: Documents of each language that are learned from, about, chosen by a hash of the id, and of all languages,
-#: which is fewer of each when there are many; pieces of each; words of a piece.
+#: Documents of each language that are learned from at most, chosen by a hash of id and text, and of all languages,
+#: which is fewer of each when there are many; pieces of each, evenly from its whole text; words of a piece.
 PER_LANGUAGE, IN_ALL, PIECES, PIECE = 500, 32_000, 4, 12
-#: Hashed weights of each language; entries of the lexicon.
+#: Hashed weights of each language; entries of the lexicon at most, the most frequent words of a single language.
 WEIGHTS, LEXICON = 1 << 17, 50_000
-#: Words that forward-backward takes as one sequence; a text is parted into such sequences.
+#: Words of a block of forward-backward. What a block passes to its neighbours is carried over, so texts are one sequence each.
 SEQUENCE = 64
 #: Texts are handled by so many words at once, and a worker remembers the scores of so many; for more
 #: languages than FEW it is fewer words, so that tables keep their size.
@@ -104,34 +104,81 @@ class Field:
         return {k: v for k, v in self.__dict__.items() if k != "_memo"}
 
     def marginals(self, words: list[str], counts: list[int]) -> np.ndarray:
-        """Each word's distribution over the languages, for texts that have so many words each."""
+        """Each word's distribution over the languages, for texts that have so many words each; each text is one sequence."""
         scores = self.emissions(words)
-        first, size = [], []
-        at = 0
-        for n in counts:
-            for low in range(0, n, SEQUENCE):
-                first.append(at + low)
-                size.append(min(SEQUENCE, n - low))
-            at += n
-        if not first:
+        n = np.asarray(counts, np.int64)
+        blocks = -(-n // SEQUENCE)
+        if not blocks.sum():
             return scores
-        first, size = np.array(first), np.array(size)
+        head = np.repeat(np.cumsum(blocks) - blocks, blocks)  # the first block of each block's text
+        turn = np.arange(len(head)) - head
+        first = np.repeat(np.cumsum(n) - n, blocks) + turn * SEQUENCE
+        size = np.minimum(SEQUENCE, np.repeat(n, blocks) - turn * SEQUENCE)
         place = first[:, None] + np.minimum(np.arange(SEQUENCE), size[:, None] - 1)
         real = np.arange(SEQUENCE) < size[:, None]
-        out = forward_backward(scores[place], real, self.transitions)[0]
-        return out[real]
+        given, asked = carried(scores[place], real, self.transitions, turn)
+        return forward_backward(scores[place], real, self.transitions, given, asked)[0][real]
 
 
-def forward_backward(scores: np.ndarray, real: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.max(-1, keepdims=True)
+
+
+def carried(scores: np.ndarray, real: np.ndarray, transitions: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each block (block x place x label) gets from the one before it and from the one after, each up to a factor.
+
+    turn is a block's place in its text, whose blocks are consecutive. With few labels each block's
+    effect is a matrix, and only matrices are chained; with many, the blocks of all texts are walked
+    through in turn. Both give the same.
+    """
+    n, length, labels = scores.shape
+    given, asked = np.ones((n, labels)), np.ones((n, labels))
+    of_turn = [np.flatnonzero(turn == t) for t in range(1, int(turn.max(initial=0)) + 1)]
+    if not of_turn:
+        return given, asked
+    e, a = np.exp(scores - scores.max(2, keepdims=True)).astype(np.float64), np.exp(transitions)
+
+    def ahead(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        for t in range(length):
+            moved = x if not t else x @ a
+            x = np.where(real[rows, t][(...,) + (None,) * (x.ndim - 1)], moved * (e[rows, t] if x.ndim == 2 else e[rows, t][:, None]), x)
+            x = x / x.reshape(len(x), -1).max(1)[(...,) + (None,) * (x.ndim - 1)]
+        return x
+
+    def back(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        for t in range(length - 1, -1, -1):
+            x = np.where(real[rows, t, None], _scaled((x * e[rows, t]) @ a.T), x)
+        return x
+
+    if labels <= FEW:
+        some = np.unique(np.concatenate([np.concatenate([r, r - 1]) for r in of_turn]))
+        effect = np.zeros((n, labels, labels))
+        effect[some] = ahead(np.tile(np.eye(labels), (len(some), 1, 1)), some)
+        for rows in of_turn:
+            given[rows] = _scaled(np.einsum("ni,nij->nj", given[rows - 1], effect[rows - 1]) @ a)
+        for rows in reversed(of_turn):
+            asked[rows - 1] = _scaled(np.einsum("nij,nj->ni", effect[rows], asked[rows]) @ a.T)
+    else:
+        for rows in of_turn:
+            given[rows] = _scaled(ahead(given[rows - 1], rows - 1) @ a)
+        for rows in reversed(of_turn):
+            asked[rows - 1] = back(asked[rows], rows)
+    return given, asked
+
+
+def forward_backward(scores: np.ndarray, real: np.ndarray, transitions: np.ndarray, given: np.ndarray | None = None, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of sequences (sequence x place x label), expected transitions, and the log partition sum.
 
-    real says which places have words; they come first in each sequence.
+    real says which places have words; they come first in each sequence. given and asked are what
+    sequences get from parts of them before and after (see carried()), if they have any.
     """
     n, length, labels = scores.shape
     top = scores.max(2, keepdims=True)
     e, a = np.exp(scores - top).astype(np.float64), np.exp(transitions)
     alpha, beta, scale = np.zeros_like(e), np.ones_like(e), np.ones((n, length))
-    alpha[:, 0] = e[:, 0]
+    alpha[:, 0] = e[:, 0] if given is None else e[:, 0] * given
+    if asked is not None:
+        beta[:] = asked[:, None]
     for t in range(length):
         if t:
             alpha[:, t] = np.where(real[:, t, None], (alpha[:, t - 1] @ a) * e[:, t], alpha[:, t - 1])
@@ -139,7 +186,7 @@ def forward_backward(scores: np.ndarray, real: np.ndarray, transitions: np.ndarr
         alpha[:, t] /= scale[:, t, None]
     for t in range(length - 2, -1, -1):
         ahead = ((e[:, t + 1] * beta[:, t + 1]) @ a.T) / scale[:, t + 1, None]
-        beta[:, t] = np.where(real[:, t + 1, None], ahead, 1.0)
+        beta[:, t] = np.where(real[:, t + 1, None], ahead, beta[:, t])
     both = alpha * beta
     both /= both.sum(2, keepdims=True)
     moved = np.zeros((labels, labels))
@@ -228,17 +275,24 @@ def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.string()))], ["lang", "words"])
 
 
+def first_by(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each key; tasks cut to n before rows are exchanged."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+
 def train(docs: DataFrame, usable) -> Field:
-    """Train on about PER_LANGUAGE usable documents of each language, of about IN_ALL at most, and one of each at least."""
+    """Train on PER_LANGUAGE usable documents of each language at most, of about IN_ALL at most, and one of each at least."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(usable(F.col("doc_id")))
-    known = known.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h"))
-    words = F.when(F.col("text").rlike(r"\p{L}"), F.col("h"))  # a text without letters teaches nothing
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(words).alias("least")).collect()  # a row a language
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).alias("h"))
+    letters = F.col("text").rlike(r"\p{L}")  # a text without letters teaches nothing
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.when(letters, F.col("h"))).alias("least")).collect()  # a row a language
     if not counts:
         return Field()
     each = min(PER_LANGUAGE, max(1, IN_ALL // len(counts)))
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"]), r["least"]) for r in counts], "lang string, share double, least long")
-    chosen = known.join(F.broadcast(share), "lang").filter((F.col("h") < F.col("share") * 1_000_000) | (F.col("h") == F.col("least")))
+    # Four times the share first, then exactly so many: copies of a text may share a hash.
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * each / r["n"]) * (1 << 62), r["least"]) for r in counts], "lang string, most double, least long")
+    chosen = known.join(F.broadcast(share), "lang").filter((F.col("h") < F.col("most")) | (F.col("h") == F.col("least")))
+    chosen = first_by(chosen.withColumn("dumb", ~letters), ["lang"], ["dumb", "h", "text"], each)
     pieces = chosen.select("lang", "text").mapInArrow(_piece_batches, "lang string, words array<string>").toPandas()
     ordered = sorted((lang, list(words)) for lang, words in zip(pieces["lang"], pieces["words"], strict=True))
     return fit(ordered)

@@ -98,6 +98,31 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert out.filter("lang_pred = lang").count() >= 0.95 * out.count() and out.select("lang").distinct().count() >= 50
 
 
+def test_texts_are_one_sequence_whatever_their_length():
+    r = np.random.default_rng(3)
+    for k in (2, 3, 11):  # as matrices, and block by block
+        moves, counts = r.normal(scale=2, size=(k, k)), [1, 700, 0, 64, 65, 130, 3]
+        scores = r.normal(size=(sum(counts), k)).astype(np.float32)
+        field = langid.Field([str(i) for i in range(k)], np.zeros((langid.WEIGHTS, k), np.float32), moves, {})
+        field.emissions = lambda words, scores=scores: scores
+        got, at = field.marginals([""] * sum(counts), counts), 0
+        for n in counts:
+            if n:
+                want = langid.forward_backward(scores[None, at : at + n], np.ones((1, n), bool), moves)[0][0]
+                assert np.allclose(got[at : at + n], want, atol=1e-6)
+            at += n
+
+
+def test_language_training_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 5)
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda pieces: seen.append(pieces))
+    rows = [(None, "the same text again and again", "xx")] * 300 + [(None, f"ein text {i}", "yy") for i in range(50)] + [(1, "12", "zz"), (2, "wort", "zz")]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lambda c: ~langid.held_out(c))
+    by = [lang for lang, _ in seen[0]]
+    assert by.count("xx") == 5 and by.count("yy") == 5 and by.count("zz") == 1
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
