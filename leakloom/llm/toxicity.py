@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: a seed lexicon, lexicons of words and word beginnings mined from labelled
-training rows, and patterns. A generative label model estimates by expectation maximisation how often
-each voter fires on toxic and on other texts, and how far voters repeat each other beyond that; a
+training rows, and patterns. A generative label model, a log-linear model of the label and all voters
+with factors for voters that depend on each other, estimates their accuracies and correlations; a
 linear classifier is then trained on the posterior labels. Rows are scored by it alone.
 """
 
@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leakloom.session import ship_package
+from leakloom.session import materialize, ship_package
 
 #: Labelled training rows that are used at most, half of them of each label: the smallest by a hash of the id.
 MAX_TRAIN = 12_000
-#: Features of the classifier at most, and training rows that have to hold a feature.
+#: Features of the classifier at most (those that tell the labels apart best), and training rows that have to hold a feature.
 MAX_FEATURES, SUPPORT = 8_000, 4
 #: Share of toxic rows (at even classes) from which on a mined feature belongs to a lexicon.
 PURITY = 0.8
@@ -38,6 +38,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _AIMED = re.compile(r"\b(?:you|your|youre|they|he|she)\W+(?:\w+\W+){0,3}?(?:%s)\b" % "|".join(sorted(SEEDS)), re.IGNORECASE)
 _LOUD = re.compile(r"!{2,}|\b[A-Z]{4,}\b(?:\W+\b[A-Z]{4,}\b)+")
 VOTERS = ("seed", "seeds", "words", "begin3", "begin4", "begin5", "begin6", "begin7", "hits2", "hits3", "hits5", "dense", "aimed", "loud", "clean")
+#: Pairs of voters whose correlation the label model estimates at most, and how strong it has to be.
+EDGES, CORRELATED = 40, 0.1
 #: Voters that look at words; share of a text's distinct words that have to be in a lexicon for the vote `dense`.
 BY_WORDS, DENSE = 12, 0.02
 
@@ -97,12 +99,14 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable) -> tuple[DataFrame, int, int]:
-    """doc_id, text and toxic of at most MAX_TRAIN usable labelled rows, and how many of each label there are."""
+    """doc_id, text and toxic of at most MAX_TRAIN usable labelled rows, written, and how many of each label there are."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(usable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("toxic = 1").orderBy(*by_hash).limit(MAX_TRAIN // 2).unionByName(known.filter("toxic = 0").orderBy(*by_hash).limit(MAX_TRAIN // 2))
-    return docs.select("doc_id", "text").join(chosen, "doc_id"), n.get(1, 0), n.get(0, 0)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    # Rows that repeat an id are one row with one of their texts.
+    return materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "labelled"), n.get(1, 0), n.get(0, 0)
 
 
 def _half(doc_id: int) -> int:
@@ -153,31 +157,97 @@ def surprise(pos: int, neg: int, share: float) -> float:
     return k * sum(q * math.log(q / base) for q, base in ((of, share), (1 - of, 1 - share)) if q > 0) if of > share else 0.0
 
 
-def label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float, rounds: int = 40) -> np.ndarray:
-    """The posterior of toxicity of each row from its voters (0/1) and its gold label (1, 0 or -1 for none).
+@dataclass
+class LabelModel:
+    """A log-linear model of a label y and voters v, all 0 or 1: p(y, v) is proportional to
+
+    exp(bias y + sum of (rate[j] + accuracy[j] y) v[j] + sum over edges (j, k) of correlation v[j] v[k]).
 
-    Voters fire with a rate of their own in each class. The residual correlations of voters within
-    classes are estimated too: a voter that others repeat counts with the inverse of their number.
+    It is small enough to be summed over all states, so its expectations are exact.
     """
+
+    rate: np.ndarray
+    accuracy: np.ndarray
+    edges: list[tuple[int, int]]
+    correlation: np.ndarray
+    share: float
+
+    def __post_init__(self) -> None:
+        m = len(self.rate)
+        self.states = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float)
+        self.pairs = np.stack([self.states[:, j] * self.states[:, k] for j, k in self.edges], 1) if self.edges else np.zeros((1 << m, 0))
+
+    def joint(self) -> np.ndarray:
+        """p(y, v) of all states (y x state); the bias is such that y has its share."""
+        plain = self.states @ self.rate + self.pairs @ self.correlation
+        out = np.stack([plain, plain + self.states @ self.accuracy])
+        out = np.exp(out - out.max(1, keepdims=True))
+        return out / out.sum(1, keepdims=True) * np.array([[1 - self.share], [self.share]])
+
+    def bias(self) -> float:
+        plain = self.states @ self.rate + self.pairs @ self.correlation
+        total = [x.max() + math.log(np.exp(x - x.max()).sum()) for x in (plain, plain + self.states @ self.accuracy)]
+        return math.log(self.share / (1 - self.share)) + total[0] - total[1]
+
+    def posterior(self, fires: np.ndarray, known: np.ndarray | float = 0.0) -> np.ndarray:
+        """p(y = 1) of rows of votes; known are log odds from elsewhere."""
+        return 1 / (1 + np.exp(-np.clip(self.bias() + fires @ self.accuracy + known, -30, 30)))
+
+
+def _independent(fires: np.ndarray, post: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each voter fires on rows of label 0 and of label 1."""
+    return tuple((q @ fires + 0.5) / (q.sum() + 1.0) for q in ((1 - post) * weight, post * weight))
+
+
+def dependencies(fires: np.ndarray, post: np.ndarray, weight: np.ndarray, most: int = EDGES) -> list[tuple[int, int]]:
+    """The pairs of voters that agree, or disagree, most beyond what the label explains."""
+    r0, r1 = _independent(fires, post, weight)
+    residual = fires - (post[:, None] * r1 + (1 - post)[:, None] * r0)
+    scale = np.sqrt((weight[:, None] * residual**2).sum(0)) + 1e-9
+    corr = np.abs((residual * weight[:, None]).T @ residual / np.outer(scale, scale))
+    pairs = [(j, k) for j in range(len(corr)) for k in range(j) if corr[j, k] > CORRELATED]
+    return sorted(sorted(pairs, key=lambda e: -corr[e])[:most])
+
+
+def fit_label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float, rounds: int = 250) -> LabelModel:
+    """Maximise the likelihood of the votes, and of the gold labels (1, 0 or -1 for none) as votes right in 98 of 100 cases."""
+    known = np.where(gold == 1, math.log(49), np.where(gold == 0, -math.log(49), 0.0))
+    # Equal rows count once, with their weights.
+    kinds, of = np.unique(np.column_stack([fires, known]), axis=0, return_inverse=True)
+    weight = np.bincount(of.reshape(-1), weight, len(kinds)) / weight.sum()
+    fires, known = kinds[:, :-1], kinds[:, -1]
+    # Without a start, nothing tells the two labels apart: a row is toxic if any voter of a lexicon fires.
     start = np.clip(0.05 + 0.9 * fires[:, :BY_WORDS].max(1), 0.02, 0.98)
-    post = np.where(gold >= 0, np.where(gold == 1, 0.99, 0.01), start)
-    trust = np.ones(fires.shape[1])
-    for _ in range(rounds):
-        rates = []
-        for q in (post * weight, (1 - post) * weight):
-            rates.append((q @ fires + 0.5) / (q.sum() + 1.0))
-        odds = np.full(len(fires), math.log(share / (1 - share)))
-        odds += fires @ (trust * (np.log(rates[0]) - np.log(rates[1]))) + (1 - fires) @ (trust * (np.log1p(-rates[0]) - np.log1p(-rates[1])))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        residual = fires - (post[:, None] * rates[0] + (1 - post)[:, None] * rates[1])
-        scale = np.sqrt((weight[:, None] * residual**2).sum(0)) + 1e-9
-        corr = (residual * weight[:, None]).T @ residual / np.outer(scale, scale)
-        np.fill_diagonal(corr, 0)
-        trust = 1 / (1 + np.clip(corr, 0, 1).sum(1))
-        # Annotators are voters as well, right in 98 of 100 cases.
-        gold_odds = np.where(gold == 1, math.log(49), np.where(gold == 0, -math.log(49), 0.0))
-        post = np.where(gold >= 0, 1 / (1 + np.exp(-np.clip(odds + gold_odds, -30, 30))), new)
-    return post
+    post = np.where(known == 0, start, 1 / (1 + np.exp(-known)))
+    for _ in range(10):
+        r0, r1 = _independent(fires, post, weight * 1e4)
+        odds = math.log(share / (1 - share)) + fires @ np.log(r1 / r0) + (1 - fires) @ np.log((1 - r1) / (1 - r0))
+        post = 1 / (1 + np.exp(-np.clip(odds + known, -30, 30)))
+    edges = dependencies(fires, post, weight)
+    logit = lambda p: np.log(p / (1 - p))
+    model = LabelModel(logit(r0), np.clip(logit(r1) - logit(r0), -6, 6), edges, np.zeros(len(edges)), share)
+    together = np.stack([fires[:, j] * fires[:, k] for j, k in edges], 1) if edges else np.zeros((len(fires), 0))
+    theta = [model.rate, model.accuracy, model.correlation]
+    first, second = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
+    for i in range(1, rounds + 1):
+        post, p = model.posterior(fires, known), model.joint()
+        # The label's share is held, so what is seen of each label is weighed to it.
+        q1, q0 = post * weight, (1 - post) * weight
+        q1, q0 = q1 * share / max(q1.sum(), 1e-12), q0 * (1 - share) / max(q0.sum(), 1e-12)
+        both = p.sum(0)
+        slopes = [(q0 + q1) @ fires - both @ model.states, q1 @ fires - p[1] @ model.states, (q0 + q1) @ together - both @ model.pairs]
+        for x, g, u, v, penalty in zip(theta, slopes, first, second, (1e-4, 1e-4, 1e-3), strict=True):
+            g = g - penalty * x
+            u += 0.1 * (g - u)
+            v += 0.01 * (g * g - v)
+            x += 0.05 * (u / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
+    return model
+
+
+def label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float) -> np.ndarray:
+    """The posterior of toxicity of each row from its voters (0/1) and its gold label (1, 0 or -1 for none)."""
+    known = np.where(gold == 1, math.log(49), np.where(gold == 0, -math.log(49), 0.0))
+    return fit_label_model(fires, gold, weight, share).posterior(fires, known)
 
 
 def _hit_batches(model) -> Callable:
@@ -217,7 +287,6 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
     rows, n_pos, n_neg = training_rows(docs, labels, usable)
     if not n_pos or not n_neg:
         return Model(voter_weights=np.array([3.0, 1.0] + [0.0] * 10 + [1.0, 0.0, -1.0]), bias=-2.0)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     model = mine(rows)
     sample = rows.mapInArrow(_hit_batches(spark.sparkContext.broadcast(model)), "doc_id long, toxic int, found array<int>, fires array<tinyint>").toPandas().sort_values("doc_id", kind="stable")
     fires = np.array(sample["fires"].tolist(), float).reshape(len(sample), len(VOTERS))

@@ -64,6 +64,43 @@ def test_label_model_finds_good_voters():
     assert ((post > 0.5) == y).mean() > 0.93  # the best any rule can reach here is 0.964
 
 
+def test_label_model_against_enumeration(monkeypatch):
+    import itertools
+
+    r = np.random.default_rng(6)
+    true = toxicity.LabelModel(r.normal(-1, 0.5, 4), np.array([2.0, 1.5, 2.5, 0.0]), [(1, 0), (3, 2)], np.array([2.5, -1.0]), 0.3)
+    p = {}
+    for y, *v in itertools.product((0, 1), repeat=5):
+        p[y, *v] = np.exp(true.bias() * y + sum((true.rate[j] + true.accuracy[j] * y) * v[j] for j in range(4)) + 2.5 * v[1] * v[0] - v[3] * v[2])
+    total, joint = sum(p.values()), true.joint()
+    for (y, *v), w in p.items():
+        assert np.isclose(joint[y, sum(x << j for j, x in enumerate(v))], w / total)
+        votes = np.array([v], float)
+        assert np.isclose(true.posterior(votes)[0], p[1, *v] / (p[0, *v] + p[1, *v]))
+    assert np.isclose(joint[1].sum(), 0.3)
+    # Votes drawn from it give back its expectations and, nearly, its posterior: a voter that repeats another is not counted twice.
+    state = r.choice(32, 40_000, p=joint.reshape(-1))
+    fires, y = true.states[state % 16], state // 16
+    gold = np.where(r.random(40_000) < 0.05, y, -1)
+    got = toxicity.fit_label_model(fires, gold, np.ones(40_000), 0.3)
+    assert (1, 0) in got.edges and got.correlation[got.edges.index((1, 0))] > 1
+    assert np.allclose(got.joint().sum(0) @ got.states, fires.mean(0), atol=0.02)
+    wrong = lambda m: joint.sum(0) @ np.abs(m.posterior(true.states) - true.posterior(true.states))
+    monkeypatch.setattr(toxicity, "dependencies", lambda *_: [])
+    apart = toxicity.fit_label_model(fires, gold, np.ones(40_000), 0.3)
+    assert wrong(got) < 0.75 * wrong(apart) and wrong(got) < 0.08
+    assert (got.accuracy[:2] < 2.2).all() and (apart.accuracy[:2] > 3).all()
+
+
+def test_toxicity_rows_that_repeat_an_id_are_learned_once(spark, labelled):
+    docs, labels = labelled
+    rows, _, _ = toxicity.training_rows(docs.unionByName(docs.limit(50)), labels, lambda c: ~toxicity.held_out(c))
+    assert rows.count() == rows.select("doc_id").distinct().count()
+    named = docs.limit(3).withColumn("toxicity_score", F.lit("own"))
+    assert toxicity.scores(named, toxicity.Model()).columns == ["toxicity_score", "doc_id", "text", "lang"]
+    assert toxicity.without_toxic(named, toxicity.Model(bias=-5.0), 0.3).collect() == named.collect()
+
+
 def test_language_on_held_out_rows(spark, labelled, odd, empty):
     docs, _ = labelled
     field = langid.train(docs, lambda c: ~langid.held_out(c))
