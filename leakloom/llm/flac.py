@@ -3,7 +3,8 @@
 A stream has STREAMINFO with the PCM's MD5, a SEEKTABLE with a point every SEEK_FRAMES frames, and
 frames of 192 samples whose subframe is a fixed or an adaptive linear predictor with Rice-coded
 residuals. Work is vectorised over frames: the encoder writes all frames of a chunk at once, the
-decoder follows one lane per seek point. Chunks bound the memory whatever a text's length.
+decoder follows one lane per seek point. Chunks bound the memory whatever a text's length. Streams of
+other encoders, with any kind of subframe, are decoded frame by frame.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -286,29 +288,192 @@ def _decode_lanes(data: np.ndarray, at: np.ndarray, number: np.ndarray, frames:
     return x.T.reshape(lanes, depth, BLOCK)
 
 
-def parse(stream: bytes) -> tuple[int, bytes, np.ndarray, int]:
-    """Samples, their MD5, seek points and where the frames begin."""
+@dataclass
+class Head:
+    """What stands before the frames."""
+
+    total: int
+    channels: int
+    depth: int
+    md5: bytes
+    seek: np.ndarray
+    begin: int
+
+
+_POINT = [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")]
+
+
+def parse(stream: bytes) -> Head:
+    """The stream's properties, its seek points (none if it has no table) and where the frames begin."""
     if stream[:4] != b"fLaC":
         raise ValueError("no FLAC stream")
-    at, last, total, md5, seek = 4, False, 0, b"", None
+    at, last, out = 4, False, Head(0, 0, 0, b"", np.zeros(0, _POINT), 0)
     while not last:
+        if at + 4 > len(stream):
+            raise ValueError("damaged FLAC stream: it ends too early")
         last, kind, size = stream[at] >= 0x80, stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
         block = stream[at + 4 : at + 4 + size]
         if kind == 0:
-            total, md5 = int.from_bytes(block[10:18], "big") & ((1 << 36) - 1), block[18:34]
+            packed = int.from_bytes(block[10:18], "big")
+            out.total, out.depth, out.channels, out.md5 = packed & ((1 << 36) - 1), (packed >> 36 & 31) + 1, (packed >> 41 & 7) + 1, block[18:34]
         elif kind == 3:
-            seek = np.frombuffer(block, [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
+            points = np.frombuffer(block, _POINT)
+            out.seek = points[points["sample"] != 0xFFFFFFFFFFFFFFFF]  # others are placeholders
         at += 4 + size
-    if seek is None:
-        raise ValueError("no seek table")
-    return total, md5, seek, at
+    out.begin = at
+    return out
+
+
+class _Reader:
+    """Bits of a frame, one field after the other."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = data, 8 * at
+
+    def bits(self, n: int) -> int:
+        end = self.at + n
+        if end > 8 * len(self.data):
+            raise ValueError("damaged FLAC stream: it ends too early")
+        found = int.from_bytes(self.data[self.at >> 3 : (end + 7) >> 3]) >> (-end % 8) & ((1 << n) - 1)
+        self.at = end
+        return found
+
+    def signed(self, n: int) -> int:
+        v = self.bits(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    def unary(self) -> int:
+        n = 0
+        while not self.bits(1):
+            n += 1
+        return n
+
+
+def _subframe(r: _Reader, n: int, depth: int) -> list[int]:
+    """The samples of a subframe: constant, verbatim, of a fixed or of a linear predictor."""
+    if r.bits(1):
+        raise ValueError("damaged FLAC stream: subframe header")
+    kind, wasted = r.bits(6), r.unary() + 1 if r.bits(1) else 0
+    depth -= wasted
+    if kind == 0:
+        out = [r.signed(depth)] * n
+    elif kind == 1:
+        out = [r.signed(depth) for _ in range(n)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 31 if kind >= 32 else kind - 8
+        if order > n:
+            raise ValueError("damaged FLAC stream: predictor order")
+        out, weights, shift = [r.signed(depth) for _ in range(order)], list(FIXED[order]) if kind < 32 else [], 0
+        if kind >= 32:
+            precision = r.bits(4) + 1
+            if precision == 16:
+                raise ValueError("damaged FLAC stream: precision")
+            shift = r.signed(5)
+            weights = [r.signed(precision) for _ in range(order)]
+        for residual in _residual(r, n, order):
+            predicted = sum(w * out[-1 - j] for j, w in enumerate(weights))
+            out.append((predicted >> shift if shift >= 0 else predicted << -shift) + residual)
+    else:
+        raise ValueError("damaged FLAC stream: subframe type")
+    return [x << wasted for x in out] if wasted else out
+
+
+def _residual(r: _Reader, n: int, order: int) -> Iterator[int]:
+    """Residuals in partitions, each with a Rice parameter or, escaped, as numbers of equal width."""
+    method, parts = r.bits(2), r.bits(4)
+    if method > 1 or n % (1 << parts) or n >> parts < order:
+        raise ValueError("damaged FLAC stream: residual coding")
+    width = 4 + method
+    for part in range(1 << parts):
+        k, count = r.bits(width), (n >> parts) - (order if part == 0 else 0)
+        if k == (1 << width) - 1:
+            raw = r.bits(5)
+            for _ in range(count):
+                yield r.signed(raw) if raw else 0
+        else:
+            for _ in range(count):
+                z = r.unary() << k | r.bits(k)
+                yield (z >> 1) ^ -(z & 1)
+
+
+def _frame(data: bytes, at: int, depth: int) -> tuple[list[list[int]], int]:
+    """The samples of each channel of the frame at a byte, and where the next begins; checksums are verified."""
+    r = _Reader(data, at)
+    if r.bits(15) != 0x7FFC:
+        raise ValueError("damaged FLAC stream: frame header")
+    r.bits(1)
+    size, rate, channels, bits = r.bits(4), r.bits(4), r.bits(4), r.bits(3)
+    if r.bits(1) or not size or rate == 15 or channels > 10 or bits == 3:
+        raise ValueError("damaged FLAC stream: frame header")
+    first = r.bits(8)
+    for _ in range(max(0, 8 - (first ^ 0xFF).bit_length() - 1) if first >= 0x80 else 0):
+        r.bits(8)
+    n = r.bits(8 * (size - 5)) + 1 if size in (6, 7) else 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+    r.bits({12: 8, 13: 16, 14: 16}.get(rate, 0))
+    head = data[at : r.at >> 3]
+    if r.bits(8) != int(_crc8(np.frombuffer(head, np.uint8), np.zeros(1, np.int64), np.array([len(head)]))[0]):
+        raise ValueError("damaged FLAC stream: header checksum")
+    depth = {0: depth, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}[bits]
+    side = {8: 1, 9: 0, 10: 1}.get(channels)  # the channel that holds a difference has a bit more
+    got = [_subframe(r, n, depth + (c == side)) for c in range(2 if side is not None else channels + 1)]
+    end = (r.at + 7) >> 3
+    body = np.frombuffer(data[at:end], np.uint8)
+    r.at = 8 * end
+    if r.bits(16) != int(_crc16(body, np.zeros(1, np.int64), np.array([len(body)]))[0]):
+        raise ValueError("damaged FLAC stream: frame checksum")
+    if channels == 8:
+        got[1] = [a - b for a, b in zip(*got, strict=True)]
+    elif channels == 9:
+        got[0] = [a + b for a, b in zip(*got, strict=True)]
+    elif channels == 10:
+        mid = [2 * a + (b & 1) for a, b in zip(*got, strict=True)]
+        got = [[(m + b) >> 1 for m, b in zip(mid, got[1], strict=True)], [(m - b) >> 1 for m, b in zip(mid, got[1], strict=True)]]
+    return got, end + 2
+
+
+def samples(stream: bytes, first: int = 0, count: int | None = None) -> np.ndarray:
+    """Samples (sample x channel) of any stream from one of them on; a seek table saves decoding what is before.
+
+    A whole stream's MD5 is verified too, if it has one.
+    """
+    head = parse(stream)
+    at, place, out, end = head.begin, 0, [], head.total if count is None else min(head.total, first + count)
+    for p in head.seek:
+        if place <= int(p["sample"]) <= first:
+            at, place = head.begin + int(p["offset"]), int(p["sample"])
+    begin = place
+    while place < end:
+        got, at = _frame(stream, at, head.depth)
+        out.append(np.array(got, np.int64).T)
+        place += len(out[-1])
+    found = np.concatenate(out)[first - begin : end - begin] if out else np.zeros((0, head.channels), np.int64)
+    if begin == first == 0 and end == head.total and any(head.md5):
+        width = (head.depth + 7) // 8
+        if hashlib.md5(np.ascontiguousarray(found, "<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()).digest() != head.md5:
+            raise ValueError("damaged FLAC stream: MD5")
+    return found
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream; header, frame and MD5 checksums are verified."""
+    """The payload of each stream of 8-bit samples; header, frame and MD5 checksums are verified."""
+    try:
+        return _decode_own(streams)
+    except ValueError:  # another encoder's, or damaged: frame by frame
+        out = []
+        for s in streams:
+            found = samples(s)
+            if parse(s).depth != 8 or found.shape[1] != 1:
+                raise ValueError("no FLAC stream of 8-bit samples in one channel") from None
+            out.append((found[:, 0] + 128).astype(np.uint8).tobytes())
+        return out
+
+
+def _decode_own(streams: list[bytes]) -> list[bytes]:
+    """decode() of streams as encode() writes them."""
     heads = [parse(s) for s in streams]
     at, number, frames, owner, base = [], [], [], [], 0
-    for i, (total, _, seek, begin) in enumerate(heads):
+    for i, head in enumerate(heads):
+        total, seek, begin = head.total, head.seek, head.begin
         first = seek["sample"].astype(np.int64) // BLOCK
         lanes_ok = (np.diff(seek["offset"].astype(np.int64)) > 0).all() and (seek["offset"] < len(streams[i]) - begin).all() and (seek["sample"] < total).all() and (np.diff(first) > 0).all()
         _must(np.array(len(seek) > 0 and first[0] == 0 and lanes_ok), "seek table")
@@ -330,10 +495,10 @@ def decode(streams: list[bytes]) -> list[bytes]:
         real = np.arange(x.shape[1]) < frames[low:high, None]
         out.append((x[real] + 128).astype(np.uint8).reshape(-1))
     signal, low, payloads = np.concatenate(out), 0, []
-    for total, md5, _, _ in heads:
-        payload = signal[low : low + total]
-        low += total
-        if hashlib.md5((payload ^ 0x80).tobytes()).digest() != md5:
+    for head in heads:
+        payload = signal[low : low + head.total]
+        low += head.total
+        if hashlib.md5((payload ^ 0x80).tobytes()).digest() != head.md5:
             raise ValueError("damaged FLAC stream: MD5")
         payloads.append(payload.tobytes())
     return payloads
@@ -367,50 +532,79 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_encode_batches, "doc_id long, n_bytes long, media binary")
 
 
-def feature(payload: bytes) -> str:
-    """Level, zero crossings, roughness and peak of the PCM, from exact integer sums."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    step = np.abs(np.diff(x))
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"power={int((x * x).sum()) // len(x)};mean={int(x.sum()) // len(x)};crossings={crossings};step={int(step.sum()) // len(x)};peak={int(np.abs(x).max())}"
+class Features:
+    """Level, zero crossings, roughness and peak of PCM that comes in blocks, from exact integer sums, and its digests."""
 
+    def __init__(self) -> None:
+        self.n = self.squares = self.sum = self.crossings = self.steps = self.peak = 0
+        self.last, self.sha, self.tail = None, hashlib.sha256(), b""
 
-def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    for batch in batches:
-        media = batch.column(2).to_pylist()
-        rows = []
-        for low, high in _groups([len(m) for m in media]):
-            for m, p in zip(media[low:high], decode(media[low:high]), strict=True):
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)))
-        columns = [batch.column(0), batch.column(1)] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types[2:], strict=True)]
-        yield pa.RecordBatch.from_arrays(columns, names)
+    def add(self, pcm: bytes) -> None:
+        raw = np.frombuffer(pcm, np.int8)
+        x = raw.astype(np.int64)
+        with_last = x if self.last is None else np.concatenate([[self.last], x])
+        self.n, self.squares, self.sum = self.n + len(x), self.squares + int((x * x).sum()), self.sum + int(x.sum())
+        self.crossings += int(np.count_nonzero((with_last[1:] < 0) != (with_last[:-1] < 0)))
+        self.steps += int(np.abs(np.diff(with_last)).sum())
+        self.peak, self.last = max(self.peak, int(np.abs(x).max(initial=0))), x[-1]
+        payload = (raw.view(np.uint8) ^ 0x80).tobytes()
+        self.sha.update(payload)
+        self.tail = (self.tail + payload)[-16:]
+
+    def __str__(self) -> str:
+        return f"power={self.squares // self.n};mean={self.sum // self.n};crossings={self.crossings};step={self.steps // self.n};peak={self.peak}"
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Decode stored streams (doc_id, n_bytes, media) and describe them; a damaged one raises an error."""
-    return media.mapInArrow(_feature_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+#: Samples of a block of PCM.
+PCM_BLOCK = 65_536
+_BLOCKS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("samples", pa.int64()), ("sample_offset", pa.int64()), ("pcm", pa.binary())])
 
 
-def _block_batches(samples: int) -> Callable:
+def _block_batches(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            media = batch.column(1).to_pylist()
-            for doc_id, m in zip(batch.column(0).to_pylist(), media, strict=True):
-                pcm = (np.frombuffer(decode([m])[0], np.uint8) ^ 0x80).tobytes()
-                at = list(range(0, len(pcm), samples))
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([pcm[a : a + samples] for a in at], pa.binary())], ["doc_id", "sample_offset", "pcm"])
+            ids, n_bytes, media = (batch.column(i).to_pylist() for i in range(3))
+            for low, high in _groups([len(m) for m in media]):
+                rows = []
+                for i, payload in zip(range(low, high), decode(media[low:high]), strict=True):
+                    pcm = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
+                    own = (ids[i], n_bytes[i], len(media[i]), hashlib.sha256(media[i]).hexdigest(), len(pcm))
+                    rows += [(*own, a, pcm[a : a + size]) for a in range(0, len(pcm), size)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
 
     return run
 
 
-def pcm_blocks(media: DataFrame, samples: int = 65_536) -> DataFrame:
-    """Signed 8-bit PCM of stored streams in blocks: doc_id, sample_offset (a reader can seek by it), pcm."""
+def pcm_blocks(media: DataFrame, size: int = PCM_BLOCK) -> DataFrame:
+    """Signed 8-bit PCM of stored streams (doc_id, n_bytes, media) in blocks, by whose sample_offset a reader can seek.
+
+    Each block has its stream's doc_id, n_bytes, media_bytes, media_sha256 and samples. A damaged
+    stream raises an error.
+    """
     ship_package(media.sparkSession)
-    return media.select("doc_id", "media").mapInArrow(_block_batches(samples), "doc_id long, sample_offset long, pcm binary")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_block_batches(size), "doc_id long, n_bytes long, media_bytes long, media_sha256 string, samples long, sample_offset long, pcm binary")
+
+
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    now = Features()
+    for batch in batches:
+        rows = []
+        for doc_id, n_bytes, media_bytes, media_sha256, total, at, pcm in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at == 0:
+                now = Features()
+            now.add(pcm)
+            if now.n == total:  # a stream's blocks come one after the other
+                rows.append((doc_id, n_bytes, total, now.sha.hexdigest(), zlib.crc32(now.tail), media_bytes, media_sha256, str(now)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names)
+
+
+def media_features(media: DataFrame, size: int = PCM_BLOCK) -> DataFrame:
+    """Read stored streams (doc_id, n_bytes, media) back as blocks of PCM and describe them; a damaged one raises an error."""
+    return pcm_blocks(media, size).mapInArrow(_feature_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op4_flac_media(spark, sf_dir: str) -> DataFrame:
-    """Every document stored as FLAC, read back and described."""
+    """Every document stored as FLAC, read back in blocks of PCM and described."""
     return media_features(encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))

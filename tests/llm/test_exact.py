@@ -170,6 +170,119 @@ def test_flac_round_trip_and_damage(spark, odd, empty):
     assert flac.media_features(flac.encode_texts(empty)).count() == 0
 
 
+class BitWriter:
+    def __init__(self):
+        self.text = ""
+
+    def put(self, value, n):
+        self.text += format(value & ((1 << n) - 1), f"0{n}b") if n else ""
+        return self
+
+    def bytes(self):
+        text = self.text + "0" * (-len(self.text) % 8)
+        return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8))
+
+
+def crc(data, poly, width):
+    value = 0
+    for byte in data:
+        value ^= byte << (width - 8)
+        for _ in range(8):
+            value = ((value << 1) ^ (poly if value >> (width - 1) else 0)) & ((1 << width) - 1)
+    return value
+
+
+def foreign_frame(number, n, channels, depth, subframes):
+    w = BitWriter().put(0x7FFC, 15).put(0, 1).put(7, 4).put(0, 4).put(channels, 4).put(0, 3).put(0, 1).put(number, 8).put(n - 1, 16)
+    w.put(crc(w.bytes(), 0x07, 8), 8)
+    for part in subframes:
+        w.text += part
+    data = w.bytes()
+    return data + crc(data, 0x8005, 16).to_bytes(2, "big")
+
+
+def foreign_stream(frames, total, channels, depth, pcm):
+    packed = (8000 << 44) | ((channels - 1) << 41) | ((depth - 1) << 36) | total
+    info = (16).to_bytes(2, "big") * 2 + bytes(6) + packed.to_bytes(8, "big") + hashlib.md5(pcm).digest()
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + b"".join(frames)
+
+
+def rice(w, value, k):
+    z = 2 * value if value >= 0 else -2 * value - 1
+    return w.put(0, z >> k).put(1, 1).put(z, k)
+
+
+def test_flac_streams_of_other_encoders():
+    r = random.Random(7)
+    n, depth = 32, 8
+    constant = [-7] * n
+    verbatim = [r.randrange(-128, 128) for _ in range(n)]
+    wave = [int(90 * np.sin(i / 3)) for i in range(n)]
+    even = [2 * r.randrange(-20, 20) for _ in range(n)]
+    a = BitWriter().put(0, 1).put(0, 6).put(0, 1).put(-7, 8).text
+    b = BitWriter().put(0, 1).put(1, 6).put(0, 1)
+    for x in verbatim:
+        b.put(x, 8)
+    # A fixed predictor of order 2, in four partitions: one is escaped, one has no bits at all if it is zero.
+    c = BitWriter().put(0, 1).put(10, 6).put(0, 1).put(wave[0], 8).put(wave[1], 8).put(1, 2).put(2, 4)
+    rest = [wave[i] - 2 * wave[i - 1] + wave[i - 2] for i in range(2, n)]
+    for part in range(4):
+        values = rest[: 6] if part == 0 else rest[8 * part - 2 : 8 * part + 6]
+        if part == 1:
+            c.put(31, 5).put(9, 5)
+            for v in values:
+                c.put(v, 9)
+        else:
+            c.put(2, 5)
+            for v in values:
+                rice(c, v, 2)
+    # A linear predictor of order 5 for samples with a wasted bit.
+    half, weights, shift = [x // 2 for x in even], [9, -4, 3, -2, 1], 3
+    d = BitWriter().put(0, 1).put(32 + 4, 6).put(1, 1).put(1, 1)
+    for x in half[:5]:
+        d.put(x, 7)
+    d.put(5, 4).put(shift, 5)
+    for x in weights:
+        d.put(x, 6)
+    d.put(0, 2).put(0, 4).put(3, 4)
+    for i in range(5, n):
+        rice(d, half[i] - (sum(w * half[i - 1 - j] for j, w in enumerate(weights)) >> shift), 3)
+    kinds = [(constant, a), (verbatim, b.text), (wave, c.text), (even, d.text)]
+    pcm = np.array([x for values, _ in kinds for x in values], np.int8).tobytes()
+    media = foreign_stream([foreign_frame(i, n, 0, depth, [t]) for i, (_, t) in enumerate(kinds)], 4 * n, 1, depth, pcm)
+    payload = bytes(x ^ 0x80 for x in pcm)
+    assert flac.decode([media]) == [payload] and flac.decode([media, flac.encode([bytes(192)])[0]]) == [payload, bytes(192)]
+    for at in range(42, len(media)):
+        with pytest.raises(ValueError):
+            flac.decode([media[:at] + bytes([media[at] ^ 16]) + media[at + 1 :]])
+    # Two channels as one and a difference.
+    left, right = verbatim, [max(-128, min(127, x + r.randrange(-9, 9))) for x in verbatim]
+    pairs = {8: (left, [x - y for x, y in zip(left, right, strict=True)]), 9: ([x - y for x, y in zip(left, right, strict=True)], right), 10: ([(x + y) >> 1 for x, y in zip(left, right, strict=True)], [x - y for x, y in zip(left, right, strict=True)]), 1: (left, right)}
+    frames = []
+    for i, (mode, both) in enumerate(pairs.items()):
+        wide = {8: 1, 9: 0, 10: 1}.get(mode)
+        parts = []
+        for j, values in enumerate(both):
+            w = BitWriter().put(0, 1).put(1, 6).put(0, 1)
+            for x in values:
+                w.put(x, depth + (j == wide))
+            parts.append(w.text)
+        frames.append(foreign_frame(i, n, mode, depth, parts))
+    both = np.array([left, right], np.int8).T.tobytes() * 4
+    stream = foreign_stream(frames, 4 * n, 2, depth, both)
+    assert flac.samples(stream).astype(np.int8).tobytes() == both and flac.samples(stream, 40, 9).tolist() == np.array([left, right]).T[8:17].tolist()
+
+
+def test_flac_samples_from_a_seek_point(spark, odd):
+    r = random.Random(1)
+    payload = bytes(r.randrange(97, 123) for _ in range(192 * 40))
+    media = flac.encode([payload])[0]
+    for first, count in ((0, 10), (191, 3), (192 * 20 + 5, 400), (192 * 40 - 1, 9)):
+        assert bytes((flac.samples(media, first, count)[:, 0] + 128).astype(np.uint8)) == payload[first : first + count]
+    plain = lambda size: sorted(map(str, flac.media_features(flac.encode_texts(odd), size).collect()))
+    assert plain(100) == plain(10_000_000)
+
+
 def plain_components(rows):
     sets = {}
     for i, text in rows:
