@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakloom.functions.text import SPECIAL, shannon_entropy
+from leakloom.operators.prefilter import Prefilter, candidate_batches
+from leakloom.session import ship_package
 
 
 def secret(groups: Column, named: Column) -> Column:
@@ -37,13 +39,14 @@ def postfilter(matches: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def candidates(blobs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(blob_id, rule_id) that keywords do not rule out: rules without any, and those of which the content holds one."""
-    free = rules.filter(F.size("keywords") == 0).select("rule_id")
-    words = rules.select("rule_id", F.explode("keywords").alias("keyword"))
-    listed = words.groupBy().agg(F.collect_set(F.struct("rule_id", "keyword")).alias("words"))  # the rules alone: small
-    pairs, always = listed.first()["words"], [r["rule_id"] for r in free.collect()]
-    held = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(F.col("content"), F.lit(p["keyword"])), F.lit(p["rule_id"])) for p in pairs], *[F.lit(x) for x in always])))
-    return blobs.select("blob_id", F.explode(held).alias("rule_id"))
+    """(blob_id, rule_id) that keywords do not rule out: rules without any, and those of which the content holds one.
+
+    All keywords are looked for in one pass over each content, next to the scan.
+    """
+    ship_package(blobs.sparkSession)
+    listed = [(r["rule_id"], tuple(r["keywords"])) for r in rules.select("rule_id", "keywords").collect()]  # the rules alone: small
+    run = candidate_batches(Prefilter((words, None) for _, words in listed), [rule for rule, _ in listed])
+    return blobs.select("blob_id", "content").mapInArrow(run, "blob_id string, rule_id string")
 
 
 # Content that cannot hold secrets as text, and words in the names of headers that may.

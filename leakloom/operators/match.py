@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
+import signal
+import sys
+import threading
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from leakloom.operators.prefilter import Prefilter
 from leakloom.plans.rules import Rule, compiled
 from leakloom.session import ship_package
 
 #: Defaults of chunk_bounds(): characters of a chunk, and the lines that chunks share.
 CHUNK_CHARS, SHARED_LINES = 5 << 20, 10
+#: Seconds that one rule may take on one blob.
+TIMEOUT = 5.0
 
 MATCHES = (
     "blob_id string, rule_id string, rule_place int, start long, end long, groups array<string>, named map<string,string>, "
@@ -71,10 +80,12 @@ def context(text: str, start: int, end: int, lines: int) -> tuple[str | None, st
 
 
 class _Bytes:
-    """Byte offsets, lines and byte columns of growing character positions in one text."""
+    """Byte offsets, lines and byte columns of positions in one text; each line and stretch is looked at once."""
 
     def __init__(self, text: str):
         self.text, self.ascii, self.at, self.bytes = text, text.isascii(), 0, 0
+        self.newlines: list[int] | None = None
+        self.begin, self.begin_bytes = 0, 0
 
     def offset(self, position: int) -> int:
         if self.ascii:
@@ -86,17 +97,57 @@ class _Bytes:
         return self.bytes
 
     def place(self, position: int) -> tuple[int, int]:
-        begin = self.text.rfind("\n", 0, position) + 1
-        return self.text.count("\n", 0, position) + 1, len(self.text[begin:position].encode("utf-8", "surrogateescape")) + 1
-
-
-def matches_in(text: str, rules: list[tuple[str, tuple[str, ...], object]], lines: int, dedupe: str | None) -> Iterator[tuple]:
+        """The line, from 1, and the byte column, from 1."""
+        if self.newlines is None:
+            self.newlines = [m.start() for m in re.finditer("\n", self.text)]
+        line = bisect_left(self.newlines, position)
+        begin = self.newlines[line - 1] + 1 if line else 0
+        if begin != self.begin:
+            self.begin, self.begin_bytes = begin, self.offset(position) - len(self.text[begin:position].encode("utf-8", "surrogateescape"))
+        return line + 1, self.offset(position) - self.begin_bytes + 1
+
+
+class _TooLong(Exception):
+    pass
+
+
+@contextlib.contextmanager
+def deadline(seconds: float | None) -> Iterator[None]:
+    """Raise _TooLong in the block once so many seconds have passed; Python's engine looks for signals while it matches."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_) -> None:
+        raise _TooLong
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def found_in(text: str, pattern: re.Pattern, timeout: float | None) -> list[re.Match]:
+    """The matches of a pattern; those beyond the timeout are left out, as the pattern takes too long for this text."""
+    out: list[re.Match] = []
+    try:
+        with deadline(timeout):
+            out.extend(pattern.finditer(text))  # what is found so far stays
+    except _TooLong:
+        print(f"pattern {pattern.pattern[:60]!r} takes more than {timeout} s on a text of {len(text)} characters; the rest of it is skipped", file=sys.stderr)
+    return out
+
+
+def matches_in(text: str, rules: list[tuple[str, tuple[str, ...], re.Pattern]], lines: int, dedupe: str | None, prefilter: Prefilter | None = None, timeout: float | None = TIMEOUT) -> Iterator[tuple]:
     """Matches of each rule in turn, in the whole text whatever its size; groups that took no part are left out."""
-    for place, (rule_id, keywords, pattern) in enumerate(rules):
-        if keywords and not any(k in text for k in keywords):
-            continue
-        seen, of = set(), _Bytes(text)
-        for m in pattern.finditer(text):
+    of = _Bytes(text)
+    for place in (prefilter or Prefilter((k, p) for _, k, p in rules)).candidates(text):
+        rule_id, _, pattern = rules[place]
+        seen = set()
+        for m in found_in(text, pattern, timeout):
             groups = [g for g in m.groups() if g is not None]
             key = tuple(groups) if dedupe == "content" else m.span()
             if key in seen:
@@ -107,14 +158,15 @@ def matches_in(text: str, rules: list[tuple[str, tuple[str, ...], object]], line
             yield rule_id, place, start, end, groups, [(k, v) for k, v in m.groupdict().items() if v is not None], before, m[0], after, *of.place(m.start()), *of.place(m.end())
 
 
-def _scan_batches(rules: list[Rule], lines: int, dedupe: str | None) -> Callable:
+def _scan_batches(rules: list[Rule], lines: int, dedupe: str | None, timeout: float | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = [(r.id, r.keywords, compiled(r.pattern)) for r in rules]
+        prefilter = Prefilter((k, p) for _, k, p in ready)
         for batch in batches:
             rows = []
             for blob, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = content.decode("utf-8", "surrogateescape") if isinstance(content, bytes) else content or ""
-                for row in matches_in(text, ready, lines, dedupe):
+                for row in matches_in(text, ready, lines, dedupe, prefilter, timeout):
                     rows.append((blob, *(_clean(x) for x in row)))
                 if len(rows) > 5000:
                     yield _rows(rows)
@@ -138,13 +190,15 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)], schema=_FIELDS)
 
 
-def scan(blobs: DataFrame, rules: Iterable[Rule], lines: int = 3, dedupe: str | None = "content") -> DataFrame:
+def scan(blobs: DataFrame, rules: Iterable[Rule], lines: int = 3, dedupe: str | None = "content", timeout: float | None = TIMEOUT) -> DataFrame:
     """All matches of the rules in blobs (blob_id, content as text or binary); offsets and columns count bytes.
 
     dedupe "content" keeps a rule's first match of each list of groups in a blob, "location" one match
-    of each range; as a blob's matches arise in one place, neither needs a shuffle. Rules with keywords
-    are tried only on blobs that hold one. A later rule of the same id replaces an earlier.
+    of each range; as a blob's matches arise in one place, neither needs a shuffle. Rules are tried only
+    on blobs that hold one of their keywords, if they have any, and one of the strings that their
+    pattern needs. A rule that takes longer than timeout on a blob is given up there; other rules and
+    what it found before stay. A later rule of the same id replaces an earlier.
     """
     ship_package(blobs.sparkSession)
     last = list({r.id: r for r in rules}.values())
-    return blobs.select("blob_id", "content").mapInArrow(_scan_batches(last, lines, dedupe), MATCHES)
+    return blobs.select("blob_id", "content").mapInArrow(_scan_batches(last, lines, dedupe, timeout), MATCHES)

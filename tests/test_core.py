@@ -4,9 +4,11 @@ import base64
 import hashlib
 import io
 import json
+import re
 import sqlite3
 import subprocess
 import tarfile
+import time
 import zipfile
 
 import pytest
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from leakloom.functions import ids, text
 from leakloom.operators import filters, findings, validation
 from leakloom.operators.match import CHUNK_CHARS, chunk_bounds, context, matches_in, scan
+from leakloom.operators.prefilter import Prefilter, literals
 from leakloom.plans import report
 from leakloom.plans import rules as R
 from leakloom.sources import blobs as B
@@ -117,6 +120,59 @@ def test_texts_of_any_size_are_matched_whole():
     assert list(matches_in(run, rules, 0, "location")) == []
 
 
+def test_literals_that_patterns_need():
+    of = lambda p: literals(R.compiled(p))
+    assert of(r"\bghp_[A-Za-z0-9]{36}\b") == {"ghp_"}
+    assert of(r"(?i)api[_-]?key\s*=") >= {"api_key", "api-key", "apikey"}
+    assert of(r"(A3T[A-Z0-9]|AKIA|ASIA)[A-Z0-9]{16}") == {"a3t", "akia", "asia"}
+    assert of(r"(?:foo|bar[0-9])baz|quux") <= {"foobaz", "bar", "baz", "quux"} and "quux" in of(r"(?:foo|bar[0-9])baz|quux")
+    assert of(r"(?x) \b (?# note ) x y z w # rest") == {"xyzw"}
+    for p in (r"\d{16}", r"[a-f0-9]{32}", r"(?:secret)?[0-9]+", r"a|secret", r"äöü+", r"(secret)*x"):
+        assert of(p) is None
+
+
+def test_prefilter_keeps_every_rule_that_matches(tmp_path):
+    import random
+
+    r = random.Random(3)
+    rules = [*R.TEXT_PACK, *R.CREDENTIAL_PACK, *(R.Rule(f"x.{i}", "x", p) for i, p in enumerate((r"(?i)Straße|K[0-9]", r"(ab|cd){2,}e", r"(?:x|yy?)z{3}", r"foo(?=bar)|ba[rz]q+", r"(?i)(?:user|pass)\W{0,2}word")))]
+    ready = [(x.id, x.keywords, R.compiled(x.pattern)) for x in rules]
+    given = Prefilter((k, p) for _, k, p in ready)
+    parts = [e for x in rules for e in x.examples] + ["STRASSE Straße", "k9", "ababe cdcde", "xzzz yyzzz", "foobar", "bazqq", "USER-word", "tokens", "xoxoxoxb-", "é😀İ", "0123456789abcdef" * 3, "1.2.3.4", "a@b.cd"]
+    for _ in range(300):
+        text = r.choice(["", " ", "\n"]).join(r.choices(parts, k=r.randint(0, 4)))
+        text = text[r.randint(0, 3) : len(text) - r.randint(0, 3)]
+        may = set(given.candidates(text))
+        assert may >= {i for i, (_, k, p) in enumerate(ready) if p.search(text) and (not k or any(x in text for x in k))}
+        assert all(not ready[i][1] or any(x in text for x in ready[i][1]) for i in may)
+        import pickle
+
+        assert set(pickle.loads(pickle.dumps(given)).candidates(text)) == may
+
+
+def test_many_rules_are_tried_where_their_literals_are(spark):
+    rules = [R.Rule(f"svc.{i}", "x", rf"\bsvc{i:03}_([a-z0-9]{{8}})\b") for i in range(490)]
+    rows = spark.range(300).select(F.col("id").cast("string").alias("blob_id"), F.format_string("text svc%03d_abcd%04d and svc999_zzzzzzzz", "id", "id").alias("content"))
+    assert {(x.blob_id, x.rule_id, x.matching) for x in scan(rows, rules).collect()} == {(str(i), f"svc.{i}", f"svc{i:03}_abcd{i:04}") for i in range(300)}
+    assert {len(Prefilter(((), R.compiled(x.pattern)) for x in rules).candidates(f"svc{i:03}_ ")) for i in (0, 7, 489)} == {1}
+
+
+def test_a_rule_that_takes_too_long_is_given_up_on_that_blob_alone(spark):
+    rules = [R.Rule("slow", "slow", r"(a+)+$"), R.Rule("quick", "quick", r"\b(key\d)\b")]
+    rows = spark.createDataFrame([("bad", "key1 " + "a" * 40 + "b key2"), ("good", "aaa\nkey3")], "blob_id string, content string")
+    began = time.time()
+    got = {(x.blob_id, x.rule_id, x.matching) for x in scan(rows, rules, timeout=0.5, dedupe="location").collect()}
+    assert got == {("bad", "quick", "key1"), ("bad", "quick", "key2"), ("good", "slow", "aaa"), ("good", "quick", "key3")}
+    assert time.time() - began < 60
+
+
+def test_places_of_many_matches_in_one_long_line():
+    text = "é " + "k1 " * 20_000 + "\n\nk2 é k3"
+    rows = list(matches_in(text, [("r", (), R.compiled(r"k\d"))], 0, "location"))
+    assert rows[0][9:] == (1, 4, 1, 6) and rows[-1][9:] == (3, 7, 3, 9) and rows[-2][9:] == (3, 1, 3, 3) and len(rows) == 20_002
+    assert [(r[2], r[3]) for r in rows] == [(len(text[: m.start()].encode()), len(text[: m.end()].encode())) for m in re.finditer(r"k\d", text)]
+
+
 def test_pack_examples(spark):
     for rule in R.CREDENTIAL_PACK:
         assert not R.faults_of(rule)
