@@ -229,7 +229,7 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     links = materialize(confirm(allowed(pairs, sets, similarity), sets, similarity), "links", tasks)
     comps = components(links, tasks)
     left = materialize(_open(members.filter("node <> hub").select("bucket", "node"), comps, tasks), "open", tasks)
-    left, turn = materialize(_open(_prefixes(left, sets, similarity), comps, tasks), "open", tasks), 0
+    left, turn = materialize(_open(materialize(_prefixes(left, sets, similarity), "prefixes", tasks), comps, tasks), "open", tasks), 0
     release_shuffles(spark)
     while not left.isEmpty():
         # Pairs inside the main component of a bucket need no test, so all others are its hubs: at once
