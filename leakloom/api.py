@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leakloom.operators import filters, findings
 from leakloom.operators.match import scan
+from leakloom.operators.validation import Validator, check, first_validators
 from leakloom.plans import rules as R
 from leakloom.sources import blobs as B
 
@@ -48,8 +49,10 @@ class Scanner:
         return self.matches(B.from_files(self.spark, path))
 
 
-def serve(scanner: Scanner, requests: TextIO) -> Iterator[str]:
-    """Answers, as JSON lines, to requests scan, scan_batch and close; others get an error answer.
+def serve(scanner: Scanner, requests: TextIO, validators: Iterable[Validator] = (), send: Callable[[dict], tuple[int, str]] | None = None) -> Iterator[str]:
+    """Answers, as JSON lines, to requests scan, scan_batch, validate and close; others get an error answer.
+
+    validate takes a rule's id, its named groups and its groups, and needs validators and a sender.
 
     A line that is no JSON ends the loop with an error, as does the end of the input without one.
     """
@@ -71,6 +74,10 @@ def serve(scanner: Scanner, requests: TextIO) -> Iterator[str]:
         elif kind == "scan_batch":
             results = scanner.scan_batch([(i.get("source", ""), i.get("content", "")) for i in payload.get("items", [])])
             yield json.dumps({"type": "scan_batch", "results": results, "total": sum(len(r["matches"]) for r in results)}, default=str)
+        elif kind == "validate":
+            v = first_validators(list(validators)).get(payload.get("rule_id", "")) if send else None
+            status, confidence = check(v, payload.get("named") or {}, payload.get("groups") or [], send)
+            yield json.dumps({"type": "validate", "status": status, "confidence": confidence})
         else:
             yield json.dumps({"type": "error", "error": f"unknown request type: {kind}"})
 

@@ -107,6 +107,38 @@ def with_provenance(matches: DataFrame, provenance: DataFrame, first: bool = Tru
     return matches.join(given, "blob_id", "left").withColumn("path", F.coalesce("path", F.col("blob_id") if first else F.array("blob_id")))
 
 
+def capped(matches: DataFrame, n: int) -> DataFrame:
+    """The first n matches of each blob, by rule and place; tasks cut to n before rows are exchanged."""
+    order = Window.partitionBy("blob_id").orderBy("rule_place", "start", "end")
+    return matches.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+
+
+def repositories(matches: DataFrame, provenance: DataFrame, of: Column) -> DataFrame:
+    """The distinct (finding_id, repository) of the places where a finding's blobs are; of gives a place's repository."""
+    places = provenance.select("blob_id", of.alias("repository")).distinct()
+    return matches.select("finding_id", "blob_id").distinct().join(places, "blob_id").select("finding_id", "repository").distinct()
+
+
+def without_repository(found: DataFrame, repositories: DataFrame, text: str) -> DataFrame:
+    """Findings of which no repository's name holds a text, as written."""
+    return found.join(repositories.filter(F.contains("repository", F.lit(text))).select("finding_id"), "finding_id", "left_anti")
+
+
+def with_commits(blobs: DataFrame, commits: DataFrame, order: list[str]) -> DataFrame:
+    """Blobs with the first commit (path, commit_id, ...) of their path, if there is one."""
+    return blobs.join(first_by(commits, ["path"], order), "path", "left")
+
+
+def ordered(found: DataFrame, by: str) -> DataFrame:
+    """Findings in ascending order of a column, equal ones by their id."""
+    return found.orderBy(by, "finding_id")
+
+
+def newest(rows: DataFrame, n: int, at: list[str]) -> DataFrame:
+    """The n newest rows: what a grid of bounded size keeps."""
+    return rows.orderBy(*[F.desc(c) for c in at]).limit(n)
+
+
 def annotated(found: DataFrame, annotations: DataFrame, kind: str = "finding", key: str = "finding_id") -> DataFrame:
     """Rows with the status and comment of the annotation of their id."""
     notes = latest(annotations.filter(F.col("target_type") == kind), ["target_id"], "updated_at")
@@ -131,13 +163,11 @@ def toggled(annotations: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def facets(rows: DataFrame, scalar: list[str], listed: list[str]) -> DataFrame:
-    """Counts (facet, value, n) of each value of scalar and of listed columns."""
-    parts = [rows.groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("facet"), F.coalesce("value", F.lit("-")).alias("value"), "n") for c in scalar]
-    parts += [rows.select(F.explode(F.array_distinct(c)).alias("value")).groupBy("value").agg(F.count("*").alias("n")).select(F.lit(c).alias("facet"), "value", "n") for c in listed]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Counts (facet, value, n) of each value of scalar and of listed columns, in one pass over the rows."""
+    pair = lambda c, v: F.struct(F.lit(c).alias("facet"), v.alias("value"))
+    each = lambda c: F.transform(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), lambda v: pair(c, v))
+    one = F.array(*[pair(c, F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in scalar]) if scalar else F.expr("cast(array() as array<struct<facet:string,value:string>>)")
+    return rows.select(F.explode(F.concat(one, *map(each, listed))).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
 def facet_filter(rows: DataFrame, chosen: dict[str, list[str]], listed: tuple[str, ...] = ()) -> DataFrame:

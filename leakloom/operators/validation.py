@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -94,29 +95,78 @@ def _judge(v: Validator, status: int, body: str) -> tuple[str, float]:
     return ("invalid", 1.0) if status in v.failure_codes else ("undetermined", 0.5)
 
 
-def validated(matches: DataFrame, validators: list[Validator], send: Callable[[dict], tuple[int, str]]) -> DataFrame:
-    """Matches (rule_id, secret, named, groups, ...) with status and confidence.
+def load_validators(folder: str) -> list[Validator]:
+    """The validators of the YAML files in a folder, in the order of names; a file may hold many."""
+    import glob
+    import os
+
+    import yaml
+
+    out = []
+    for name in sorted(glob.glob(os.path.join(folder, "*.y*ml"))):
+        with open(name, encoding="utf-8") as f:
+            for raw in (yaml.safe_load(f) or {}).get("validators") or ():
+                http = raw["http"]
+                auth = http.get("auth") or {}
+                codes = lambda k, http=http: tuple(int(c) for c in http.get(k) or ())
+                out.append(
+                    Validator(
+                        str(raw["name"]), tuple(map(str, raw.get("rule_ids") or ())), str(http["url"]), str(http.get("method") or "GET"), str(http.get("body") or ""),
+                        tuple((str(h["name"]), str(h["value"])) for h in http.get("headers") or ()), str(auth.get("type") or "none"), str(auth.get("secret_group") or ""), str(auth.get("username") or ""),
+                        str(auth.get("header_name") or ""), str(auth.get("query_param") or ""), str(auth.get("key_prefix") or "key="), codes("success_codes"), codes("failure_codes"),
+                        str(http.get("success_body_contains") or ""), str(http.get("failure_body_contains") or ""),
+                    )
+                )
+    return out
+
+
+def first_validators(validators: list[Validator]) -> dict[str, Validator]:
+    """The validator of each rule: the first that names it."""
+    out: dict[str, Validator] = {}
+    for v in validators:
+        for rule in v.rule_ids:
+            out.setdefault(rule, v)
+    return out
+
+
+def with_validator(matches: DataFrame, validators: list[Validator]) -> DataFrame:
+    """Matches with the name of the validator of their rule, null if it has none."""
+    names = [(rule, v.name) for rule, v in first_validators(validators).items()]
+    return matches.join(F.broadcast(matches.sparkSession.createDataFrame(names, "rule_id string, validator string")), "rule_id", "left")  # a list of the driver's
+
 
-    Each secret is checked once, by the first validator of its rule; send(request) gives a response's
-    code and body and runs in tasks. Without a validator, or on an error, the status is undetermined, 0.
+def check(v: Validator | None, named: dict[str, str], groups: list[str], send: Callable[[dict], tuple[int, str]]) -> tuple[str, float]:
+    """Status and confidence of one secret; without a validator, a secret or an answer it is undetermined, 0."""
+    if v is None:
+        return "undetermined", 0.0
+    request = request_of(v, named, groups)
+    if request is None:
+        return "undetermined", 0.0
+    try:
+        status, body = send(request)
+    except (OSError, EOFError):  # no answer; other errors are the program's
+        return "undetermined", 0.0
+    return _judge(v, status, body)
+
+
+def validated(matches: DataFrame, validators: list[Validator], send: Callable[[dict], tuple[int, str]], workers: int = 4) -> DataFrame:
+    """Matches (rule_id, named, groups, secret, and matching and rule_place if known) with status and confidence.
+
+    Each secret (see cached_secret) is checked once, as the match of its first rule, by that rule's first
+    validator; send(request) gives a response's code and body, runs in tasks, at most workers of them
+    at once in each, and may raise OSError if there is no answer.
     """
     ship_package(matches.sparkSession)
-    first: dict[str, Validator] = {}
-    for v in validators:
-        for rule in v.rule_ids:
-            first.setdefault(rule, v)
+    first = first_validators(validators)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                v = first.get(r["rule_id"])
-                try:
-                    request = v and request_of(v, dict(r["named"] or ()), r["groups"] or [])
-                    out.append(_judge(v, *send(request)) if request else ("undetermined", 0.0))
-                except Exception:
-                    out.append(("undetermined", 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["secret", "status", "confidence"])
-
-    once = matches.filter("secret is not null").dropDuplicates(["secret"]).select("secret", "rule_id", "named", "groups")
-    return matches.join(once.mapInArrow(run, "secret string, status string, confidence double"), "secret", "left")
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                out = list(pool.map(lambda r: check(first.get(r["rule_id"]), dict(r["named"] or ()), r["groups"] or [], send), batch.to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["checked", "status", "confidence"])
+
+    keyed = matches.withColumn("checked", cached_secret(F.col("named"), F.col("matching" if "matching" in matches.columns else "secret")))
+    of = F.struct(*(["rule_place"] if "rule_place" in matches.columns else []), "rule_id", "groups", F.map_entries("named").alias("named"))  # maps have no order
+    once = keyed.filter("checked <> ''").groupBy("checked").agg(F.min(of).alias("m")).select("checked", "m.rule_id", F.map_from_entries("m.named").alias("named"), "m.groups")
+    found = keyed.join(once.mapInArrow(run, "checked string, status string, confidence double"), "checked", "left").drop("checked")
+    return found.withColumns({"status": F.coalesce("status", F.lit("undetermined")), "confidence": F.coalesce("confidence", F.lit(0.0))})

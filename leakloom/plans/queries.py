@@ -49,7 +49,7 @@ d AS (SELECT blob_id, min(seq) AS seq, arg_min(path, seq) AS path, any_value(tex
 
 
 def _raw_sql(source: str, pack=PACK, key: str = "blob_id") -> str:
-    """Matches (key, rule_id, place, name, sid, plen, start, end, matching, groups, secret) of a pack in a table with text."""
+    """Matches (key, rule_id, place, name, sid, plen, text, s, e: bytes, cs: characters before, matching, groups, secret) of a pack in a table with text."""
     parts = []
     for place, r in enumerate(pack):
         p, c = _quoted(r.pattern), R.compiled(r.pattern)
@@ -59,11 +59,12 @@ def _raw_sql(source: str, pack=PACK, key: str = "blob_id") -> str:
         parts.append(
             f"SELECT {key}, '{r.id}' AS rule_id, {place} AS place, {_quoted(r.name)} AS name, '{r.structural_id}' AS sid, {len(r.pattern)} AS plen, text,"
             f" coalesce(list_sum(list_transform(pieces[1:i], lambda x: strlen(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: strlen(x))), 0) AS s,"
+            f" coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS cs,"
             f" strlen(ms[i]) AS w, ms[i] AS matching, [{groups}] AS groups, regexp_extract_all(text, {p}, {at})[i] AS secret"
             f" FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT {key}, text, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS pieces FROM {source} WHERE regexp_matches(text, {p})))"
         )
     union = " UNION ALL ".join(parts)
-    return f"SELECT {key}, rule_id, place, name, sid, plen, text, CAST(s AS BIGINT) AS s, CAST(s + w AS BIGINT) AS e, matching, groups, secret FROM ({union})"
+    return f"SELECT {key}, rule_id, place, name, sid, plen, text, CAST(s AS BIGINT) AS s, CAST(s + w AS BIGINT) AS e, CAST(cs AS BIGINT) AS cs, matching, groups, secret FROM ({union})"
 
 
 _MATCHES_SQL = f"{_BLOBS_SQL}, raw AS ({_raw_sql('d')}), m AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY blob_id, rule_id, groups ORDER BY s) = 1)"
@@ -345,14 +346,39 @@ def scan_stats(spark, sf_dir):
     return passed(spark, sf_dir).agg(F.count("*").alias("matches"), F.countDistinct("finding_id").alias("findings")).join(of, F.lit(True))
 
 
-@query()
+# Line and byte column, from 1, of a place with the text t before it.
+_PLACE_SQL = "CAST(1 + length({t}) - length(replace({t}, chr(10), '')) AS BIGINT) AS {n}_line, CAST(strlen(string_split({t}, chr(10))[-1]) + 1 AS BIGINT) AS {n}_column"
+_PLACES_SQL = f"SELECT *, {_PLACE_SQL.format(t='left(text, cs)', n='start')}, {_PLACE_SQL.format(t='left(text, cs + length(matching))', n='end')} FROM "
+# The rest of a match's lines and three more on either side.
+_AFTER = "CASE WHEN substr(text, cs + length(matching) + 1, 1) = chr(10) THEN substr(text, cs + length(matching) + 2) ELSE substr(text, cs + length(matching) + 1) END"
+_AROUND_SQL = (
+    "SELECT * EXCLUDE (l, r, rs), array_to_string(list_slice(l, greatest(len(l) - 3, 1), len(l)), chr(10)) AS before, CASE WHEN len(rs) > 3 THEN array_to_string(rs[1:3], chr(10)) || chr(10) ELSE r END AS after"
+    f" FROM (SELECT *, string_split(r, chr(10)) AS rs FROM (SELECT *, string_split(left(text, cs), chr(10)) AS l, {_AFTER} AS r FROM {{rows}}))"
+)
+
+
+def _json_sql(pairs: str) -> str:
+    return f"CAST(to_json({{{pairs}}}) AS VARCHAR)"
+
+
+_SARIF = _json_sql(
+    "'ruleId': rule_id, 'level': 'warning', 'message': {'text': name}, 'locations': [{'physicalLocation': {'artifactLocation': {'uri': path}, 'region':"
+    " {'startLine': start_line, 'startColumn': start_column, 'endLine': end_line, 'endColumn': end_column, 'snippet': {'text': matching}}}}]"
+)
+_MATCH_JSON = _json_sql(
+    "'BlobID': blob_id, 'StructuralID': match_id, 'FindingID': finding_id, 'RuleID': rule_id, 'RuleName': name, 'Location': {'Offset': {'Start': s, 'End': e}, 'Source': {'Start': {'Line': start_line, 'Column': start_column},"
+    " 'End': {'Line': end_line, 'Column': end_column}}}, 'Groups': list_transform(groups, lambda g: to_base64(encode(g))), 'Snippet': {'Before': to_base64(encode(before)), 'Matching': to_base64(encode(matching)), 'After': to_base64(encode(after))}"
+)
+
+
+@query(f"WITH {_IDS_SQL}, z AS ({_PLACES_SQL} f JOIN d USING (blob_id, text)) SELECT match_id, {_SARIF} AS result FROM z")
 def sarif_results(spark, sf_dir):
     """Matches as SARIF results."""
     out = findings.with_provenance(passed(spark, sf_dir), document_blobs(spark, sf_dir))
     return out.select("match_id", report.sarif_result(F.col("path")).alias("result"))
 
 
-@query()
+@query(f"WITH {_IDS_SQL}, z AS ({_PLACES_SQL} ({_AROUND_SQL.format(rows='f')})) SELECT match_id, {_MATCH_JSON} AS json FROM z")
 def json_matches(spark, sf_dir):
     """Matches as JSON objects."""
     return report.match_json(passed(spark, sf_dir))
@@ -421,4 +447,8 @@ def latest_content(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n FROM events WHERE value > 10 AND event_type <> 'view' GROUP BY event_type")
 def request_grid(spark, sf_dir):
     """Requests by type under a conjunction of filters, most first."""
-    return findings.count_by(table(spark, sf_dir, "events").filter((F.col("value") > 10) & (F.col("event_type") != "view")), "event_type")
+    rows = table(spark, sf_dir, "events").withColumn("secrets", ((F.col("value") > 10) & (F.col("event_type") != "view")).cast("int"))
+    return findings.count_by(findings.grid(rows, with_secrets=True), "event_type")
+
+
+from leakloom.plans import details  # noqa: E402, F401  # further queries, which use what is above

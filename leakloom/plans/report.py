@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,47 @@ def sarif_result(path: Column) -> Column:
     return F.to_json(F.struct(F.col("rule_id").alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.col("rule_name").alias("text")).alias("message"), F.array(place).alias("locations")))
 
 
+def finding_json(matches: DataFrame) -> DataFrame:
+    """Each finding as a JSON object with its matches' ids and places, in the order of the ids."""
+    of = F.array_sort(F.collect_list(F.struct(F.col("match_id").alias("StructuralID"), F.col("blob_id").alias("BlobID"), F.col("start").alias("Start"), F.col("end").alias("End"))))
+    by = matches.groupBy("finding_id", "rule_id").agg(F.first("groups").alias("groups"), F.count("*").alias("n"), of.alias("matches"))
+    fields = F.struct(F.col("finding_id").alias("ID"), F.col("rule_id").alias("RuleID"), F.transform("groups", base64_of).alias("Groups"), F.col("n").alias("MatchCount"), F.col("matches").alias("Matches"))
+    return by.select("finding_id", F.to_json(fields).alias("json"))
+
+
+def human(found: DataFrame, top: DataFrame, rules: DataFrame) -> DataFrame:
+    """A block of text for each finding: its rule, its groups and its first matches (see findings.top_matches)."""
+    line = F.format_string("  %d. blob %s, bytes %d to %d", "number", "blob_id", "start", "end")
+    shown = top.groupBy("finding_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("shown"), F.max("number").alias("k"))  # a few each
+    named = found.join(rules.select("rule_id", "rule_name"), "rule_id", "left").join(shown, "finding_id")
+    head = F.concat(F.coalesce("rule_name", "rule_id"), F.lit(" ("), "rule_id", F.lit(")\n  groups: "), F.array_join("groups", ", "))
+    return named.select("finding_id", F.concat(head, F.format_string("\n  showing %d/%d\n", F.col("k"), F.col("matches")), "shown").alias("text"))
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """Rules with their first category and how many more they have."""
+    more = F.when(F.size("categories") > 1, F.concat(F.lit(" (+"), (F.size("categories") - 1).cast("string"), F.lit(")"))).otherwise("")
+    return rules.select("rule_id", "rule_name", F.concat(F.coalesce(F.get("categories", F.lit(0)), F.lit("-")), more).alias("category"))
+
+
+def summary_lines(summary: DataFrame) -> DataFrame:
+    """A summary by rule as lines of text, a row a rule."""
+    return summary.select("rule_id", F.format_string("%s: %d findings, %d matches", "rule_name", "findings", "matches").alias("line"))
+
+
+def summary_json(summary: DataFrame) -> DataFrame:
+    """A summary by rule and its totals, as JSON objects."""
+    fields = ["findings", "matches"]
+    total = summary.agg(F.lit("total").alias("rule_id"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in fields])
+    return summary.select("rule_id", *fields).unionByName(total).select("rule_id", F.to_json(F.struct("rule_id", *fields)).alias("json"))
+
+
+def export_json(rolled: DataFrame) -> DataFrame:
+    """Secrets over all places (see findings.rolled_up) as JSON objects."""
+    fields = F.struct(F.col("rule_id").alias("ruleId"), F.col("key"), F.col("urls"), F.col("hosts"), F.col("occurrences"), F.col("first_seen").alias("firstSeen"))
+    return rolled.select("key", F.to_json(fields).alias("json"))
+
+
 def write_sarif(results: DataFrame, rules, path: str, tool: str = "leakloom", version: str = "1") -> None:
     """One SARIF file from rows with column `result`: rows stream through one writer, none is gathered."""
     listed = [{"id": r.id, "name": r.name, "shortDescription": {"text": r.description}} | ({"helpUri": r.references[0]} if r.references else {}) for r in rules]
@@ -57,24 +99,31 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def read(self, entity: str) -> DataFrame | None:
+    def read(self, entity: str, but: str | None = None) -> DataFrame | None:
+        """The rows of an entity, without those of one batch if it is given."""
         from pyspark.errors import AnalysisException
 
         try:
-            return self.spark.read.parquet(f"{self.path}/{entity}")
+            rows = self.spark.read.parquet(f"{self.path}/{entity}")
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
+            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
             raise
+        return (rows.filter(F.col("batch") != but) if but else rows).drop("batch")
+
+    def add(self, entity: str, rows: DataFrame, batch: str | None = None) -> None:
+        """Append the rows whose key is new; of rows with one key in a batch one is kept.
 
-    def add(self, entity: str, rows: DataFrame) -> None:
-        """Append the rows whose key is new; of rows with one key in a batch one is kept."""
-        keys, old = self.KEYS[entity], self.read(entity)
+        A batch that is added again under its name replaces what it wrote before.
+        """
+        batch = f"b-{batch or uuid.uuid4().hex}"
+        keys, old = self.KEYS[entity], self.read(entity, batch)
         new = rows.dropDuplicates(keys)
         if old is not None:
             new = new.join(old.select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(f"{self.path}/{entity}")
+        new.write.mode("overwrite").parquet(f"{self.path}/{entity}/batch={batch}")
 
-    def unseen(self, blobs: DataFrame) -> DataFrame:
-        old = self.read("blobs")
+    def unseen(self, blobs: DataFrame, batch: str | None = None) -> DataFrame:
+        """Blobs that no other batch has stored."""
+        old = self.read("blobs", f"b-{batch}" if batch else None)
         return blobs if old is None else blobs.join(old.select("blob_id"), "blob_id", "left_anti")

@@ -143,9 +143,19 @@ def commits_of(spark: SparkSession, repository: str, first_added: bool = False)
     return spark.createDataFrame(list(rows.values()), "path string, commit_id string, author string, author_email string, committed_at string, message string")
 
 
+# The hosts of repositories, and the form of their URLs.
+REPOSITORY = r"^(?:https?://)?(?:github\.com|gitlab\.com)/([^/]+)/([^/]+?)(?:\.git)?/?$"
+
+
+def repository_of(url: Column) -> Column:
+    """owner/name of a hosted repository's URL, null if it is none."""
+    name = F.concat(F.regexp_extract(url, REPOSITORY, 1), F.lit("/"), F.regexp_extract(url, REPOSITORY, 2))
+    return F.when(url.rlike(REPOSITORY), name)
+
+
 def listing(url: str) -> tuple[str, str] | None:
     """Owner and name of a hosted repository's URL."""
-    found = re.fullmatch(r"(?:https?://)?(?:github\.com|gitlab\.com)/([^/]+)/([^/]+?)(?:\.git)?/?", url)
+    found = re.search(REPOSITORY, url)
     return (found[1], found[2]) if found else None
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,11 +53,14 @@ def new_only(hits: DataFrame, keys: list[str] | None = None, within: str | None
 def incremental(stream: DataFrame, store, scan_new: Callable[[DataFrame], None], checkpoint: str):
     """Scan what no earlier batch or run has stored: each micro-batch is cut to unseen blobs, scanned, and stored."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        fresh = store.unseen(rows.dropDuplicates(["blob_id"])).persist()
+    named = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+
+    def batch(rows: DataFrame, number: int) -> None:
+        this = f"{named}-{number}"  # a batch that is tried again sees and replaces its own rows
+        fresh = store.unseen(rows.dropDuplicates(["blob_id"]), this).persist()
         try:
             scan_new(fresh)
-            store.add("blobs", fresh.select("blob_id", "size"))
+            store.add("blobs", fresh.select("blob_id", "size"), this)
         finally:
             fresh.unpersist()
 

@@ -2,6 +2,7 @@ import io
 import json
 
 from leakloom import api
+from leakloom.operators.validation import Validator
 from leakloom.operators import findings
 from leakloom.plans import rules as R
 
@@ -16,6 +17,11 @@ def test_scanner_and_loop(spark):
     out = [json.loads(x) for x in api.serve(s, io.StringIO("\n".join(map(json.dumps, lines))))]
     assert [x["type"] for x in out] == ["ready", "scan", "error", "scan_batch"] and out[3]["total"] == 1
     assert json.loads(list(api.serve(s, io.StringIO("{broken")))[-1])["type"] == "error"
+    check = json.dumps({"type": "validate", "payload": {"rule_id": "lk.github.1", "named": {"token": "x"}}}) + "\n"
+    v = Validator("github", ("lk.github.1",), "https://example.com", auth="bearer")
+    answers = [json.loads(x) for x in api.serve(s, io.StringIO(check), [v], lambda r: (200 if r["headers"]["Authorization"] == "Bearer x" else 500, ""))]
+    assert answers[1] == {"type": "validate", "status": "valid", "confidence": 1.0}
+    assert json.loads(list(api.serve(s, io.StringIO(check)))[1])["status"] == "undetermined"
 
 
 def test_sql_functions(spark):

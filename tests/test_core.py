@@ -340,6 +340,41 @@ def test_validation(spark):
     assert got == {("r", "good"): ("valid", 1.0), ("r", "bad"): ("invalid", 1.0), ("q", "other"): ("undetermined", 0.0)}
 
 
+def test_validators_from_files_and_senders_that_fail(spark, tmp_path):
+    (tmp_path / "b.yml").write_text("validators:\n- name: late\n  rule_ids: [r1]\n  http: {url: 'https://x/late'}\n")
+    (tmp_path / "a.yaml").write_text(
+        "validators:\n- name: one\n  rule_ids: [r1, r2]\n  http:\n    method: POST\n    url: 'https://x/{{ id }}'\n    auth: {type: header, header_name: X-K, secret_group: token}\n"
+        "    headers: [{name: A, value: 'b-{{.id}}'}]\n    success_codes: [200]\n    failure_codes: [401]\n    success_body_contains: fine\n"
+    )
+    found = validation.load_validators(str(tmp_path))
+    assert [v.name for v in found] == ["one", "late"] and validation.first_validators(found)["r1"].name == "one"
+    request = validation.request_of(found[0], {"token": "s", "id": "7"}, [])
+    assert request == {"method": "POST", "url": "https://x/7", "headers": {"A": "b-7", "X-K": "s"}, "body": ""}
+
+    def send(request):
+        if request["headers"]["X-K"] == "gone":
+            raise ConnectionError
+        return (200, "fine") if request["headers"]["X-K"] == "good" else (401, "")
+
+    rows = [(r, p, {"token": t, "id": "1"}, [t], t) for r, p, t in (("r1", 0, "good"), ("r2", 1, "good"), ("r2", 1, "bad"), ("r1", 0, "gone"), ("r3", 2, "none"))]
+    frame = spark.createDataFrame(rows, "rule_id string, rule_place int, named map<string,string>, groups array<string>, matching string")
+    got = {(x.rule_id, x.matching): (x.status, x.confidence) for x in validation.validated(frame, found, send, workers=2).collect()}
+    assert got == {("r1", "good"): ("valid", 1.0), ("r2", "good"): ("valid", 1.0), ("r2", "bad"): ("invalid", 1.0), ("r1", "gone"): ("undetermined", 0.0), ("r3", "none"): ("undetermined", 0.0)}
+    with pytest.raises(TypeError):  # an error of the program is not hidden
+        validation.check(found[0], {"token": "s", "id": "1"}, [], lambda: None)
+
+
+def test_a_batch_that_is_stored_again_replaces_itself(spark, tmp_path):
+    store = report.Store(spark, str(tmp_path))
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "blob_id string")
+    store.add("blobs", rows("a", "b", "b"), "1")
+    store.add("blobs", rows("b", "c"), "2")
+    store.add("blobs", rows("b", "c"), "2")
+    assert sorted(x.blob_id for x in store.read("blobs").collect()) == ["a", "b", "c"] and store.read("blobs").columns == ["blob_id"]
+    assert [x.blob_id for x in store.unseen(rows("a", "c", "d"), "2").orderBy("blob_id").collect()] == ["c", "d"]
+    assert [x.blob_id for x in store.unseen(rows("a", "c", "d")).collect()] == ["d"] and store.read("matches") is None
+
+
 def test_streams(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
