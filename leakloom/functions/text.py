@@ -44,6 +44,21 @@ def printable(text: Column) -> Column:
     return F.regexp_replace(F.decode(text.cast("binary"), "ISO-8859-1"), r"[^\n\x20-\x7E]", ".")
 
 
+def truncated(text: Column, most: int) -> Column:
+    """At most so many characters of a text, the last three of them dots if it is cut and there is room."""
+    if most <= 3:
+        return F.substring(text, 1, max(0, most))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 3), F.lit("...")))
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """The lines of a text, longer ones cut into pieces of the width, as an array; without a width the text as it is."""
+    if width <= 0:
+        return F.array(text)
+    pieces = lambda line: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(line) - 1) / width), F.lit(0)).cast("int")), lambda i: F.substring(line, i * width + 1, F.lit(width)))
+    return F.flatten(F.transform(F.split(text, "\n"), pieces))
+
+
 def mask(secret: Column) -> Column:
     """The first and last four characters of a secret of 12 or more; shorter ones stay."""
     return F.when(F.length(secret) >= 12, F.concat(F.substring(secret, 1, 4), F.lit("..."), F.substring(secret, -4, 4))).otherwise(secret)

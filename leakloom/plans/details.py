@@ -249,6 +249,28 @@ def stored_rows(spark, sf_dir):
     return counts[0].unionByName(counts[1])
 
 
+@query(f"WITH {Q._BLOBS_SQL} SELECT blob_id, size, sha256(text) AS sha256 FROM d WHERE blob_id IN (SELECT blob_id FROM b WHERE seq % 2 = 0)")
+def stored_blobs(spark, sf_dir):
+    """Contents of the blobs of even documents, from a store to which all have been added twice."""
+    path = f"{shared_dir(spark).rstrip('/')}/blobs-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    store, blobs = report.BlobStore(spark, path), Q.document_blobs(spark, sf_dir)
+    for _ in range(2):
+        store.put(blobs)
+    return store.get(blobs.filter("seq % 2 = 0")).select("blob_id", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+@query(
+    "WITH p AS (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN regexp_matches(c, '^[ -~\n]$') THEN c ELSE repeat('.', strlen(c)) END), '') AS x FROM documents),"
+    " l AS (SELECT doc_id, x, flatten(list_transform(string_split(x, chr(10)), lambda y: list_transform(range(0, greatest((length(y) - 1) // 40, 0) + 1), lambda i: substr(y, i * 40 + 1, 40)))) AS ls FROM p)"
+    " SELECT doc_id, CASE WHEN length(x) <= 60 THEN x ELSE left(x, 57) || '...' END AS head, len(ls) AS lines, sha256(array_to_string(ls, '|')) AS wrapped_sha256 FROM l"
+)
+def display_texts(spark, sf_dir):
+    """Documents as a terminal shows them: printable, cut and wrapped."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.printable(F.coalesce("text", F.lit(""))).alias("x")).withColumn("ls", T.wrapped(F.col("x"), 40))
+    return rows.select("doc_id", T.truncated(F.col("x"), 60).alias("head"), F.size("ls").cast("long").alias("lines"), F.sha2(F.array_join("ls", "|"), 256).alias("wrapped_sha256"))
+
+
 # --- validation ---
 
 

@@ -127,3 +127,36 @@ class Store:
         """Blobs that no other batch has stored."""
         old = self.read("blobs", f"b-{batch}" if batch else None)
         return blobs if old is None else blobs.join(old.select("blob_id"), "blob_id", "left_anti")
+
+
+class BlobStore:
+    """Contents by their blob id, in folders of the id's first two digits; what is there is not written again."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _read(self) -> DataFrame:
+        from pyspark.errors import AnalysisException
+
+        schema = "blob_id string, content binary, prefix string"
+        try:
+            return self.spark.read.schema(schema).parquet(self.path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def put(self, blobs: DataFrame) -> None:
+        """Store blobs (blob_id, content); equal ones once."""
+        rows = blobs.select("blob_id", F.col("content").cast("binary").alias("content"), F.substring("blob_id", 1, 2).alias("prefix"))
+        new = self.missing(rows).dropDuplicates(["blob_id"])
+        new.write.mode("append").partitionBy("prefix").parquet(self.path)
+
+    def missing(self, blobs: DataFrame) -> DataFrame:
+        """The rows whose blob is not stored; only ids are read."""
+        return blobs.join(self._read().select("blob_id"), "blob_id", "left_anti")
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        """(blob_id, content) of the ids that are stored."""
+        wanted = ids.select("blob_id", F.substring("blob_id", 1, 2).alias("prefix")).distinct()
+        return self._read().join(wanted, ["prefix", "blob_id"], "left_semi").select("blob_id", "content")
