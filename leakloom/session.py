@@ -52,8 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, tasks: int = 0) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, cutting its lineage.
 
-    The table survives the loss of executors and is deleted when the application's JVM ends. tasks,
-    if given, keeps a table that is small for its input from being spread over more files than that.
+    The table survives the loss of executors and is deleted by discard(), or when the application's JVM
+    ends. tasks, if given, keeps a table that is small for its input from being spread over more files
+    than that.
     """
     if tasks:
         df = df.coalesce(tasks)
@@ -61,7 +62,16 @@ def materialize(df: DataFrame, name: str, tasks: int = 0) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() has written and nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            drop_path(t.sparkSession, path)
 
 
 def _hadoop(spark: SparkSession, path: str):
