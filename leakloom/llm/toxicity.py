@@ -38,8 +38,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 _AIMED = re.compile(r"\b(?:you|your|youre|they|he|she)\W+(?:\w+\W+){0,3}?(?:%s)\b" % "|".join(sorted(SEEDS)), re.IGNORECASE)
 _LOUD = re.compile(r"!{2,}|\b[A-Z]{4,}\b(?:\W+\b[A-Z]{4,}\b)+")
 VOTERS = ("seed", "seeds", "words", "begin3", "begin4", "begin5", "begin6", "begin7", "hits2", "hits3", "hits5", "dense", "aimed", "loud", "clean")
+#: How often a gold label is taken to be right, as a vote among others.
+GOLD = 0.999
 #: Pairs of voters whose correlation the label model estimates at most, and how strong it has to be.
-EDGES, CORRELATED = 40, 0.1
+EDGES, CORRELATED = 80, 0.05
 #: Voters that look at words; share of a text's distinct words that have to be in a lexicon for the vote `dense`.
 BY_WORDS, DENSE = 12, 0.02
 
@@ -174,24 +176,32 @@ class LabelModel:
 
     def __post_init__(self) -> None:
         m = len(self.rate)
-        self.states = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float)
-        self.pairs = np.stack([self.states[:, j] * self.states[:, k] for j, k in self.edges], 1) if self.edges else np.zeros((1 << m, 0))
+        self.states = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(np.float32)
+        self.parts = np.concatenate([self.states, *[self.states[:, j : j + 1] * self.states[:, k : k + 1] for j, k in self.edges]], 1)
+
+    def _levels(self) -> np.ndarray:
+        """The exponents without the bias (y x state)."""
+        plain = self.parts @ np.concatenate([self.rate, self.correlation]).astype(np.float32)
+        return np.stack([plain, plain + self.states @ self.accuracy.astype(np.float32)]).astype(float)
+
+    def summed(self) -> tuple[np.ndarray, float]:
+        """p(y, v) of all states (y x state), and the bias, which is such that y has its share."""
+        levels = self._levels()
+        top = levels.max(1, keepdims=True)
+        p = np.exp(levels - top)
+        total = p.sum(1, keepdims=True)
+        log_total = (top + np.log(total))[:, 0]
+        return p / total * np.array([[1 - self.share], [self.share]]), math.log(self.share / (1 - self.share)) + log_total[0] - log_total[1]
 
     def joint(self) -> np.ndarray:
-        """p(y, v) of all states (y x state); the bias is such that y has its share."""
-        plain = self.states @ self.rate + self.pairs @ self.correlation
-        out = np.stack([plain, plain + self.states @ self.accuracy])
-        out = np.exp(out - out.max(1, keepdims=True))
-        return out / out.sum(1, keepdims=True) * np.array([[1 - self.share], [self.share]])
+        return self.summed()[0]
 
     def bias(self) -> float:
-        plain = self.states @ self.rate + self.pairs @ self.correlation
-        total = [x.max() + math.log(np.exp(x - x.max()).sum()) for x in (plain, plain + self.states @ self.accuracy)]
-        return math.log(self.share / (1 - self.share)) + total[0] - total[1]
+        return self.summed()[1]
 
-    def posterior(self, fires: np.ndarray, known: np.ndarray | float = 0.0) -> np.ndarray:
+    def posterior(self, fires: np.ndarray, known: np.ndarray | float = 0.0, bias: float | None = None) -> np.ndarray:
         """p(y = 1) of rows of votes; known are log odds from elsewhere."""
-        return 1 / (1 + np.exp(-np.clip(self.bias() + fires @ self.accuracy + known, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((self.bias() if bias is None else bias) + fires @ self.accuracy + known, -30, 30)))
 
 
 def _independent(fires: np.ndarray, post: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,9 +219,14 @@ def dependencies(fires: np.ndarray, post: np.ndarray, weight: np.ndarray, most:
     return sorted(sorted(pairs, key=lambda e: -corr[e])[:most])
 
 
-def fit_label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float, rounds: int = 250) -> LabelModel:
-    """Maximise the likelihood of the votes, and of the gold labels (1, 0 or -1 for none) as votes right in 98 of 100 cases."""
-    known = np.where(gold == 1, math.log(49), np.where(gold == 0, -math.log(49), 0.0))
+def _known(gold: np.ndarray) -> np.ndarray:
+    """The log odds that gold labels (1, 0 or -1 for none) give."""
+    return np.where(gold < 0, 0.0, np.where(gold == 1, 1.0, -1.0) * math.log(GOLD / (1 - GOLD)))
+
+
+def fit_label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float, rounds: int = 150) -> LabelModel:
+    """Maximise the likelihood of the votes, and of the gold labels (1, 0 or -1 for none) as votes that are right with probability GOLD."""
+    known = _known(gold)
     # Equal rows count once, with their weights.
     kinds, of = np.unique(np.column_stack([fires, known]), axis=0, return_inverse=True)
     weight = np.bincount(of.reshape(-1), weight, len(kinds)) / weight.sum()
@@ -230,12 +245,13 @@ def fit_label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, sha
     theta = [model.rate, model.accuracy, model.correlation]
     first, second = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
     for i in range(1, rounds + 1):
-        post, p = model.posterior(fires, known), model.joint()
+        p, bias = model.summed()
+        post = model.posterior(fires, known, bias)
         # The label's share is held, so what is seen of each label is weighed to it.
         q1, q0 = post * weight, (1 - post) * weight
         q1, q0 = q1 * share / max(q1.sum(), 1e-12), q0 * (1 - share) / max(q0.sum(), 1e-12)
-        both = p.sum(0)
-        slopes = [(q0 + q1) @ fires - both @ model.states, q1 @ fires - p[1] @ model.states, (q0 + q1) @ together - both @ model.pairs]
+        both = p.sum(0).astype(np.float32) @ model.parts
+        slopes = [(q0 + q1) @ fires - both[: len(model.rate)], q1 @ fires - p[1].astype(np.float32) @ model.states, (q0 + q1) @ together - both[len(model.rate) :]]
         for x, g, u, v, penalty in zip(theta, slopes, first, second, (1e-4, 1e-4, 1e-3), strict=True):
             g = g - penalty * x
             u += 0.1 * (g - u)
@@ -246,7 +262,7 @@ def fit_label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, sha
 
 def label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float) -> np.ndarray:
     """The posterior of toxicity of each row from its voters (0/1) and its gold label (1, 0 or -1 for none)."""
-    known = np.where(gold == 1, math.log(49), np.where(gold == 0, -math.log(49), 0.0))
+    known = _known(gold)
     return fit_label_model(fires, gold, weight, share).posterior(fires, known)
 
 
