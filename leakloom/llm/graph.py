@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakloom.session import materialize
+from leakloom.session import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,5 +36,6 @@ def components(edges: DataFrame, tasks: int = 0) -> DataFrame:
     now = edges.filter("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialize(now, "edges", tasks)
     while not _done(now):
-        now = materialize(_star(_star(now, True), False), "edges", tasks)
+        before, now = now, materialize(_star(_star(now, True), False), "edges", tasks)
+        discard(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from leakloom.llm.graph import components
 from leakloom.llm.words import SPACED, Words, grams, mix, slices, whole
-from leakloom.session import materialize, release_shuffles, ship_package
+from leakloom.session import discard, materialize, release_shuffles, ship_package
 
 #: Words of a shingle, and the similarity from which on documents are linked.
 SHINGLE, SIMILARITY = 5, 0.85
@@ -159,10 +159,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _open(members: DataFrame, comps: DataFrame, tasks: int) -> DataFrame:
-    """The members (bucket, node, ...) of buckets whose nodes lie in several components, with their root."""
+    """The members (bucket, node, ...) of buckets whose nodes lie in several components, with their root; written."""
     rooted = members.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    return rooted.join(materialize(still, "still", tasks), "bucket")  # a table, so that Spark can split a large bucket here
+    still = materialize(still, "still", tasks)  # a table, so that Spark can split a large bucket here
+    out = materialize(rooted.join(still, "bucket"), "open", tasks)
+    discard(still)
+    return out
 
 
 def _prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -216,7 +219,8 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     # The hub of a bucket is the node that meets most others in all its buckets: what others were copied from.
     score = members.groupBy("node").agg(F.sum("c").alias("score"))
     hubs = materialize(members.join(score, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("hub")), "hubs")
-    members = materialize(members.select("bucket", "node").join(hubs, "bucket"), "members")
+    first, members = members, materialize(members.select("bucket", "node").join(hubs, "bucket"), "members")
+    discard(first, shared, hubs)
     release_shuffles(spark)
     involved = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "s1", "s2", *_SIGNS)
     found = texts.select("doc_id", "text").join(involved.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_document_batches(k, True), _SETS)
@@ -228,8 +232,10 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
     pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialize(confirm(allowed(pairs, sets, similarity), sets, similarity), "links", tasks)
     comps = components(links, tasks)
-    left = materialize(_open(members.filter("node <> hub").select("bucket", "node"), comps, tasks), "open", tasks)
-    left, turn = materialize(_open(materialize(_prefixes(left, sets, similarity), "prefixes", tasks), comps, tasks), "open", tasks), 0
+    shut = _open(members.filter("node <> hub").select("bucket", "node"), comps, tasks)
+    prefixes = materialize(_prefixes(shut, sets, similarity), "prefixes", tasks)
+    left, turn = _open(prefixes, comps, tasks), 0
+    discard(members, shut, prefixes)
     release_shuffles(spark)
     while not left.isEmpty():
         # Pairs inside the main component of a bucket need no test, so all others are its hubs: at once
@@ -238,7 +244,9 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
         main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("bucket", F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("others"))
         every = F.greatest(F.lit(1), F.expr(f"others div {SMALL << turn}"))
         hub = (F.col("root") != F.col("main")) & ((F.col("others") <= SMALL << turn) | (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0))
-        left = materialize(left.join(materialize(main, "main", tasks), "bucket").withColumn("hub", hub).drop("main", "others"), "open", tasks)
+        before, main = left, materialize(main, "main", tasks)
+        left = materialize(left.join(main, "bucket").withColumn("hub", hub).drop("main", "others"), "open", tasks)
+        discard(before, main)
         x, y = (left.select("bucket", "hub", "root", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "at", "n", *_SIGNS)]).withColumnsRenamed({"hub": f"{side}_hub", "root": f"{side}_root"}) for side in "xy")
         # Of what the shingle's places leave, enough has to be shared.
         ahead = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
@@ -246,10 +254,12 @@ def link(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, id_c
         once = (F.col("x_root") != F.col("y_root")) & (~F.col("x_hub") | (F.col("x_node") > F.col("y_node")))
         met = x.withColumnRenamed("bucket", "of").join(y.filter("y_hub"), (F.col("of") == F.col("bucket")) & once & room)
         pairs = met.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
-        links = materialize(links.unionByName(confirm(pairs, sets, similarity)), "links", tasks)
+        fewer, links = links, materialize(links.unionByName(confirm(pairs, sets, similarity)), "links", tasks)
         comps = components(links, tasks)
-        left = materialize(_open(left.filter("not hub").drop("root", "hub"), comps, tasks), "open", tasks)
+        before, left = left, _open(left.filter("not hub").drop("root", "hub"), comps, tasks)
+        discard(before, fewer)
         turn += 1
+    discard(left, links, sets)
     named = nodes.select("s1", "s2", "node", "doc_id").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("m")).select("root", F.col("m.doc_id").alias("component_id"), F.col("m.node").alias("head"))
     of_set = named.join(least, "root").select("s1", "s2", "component_id", "head")
