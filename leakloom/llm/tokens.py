@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from leakloom.session import ship_package
 
-#: Pre-tokens remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Pre-tokens remembered by a worker, and the longest of them; the memory is emptied when it is full.
+REMEMBERED, LONG = 400_000, 64
 #: In this range letters, digits, lower case and white space are the same for Python and the library.
 PLAIN = re.compile("[^\x00-\x1b\x20-\u024f]")
 _END = "</w>"
@@ -82,7 +82,9 @@ class Counts(dict):
         if len(self) > REMEMBERED + len(self.whole):
             self.clear()
             self.update(dict.fromkeys(self.whole, 1))
-        n = self[pre_token] = len(self.model.tokenize(spelled(pre_token)))
+        n = len(self.model.tokenize(spelled(pre_token)))
+        if len(pre_token) <= LONG:
+            self[pre_token] = n
         return n
 
 
@@ -144,7 +146,9 @@ class Ids(dict):
     def __missing__(self, pre_token: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        ids = self[pre_token] = np.array([x.id for x in self.model.tokenize(spelled(pre_token))], "<u4").tobytes()
+        ids = np.array([x.id for x in self.model.tokenize(spelled(pre_token))], "<u4").tobytes()
+        if len(pre_token) <= LONG:
+            self[pre_token] = ids
         return ids
 
 

@@ -32,6 +32,8 @@ PURITY = 0.8
 SURPRISE = math.log(20 * MAX_FEATURES)
 #: Characters of the word beginnings that are mined.
 PREFIXES = (3, 4, 5, 6, 7)
+#: Words whose features a worker remembers, and the longest of them.
+REMEMBERED, LONG = 200_000, 64
 # Common English insults.
 SEEDS = frozenset("idiot idiots moron morons stupid dumb trash garbage pathetic worthless disgusting clown scum loser losers imbecile fool jerk bastard creep freak ugly filthy vermin dimwit lowlife scumbag".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,9 +74,11 @@ class Model:
         for w in words:
             at = known.get(w)
             if at is None:
-                if len(known) > 500_000:
-                    known.clear()
-                at = known[w] = tuple(self.places[f] for f in features_of(w) if f in self.places)
+                at = tuple(self.places[f] for f in features_of(w) if f in self.places)
+                if len(w) <= LONG:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    known[w] = at
             if at:
                 found.update(at)
                 in_lexicon += any(self.lexicon[i] >= 0 for i in at)
