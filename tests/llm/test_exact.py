@@ -432,6 +432,20 @@ def test_markov_spans_of_short_strings_and_any_alphabet(spark):
     assert got.pop(("ordinary", 0)) <= 0.01 and min(got.values()) >= 0.75 and min(v for (_, n), v in got.items() if n > 8) >= 0.95, got
 
 
+def test_each_pair_of_characters_has_a_place_of_its_own():
+    assert len({secrets._pair_place(bytes([a, b])) for a in range(128) for b in range(128)}) == 128 * 128
+
+
+def test_ratio_against_a_loop(spark):
+    r = random.Random(5)
+    table = [round(r.uniform(-3, 3), 5) for _ in range(len(secrets.ALPHABET) ** 2)]
+    rows = ["".join(r.choices(secrets.ALPHABET, k=n)) for n in (2, 3, 10, 500)]
+    place = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    got = {x.t: x.r for x in spark.createDataFrame([(t,) for t in rows], "t string").select("t", secrets.ratio(F.col("t"), table).alias("r")).collect()}
+    for t in rows:
+        assert got[t] == pytest.approx(sum(table[place[a] * len(place) + place[b]] for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1))
+
+
 def test_long_tokens_and_many_matches_take_linear_time(spark):
     r = random.Random(3)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
