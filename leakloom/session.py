@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -16,8 +17,15 @@ _PACKAGE = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch at most, as kernels hold a few copies of it; a session's smaller bound stays.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+    """Give the executors' Python workers this package, once per application, and keep their batches small."""
+    found = re.fullmatch(r"(\d+)([kmg]?)b?", str(spark.conf.get(BATCH)).lower())
+    if found and int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
