@@ -532,3 +532,21 @@ def test_shards_and_slots(spark, odd, empty):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r["size"] == len((texts[r.doc_id] or "").encode()) + 16 for r in rows)
     assert sharding.shard(empty).count() == 0
+
+
+def test_no_secret_is_found_in_ordinary_words_in_any_case(spark):
+    """Of words that hold no secret none is reported, in capitals or not; planted random strings are."""
+    r = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sample = secrets.samples(docs)
+    table = secrets.train(sample)
+    limit = secrets.limits(sample, table)
+    base = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}|(?-i:AKIA[A-Z0-9]{16,}|[0-9a-f]{24,})"
+    clean = docs.filter(~F.coalesce("text", F.lit("")).rlike(base))
+    for form in (F.col("text"), F.upper("text"), F.initcap("text")):
+        wrong = secrets.with_spans(clean.withColumn("text", form), table, limit=limit).filter(F.size("secret_spans") > 0)
+        assert wrong.count() == 0, wrong.take(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = spark.createDataFrame([("".join(r.choices(letters, k=n)), n) for n in (6, 8, 12, 32) for _ in range(100)], "text string, n int")
+    found = secrets.with_spans(planted, table, limit=limit).groupBy("n").agg(F.avg(F.exists("secret_spans", lambda s: s["kind"] == 3).cast("int")).alias("share")).collect()
+    assert all(x.share >= {6: 0.9, 8: 0.95}.get(x.n, 0.98) for x in found), found
