@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakloom.operators import filters, findings
-from leakloom.operators.match import scan
+from leakloom.operators.match import STATUSES, rule_status, scan
+from leakloom.operators.prefilter import Prefilter
 from leakloom.operators.validation import Validator, check, first_validators
 from leakloom.plans import rules as R
 from leakloom.sources import blobs as B
@@ -56,6 +57,7 @@ def serve(scanner: Scanner, requests: TextIO, validators: Iterable[Validator] =
 
     A line that is no JSON ends the loop with an error, as does the end of the input without one.
     """
+    known = first_validators(list(validators))
     yield json.dumps({"type": "ready", "rules": len(scanner.rules)})
     for line in requests:
         if not line.strip():
@@ -75,13 +77,25 @@ def serve(scanner: Scanner, requests: TextIO, validators: Iterable[Validator] =
             results = scanner.scan_batch([(i.get("source", ""), i.get("content", "")) for i in payload.get("items", [])])
             yield json.dumps({"type": "scan_batch", "results": results, "total": sum(len(r["matches"]) for r in results)}, default=str)
         elif kind == "validate":
-            v = first_validators(list(validators)).get(payload.get("rule_id", "")) if send else None
+            v = known.get(payload.get("rule_id", "")) if send else None
             status, confidence = check(v, payload.get("named") or {}, payload.get("groups") or [], send)
             yield json.dumps({"type": "validate", "status": status, "confidence": confidence})
         else:
             yield json.dumps({"type": "error", "error": f"unknown request type: {kind}"})
 
 
+_made: dict[tuple, tuple] = {}
+
+
+def _ready(rules: list[R.Rule]) -> tuple:
+    """What matches_in() takes after the text; a worker makes it once for the same rules, as each row may have a table function of its own."""
+    key = tuple((r.id, r.keywords, r.pattern) for r in rules)
+    if key not in _made:
+        ready = [(i, k, R.compiled(p)) for i, k, p in key]
+        _made[key] = (ready, 0, "content", Prefilter((k, p) for _, k, p in ready))
+    return _made[key]
+
+
 def register(spark: SparkSession, rules: Iterable[R.Rule] = R.CREDENTIAL_PACK) -> None:
     """Make `git_blob_id(binary)` and the table function `scan_secrets(string)` known to SQL."""
     from pyspark.sql.functions import udtf
@@ -93,19 +107,25 @@ def register(spark: SparkSession, rules: Iterable[R.Rule] = R.CREDENTIAL_PACK) -
     packed = list(rules)
 
     class ScanSecrets:
+        """Rows come one by one, but patterns and prefilter are made once a task."""
+
         def __init__(self):
-            self.ready = [(r.id, r.keywords, R.compiled(r.pattern)) for r in packed]
+            self.ready = _ready(packed)
 
         def eval(self, content: str):
-            for m in matches_in(content or "", self.ready, 0, "content"):
+            for m in matches_in(content or "", *self.ready):
                 yield m[0], m[2], m[3], m[7]
 
-    spark.udtf.register("scan_secrets", udtf(ScanSecrets, returnType="rule_id string, start long, end long, matching string"))
+    spark.udtf.register("scan_secrets", udtf(ScanSecrets, returnType="rule_id string, start long, end long, matching string", useArrow=True))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION git_blob_id(content BINARY) RETURNS STRING RETURN sha1(concat(CAST(concat('blob ', CAST(octet_length(content) AS STRING)) AS BINARY), X'00', content))")
 
 
-def rule_stats(matches: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each rule with its matches, and whether it matched at all."""
+def rule_stats(matches: DataFrame, rules: DataFrame, told: DataFrame | None = None) -> DataFrame:
+    """Each rule with its matches and its status; with what scan_reported() tells, the worst status over all blobs."""
     n = matches.groupBy("rule_id").agg(F.count("*").alias("matches"))
     out = rules.select("rule_id", "rule_name").join(n, "rule_id", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
-    return out.withColumn("status", F.when(F.col("matches") > 0, "matched").otherwise("none"))
+    status = F.when(F.col("matches") > 0, "matched").otherwise("none")
+    if told is None:
+        return out.withColumn("status", status)
+    worst = rule_status(told).select("rule_id", F.col("status").alias("worst"))
+    return out.join(worst, "rule_id", "left").withColumn("status", F.when(F.col("worst").isin(*STATUSES[2:]), F.col("worst")).otherwise(status)).drop("worst")

@@ -7,18 +7,18 @@ import re
 import signal
 import sys
 import threading
+import time
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leakloom.operators.prefilter import Prefilter
 from leakloom.plans.rules import Rule, compiled
-from leakloom.session import ship_package
+from leakloom.session import materialize, ship_package
 
-#: Defaults of chunk_bounds(): characters of a chunk, and the lines that chunks share.
-CHUNK_CHARS, SHARED_LINES = 5 << 20, 10
 #: Seconds that one rule may take on one blob.
 TIMEOUT = 5.0
 
@@ -31,32 +31,8 @@ _FIELDS = pa.schema(
     + [(n, pa.string()) for n in ("before", "matching", "after")]
     + [(n, pa.int64()) for n in ("start_line", "start_column", "end_line", "end_column")]
 )
-
-
-def chunk_bounds(text: str, size: int = CHUNK_CHARS, shared: int = SHARED_LINES) -> list[tuple[int, int]]:
-    """Ranges that cover a text; each but the last ends after a newline, and the next starts some lines before.
-
-    Matching does not use them: a match across a cut would be lost, and a cut would count as the text's end.
-    """
-    if len(text) <= size:
-        return [(0, len(text))]
-    out, low = [], 0
-    while True:
-        high = low + size
-        if high >= len(text):
-            out.append((low, len(text)))
-            return out
-        cut = text.rfind("\n", low, high) + 1
-        high = cut if cut > low else high
-        out.append((low, high))
-        back = high
-        for _ in range(shared):
-            found = text.rfind("\n", 0, max(0, back - 1))
-            if found < 0:
-                back = 0
-                break
-            back = found + 1
-        low = back if back > low else high
+_REPORT = pa.schema([*_FIELDS, ("status", pa.string()), ("blobs", pa.int64()), ("millis", pa.float64())])
+_REPORT_DDL = ", status string, blobs long, millis double"
 
 
 def context(text: str, start: int, end: int, lines: int) -> tuple[str | None, str | None]:
@@ -130,48 +106,96 @@ def deadline(seconds: float | None) -> Iterator[None]:
         signal.signal(signal.SIGALRM, before)
 
 
-def found_in(text: str, pattern: re.Pattern, timeout: float | None) -> list[re.Match]:
-    """The matches of a pattern; those beyond the timeout are left out, as the pattern takes too long for this text."""
+#: What may become of a rule on a blob, the worst last.
+STATUSES = ("none", "matched", "timeout", "error")
+
+
+class Tally:
+    """What became of rules on blobs: counts and times by rule and status, and each blob on which a rule was given up."""
+
+    def __init__(self):
+        self.counts: dict[tuple[str, str], list[float]] = {}
+        self.given_up: list[tuple[str, str, str]] = []
+
+    def add(self, blob: str | None, rule_id: str, status: str, began: float) -> None:
+        kept = self.counts.setdefault((rule_id, status), [0, 0.0])
+        kept[0] += 1
+        kept[1] += 1000 * (time.perf_counter() - began)
+        if status in STATUSES[2:]:
+            self.given_up.append((blob, rule_id, status))
+
+
+def found_in(text: str, pattern: re.Pattern, timeout: float | None, start: int = 0, stop: int | None = None) -> tuple[list[re.Match], str]:
+    """The matches of a pattern that begin from start on and before stop, and a status.
+
+    A pattern that takes longer than the timeout is given up: what it found before stays, and its status tells.
+    """
     out: list[re.Match] = []
     try:
         with deadline(timeout):
-            out.extend(pattern.finditer(text))  # what is found so far stays
+            for m in pattern.finditer(text, start):
+                if stop is not None and m.start() >= stop:
+                    break
+                out.append(m)
     except _TooLong:
-        print(f"pattern {pattern.pattern[:60]!r} takes more than {timeout} s on a text of {len(text)} characters; the rest of it is skipped", file=sys.stderr)
-    return out
+        return out, "timeout"
+    except (RecursionError, MemoryError, RuntimeError):
+        return out, "error"
+    return out, "matched" if out else "none"
 
 
-def matches_in(text: str, rules: list[tuple[str, tuple[str, ...], re.Pattern]], lines: int, dedupe: str | None, prefilter: Prefilter | None = None, timeout: float | None = TIMEOUT) -> Iterator[tuple]:
-    """Matches of each rule in turn, in the whole text whatever its size; groups that took no part are left out."""
+def matches_in(
+    text: str, rules: list[tuple[str, tuple[str, ...], re.Pattern]], lines: int, dedupe: str | None, prefilter: Prefilter | None = None, timeout: float | None = TIMEOUT, tally: Tally | None = None, blob: str | None = None
+) -> Iterator[tuple]:
+    """Matches of each rule in turn, in the whole text whatever its size; groups that took no part are left out.
+
+    What became of the rules that were tried goes to the tally. Rules are not timed outside a main thread.
+    """
     of = _Bytes(text)
     for place in (prefilter or Prefilter((k, p) for _, k, p in rules)).candidates(text):
         rule_id, _, pattern = rules[place]
-        seen = set()
-        for m in found_in(text, pattern, timeout):
+        seen, began = set(), time.perf_counter()
+        found, status = found_in(text, pattern, timeout)
+        if tally:
+            tally.add(blob, rule_id, status, began)
+        for m in found:
             groups = [g for g in m.groups() if g is not None]
             key = tuple(groups) if dedupe == "content" else m.span()
             if key in seen:
                 continue
             seen.add(key)
-            start, end = of.offset(m.start()), of.offset(m.end())
-            before, after = context(text, m.start(), m.end(), lines)
-            yield rule_id, place, start, end, groups, [(k, v) for k, v in m.groupdict().items() if v is not None], before, m[0], after, *of.place(m.start()), *of.place(m.end())
+            yield row_of(text, m, of, rule_id, place, lines)
+
 
+def row_of(text: str, m: re.Match, of: _Bytes, rule_id: str, place: int, lines: int) -> tuple:
+    """The columns of MATCHES from the rule on."""
+    start, end = of.offset(m.start()), of.offset(m.end())
+    before, after = context(text, m.start(), m.end(), lines)
+    groups, named = [g for g in m.groups() if g is not None], [(k, v) for k, v in m.groupdict().items() if v is not None]
+    return rule_id, place, start, end, groups, named, before, m[0], after, *of.place(m.start()), *of.place(m.end())
 
-def _scan_batches(rules: list[Rule], lines: int, dedupe: str | None, timeout: float | None) -> Callable:
+
+def decoded(content: bytes | str | None) -> str:
+    return content.decode("utf-8", "surrogateescape") if isinstance(content, bytes) else content or ""
+
+
+def _scan_batches(rules: list[Rule], lines: int, dedupe: str | None, timeout: float | None, report: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = [(r.id, r.keywords, compiled(r.pattern)) for r in rules]
-        prefilter = Prefilter((k, p) for _, k, p in ready)
+        prefilter, tally = Prefilter((k, p) for _, k, p in ready), Tally()
         for batch in batches:
             rows = []
             for blob, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = content.decode("utf-8", "surrogateescape") if isinstance(content, bytes) else content or ""
-                for row in matches_in(text, ready, lines, dedupe, prefilter, timeout):
+                for row in matches_in(decoded(content), ready, lines, dedupe, prefilter, timeout, tally, blob):
                     rows.append((blob, *(_clean(x) for x in row)))
                 if len(rows) > 5000:
-                    yield _rows(rows)
+                    yield _rows(rows, report)
                     rows = []
-            yield _rows(rows)
+            yield _rows(rows, report)
+        if report:
+            yield _told(tally)
+        for blob, rule_id, status in tally.given_up:
+            print(f"rule {rule_id} was given up on blob {blob}: {status}", file=sys.stderr)
 
     return run
 
@@ -185,9 +209,18 @@ def _clean(value):
     return value
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
+def _rows(rows: list[tuple], report: bool = False) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * len(_FIELDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)], schema=_FIELDS)
+    fields = _REPORT if report else _FIELDS
+    columns += [[None] * len(rows)] * (len(fields) - len(_FIELDS))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+
+def _told(tally: Tally) -> pa.RecordBatch:
+    """A tally as rows without matches: one for each rule and status, and one for each blob on which a rule was given up."""
+    rows = [{"rule_id": r, "status": s, "blobs": n, "millis": ms} for (r, s), (n, ms) in tally.counts.items()]
+    rows += [{"blob_id": b, "rule_id": r, "status": s} for b, r, s in tally.given_up]
+    return pa.RecordBatch.from_pylist([{f.name: None for f in _REPORT} | x for x in rows], schema=_REPORT)
 
 
 def scan(blobs: DataFrame, rules: Iterable[Rule], lines: int = 3, dedupe: str | None = "content", timeout: float | None = TIMEOUT) -> DataFrame:
@@ -197,8 +230,33 @@ def scan(blobs: DataFrame, rules: Iterable[Rule], lines: int = 3, dedupe: str |
     of each range; as a blob's matches arise in one place, neither needs a shuffle. Rules are tried only
     on blobs that hold one of their keywords, if they have any, and one of the strings that their
     pattern needs. A rule that takes longer than timeout on a blob is given up there; other rules and
-    what it found before stay. A later rule of the same id replaces an earlier.
+    what it found before stay, and scan_reported() has a row that tells. A later rule of the same id replaces an earlier.
     """
     ship_package(blobs.sparkSession)
     last = list({r.id: r for r in rules}.values())
-    return blobs.select("blob_id", "content").mapInArrow(_scan_batches(last, lines, dedupe, timeout), MATCHES)
+    return blobs.select("blob_id", "content").mapInArrow(_scan_batches(last, lines, dedupe, timeout, False), MATCHES)
+
+
+def scan_reported(blobs: DataFrame, rules: Iterable[Rule], lines: int = 3, dedupe: str | None = "content", timeout: float | None = TIMEOUT) -> tuple[DataFrame, DataFrame]:
+    """The matches of scan(), and of the same pass what became of the rules (see rule_status() and given_up()).
+
+    Both are read from one table, which is written once.
+    """
+    ship_package(blobs.sparkSession)
+    last = list({r.id: r for r in rules}.values())
+    tagged = materialize(blobs.select("blob_id", "content").mapInArrow(_scan_batches(last, lines, dedupe, timeout, True), MATCHES + _REPORT_DDL), "scan")
+    told = ["status", "blobs", "millis"]
+    return tagged.filter("status is null").drop(*told), tagged.filter("status is not null").select("blob_id", "rule_id", *told)
+
+
+def rule_status(told: DataFrame) -> DataFrame:
+    """(rule_id, status, tried, given_up, millis): the worst status of each rule that was tried, over how many blobs, and its time."""
+    rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
+    by = told.filter("blobs is not null").withColumn("rank", rank).groupBy("rule_id")
+    out = by.agg(F.max("rank").alias("rank"), F.sum("blobs").alias("tried"), F.sum(F.when(F.col("rank") > 2, F.col("blobs")).otherwise(0)).alias("given_up"), F.sum("millis").alias("millis"))
+    return out.select("rule_id", F.element_at(F.array(*map(F.lit, STATUSES)), F.col("rank").cast("int")).alias("status"), "tried", "given_up", "millis")
+
+
+def given_up(told: DataFrame) -> DataFrame:
+    """(blob_id, rule_id, status) of each blob on which a rule was given up: what it found there may not be all."""
+    return told.filter("blobs is null").select("blob_id", "rule_id", "status")

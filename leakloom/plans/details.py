@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from leakloom import api
 from leakloom.functions import text as T
 from leakloom.operators import findings, validation
-from leakloom.operators.match import scan
+from leakloom.operators.match import scan, scan_reported
 from leakloom.plans import queries as Q
 from leakloom.plans import report
 from leakloom.plans import rules as R
@@ -83,8 +83,9 @@ def named_captures(spark, sf_dir):
 
 @query(f"WITH {_M}, {_RULES} SELECT r.rule_id, r.rule_name, count(m.rule_id) AS matches, CASE WHEN count(m.rule_id) > 0 THEN 'matched' ELSE 'none' END AS status FROM r LEFT JOIN m USING (rule_id) GROUP BY r.rule_id, r.rule_name")
 def rule_statistics(spark, sf_dir):
-    """Every rule with its matches."""
-    return api.rule_stats(Q.document_matches(spark, sf_dir), R.frame(spark, PACK))
+    """Every rule with its matches and its worst status over all documents, from one pass."""
+    hits, told = scan_reported(Q.document_blobs(spark, sf_dir), PACK)
+    return api.rule_stats(hits.dropDuplicates(["blob_id", "rule_id", "start", "end"]), R.frame(spark, PACK), told)
 
 
 @query(f"WITH {_M} SELECT blob_id, rule_id, s AS start FROM m QUALIFY row_number() OVER (PARTITION BY blob_id ORDER BY place, s, e) <= 2")

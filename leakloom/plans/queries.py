@@ -451,4 +451,4 @@ def request_grid(spark, sf_dir):
     return findings.count_by(findings.grid(rows, with_secrets=True), "event_type")
 
 
-from leakloom.plans import details  # noqa: E402, F401  # further queries, which use what is above
+from leakloom.plans import details, steps  # noqa: E402, F401  # further queries, which use what is above

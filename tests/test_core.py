@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from leakloom.functions import ids, text
 from leakloom.operators import filters, findings, validation
-from leakloom.operators.match import CHUNK_CHARS, chunk_bounds, context, matches_in, scan
+from leakloom.operators.chunks import PIECE, cuts
+from leakloom.operators.match import context, matches_in, scan
 from leakloom.operators.prefilter import Prefilter, literals
 from leakloom.plans import report
 from leakloom.plans import rules as R
@@ -100,23 +101,22 @@ def test_groups_context_and_dedup(spark):
     assert [(r.start, r.end) for r in scan(raw, [rule]).collect()] == [(3, 5)]
 
 
-def test_chunks_cover_and_share_lines():
-    t = "".join(f"line {i}\n" for i in range(500))
-    bounds = chunk_bounds(t, 400, 3)
-    assert bounds[0][0] == 0 and bounds[-1][1] == len(t)
-    for (_, b), (c, _) in zip(bounds, bounds[1:], strict=False):
-        assert c < b and t[b - 1] == "\n" and t[c:b].count("\n") == 3
-    assert chunk_bounds("x" * 1000, 300, 3)[-1][1] == 1000
+def test_cuts_cover_a_text_and_begin_lines():
+    t = "".join(f"line {i}\n" for i in range(500)).encode()
+    places, lined = cuts(t, 400)
+    assert places[0] == 0 and places[-1] == len(t) and lined
+    assert all(400 <= b - a <= 800 and t[a - 1 : a] in (b"", b"\n") for a, b in zip(places, places[1:], strict=False))
+    assert cuts(b"x" * 1000, 300)[1] is False and cuts("\u00e9".encode() * 500, 301)[0][1] % 2 == 0 and cuts(b"", 10) == ([0, 0], True)
 
 
 def test_texts_of_any_size_are_matched_whole():
     rules = [("tok", (), R.compiled(r"\bghp_[a-z]{30}\b")), ("block", (), R.compiled(r"BEGIN\n(?:[a-z]{60}\n){25}END")), ("last", (), R.compiled(r"z+$"))]
-    line = "x " * (CHUNK_CHARS // 2 - 5) + "ghp_" + "a" * 30 + " y" * 5000
-    assert [(r[0], r[2], r[3]) for r in matches_in(line, rules, 0, "location")] == [("tok", CHUNK_CHARS - 10, CHUNK_CHARS + 24)]
+    line = "x " * (PIECE // 2 - 5) + "ghp_" + "a" * 30 + " y" * 5000
+    assert [(r[0], r[2], r[3]) for r in matches_in(line, rules, 0, "location")] == [("tok", PIECE - 10, PIECE + 24)]
     block = "BEGIN\n" + ("k" * 60 + "\n") * 25 + "END"
-    lines = "filler line\n" * ((CHUNK_CHARS - 800) // 12) + block + "\nmore\n" * 50
+    lines = "filler line\n" * ((PIECE - 800) // 12) + block + "\nmore\n" * 50
     assert [(r[0], r[7]) for r in matches_in(lines, rules, 0, "location")] == [("block", block)]
-    run = "x " * (CHUNK_CHARS // 2 - 3) + "z" * 12 + " y"  # a cut inside it would be no end of a line
+    run = "x " * (PIECE // 2 - 3) + "z" * 12 + " y"  # a cut inside it would be no end of a line
     assert list(matches_in(run, rules, 0, "location")) == []
 
 
