@@ -1,15 +1,15 @@
-"""Reports: JSON, SARIF and text, and the store of scans."""
+"""Reports: JSON, SARIF and text."""
 
 from __future__ import annotations
 
 import json
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakloom.functions.ids import base64_of
 from leakloom.functions.text import file_uri
+from leakloom.plans.store import BlobStore, Store  # noqa: F401  # part of what a report module gives
 
 SARIF_SCHEMA, SARIF_VERSION = "https://json.schemastore.org/sarif-2.1.0.json", "2.1.0"
 
@@ -89,74 +89,3 @@ def lines_of(summary: DataFrame) -> list[str]:
     """A summary by rule, as text: as many lines as there are rules."""
     rows = summary.collect()
     return [f"{r['rule_name']} ({r['rule_id']}): {r['findings']} findings, {r['matches']} matches" for r in rows] + [f"total: {sum(r['findings'] for r in rows)} findings, {sum(r['matches'] for r in rows)} matches"]
-
-
-class Store:
-    """A scan store: one Parquet table an entity; what has a stored key is not written again."""
-
-    KEYS = {"blobs": ["blob_id"], "rules": ["rule_id"], "matches": ["match_id"], "findings": ["finding_id"], "provenance": ["blob_id", "path"], "annotations": ["target_type", "target_id"]}
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def read(self, entity: str, but: str | None = None) -> DataFrame | None:
-        """The rows of an entity, without those of one batch if it is given."""
-        from pyspark.errors import AnalysisException
-
-        try:
-            rows = self.spark.read.parquet(f"{self.path}/{entity}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
-        return (rows.filter(F.col("batch") != but) if but else rows).drop("batch")
-
-    def add(self, entity: str, rows: DataFrame, batch: str | None = None) -> None:
-        """Append the rows whose key is new; of rows with one key in a batch one is kept.
-
-        A batch that is added again under its name replaces what it wrote before.
-        """
-        batch = f"b-{batch or uuid.uuid4().hex}"
-        keys, old = self.KEYS[entity], self.read(entity, batch)
-        new = rows.dropDuplicates(keys)
-        if old is not None:
-            new = new.join(old.select(*keys), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{self.path}/{entity}/batch={batch}")
-
-    def unseen(self, blobs: DataFrame, batch: str | None = None) -> DataFrame:
-        """Blobs that no other batch has stored."""
-        old = self.read("blobs", f"b-{batch}" if batch else None)
-        return blobs if old is None else blobs.join(old.select("blob_id"), "blob_id", "left_anti")
-
-
-class BlobStore:
-    """Contents by their blob id, in folders of the id's first two digits; what is there is not written again."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _read(self) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        schema = "blob_id string, content binary, prefix string"
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def put(self, blobs: DataFrame) -> None:
-        """Store blobs (blob_id, content); equal ones once."""
-        rows = blobs.select("blob_id", F.col("content").cast("binary").alias("content"), F.substring("blob_id", 1, 2).alias("prefix"))
-        new = self.missing(rows).dropDuplicates(["blob_id"])
-        new.write.mode("append").partitionBy("prefix").parquet(self.path)
-
-    def missing(self, blobs: DataFrame) -> DataFrame:
-        """The rows whose blob is not stored; only ids are read."""
-        return blobs.join(self._read().select("blob_id"), "blob_id", "left_anti")
-
-    def get(self, ids: DataFrame) -> DataFrame:
-        """(blob_id, content) of the ids that are stored."""
-        wanted = ids.select("blob_id", F.substring("blob_id", 1, 2).alias("prefix")).distinct()
-        return self._read().join(wanted, ["prefix", "blob_id"], "left_semi").select("blob_id", "content")
