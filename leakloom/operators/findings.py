@@ -162,12 +162,17 @@ def toggled(annotations: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select(*keys, status.alias("status"), F.col("old_comment").alias("comment"), F.coalesce("new_at", "old_at").alias("updated_at"))
 
 
-def facets(rows: DataFrame, scalar: list[str], listed: list[str]) -> DataFrame:
-    """Counts (facet, value, n) of each value of scalar and of listed columns, in one pass over the rows."""
+def facet_values(scalar: list[str], listed: list[str]) -> Column:
+    """All (facet, value) of a row: of scalar columns one value each, of listed ones each of their values."""
     pair = lambda c, v: F.struct(F.lit(c).alias("facet"), v.alias("value"))
     each = lambda c: F.transform(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), lambda v: pair(c, v))
     one = F.array(*[pair(c, F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in scalar]) if scalar else F.expr("cast(array() as array<struct<facet:string,value:string>>)")
-    return rows.select(F.explode(F.concat(one, *map(each, listed))).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+    return F.concat(one, *map(each, listed))
+
+
+def facets(rows: DataFrame, scalar: list[str], listed: list[str]) -> DataFrame:
+    """Counts (facet, value, n) of each value of scalar and of listed columns, in one pass over the rows."""
+    return rows.select(F.explode(facet_values(scalar, listed)).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
 def facet_filter(rows: DataFrame, chosen: dict[str, list[str]], listed: tuple[str, ...] = ()) -> DataFrame:
