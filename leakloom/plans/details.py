@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from leakloom import api
 from leakloom.functions import text as T
-from leakloom.operators import findings, validation
+from leakloom.operators import findings, validation, validation_cache
 from leakloom.operators.match import scan, scan_reported
 from leakloom.plans import queries as Q
 from leakloom.plans import report
 from leakloom.plans import rules as R
-from leakloom.plans.queries import PACK, query, table
+from leakloom.plans.queries import PACK, SQL, query, table
 from leakloom.session import drop_at_exit, shared_dir, ship_package
 from leakloom.sources import blobs as B
 from leakloom.sources.extract import members
@@ -311,6 +311,23 @@ def validated_matches(spark, sf_dir):
     return validation.validated(Q.document_matches(spark, sf_dir), _CHECKS, _answer).select("blob_id", "rule_id", "start", "status", "confidence")
 
 
+@query(
+    f"WITH x AS ({SQL['validated_matches']}) SELECT run, status, count(*) AS matches, CAST(sum(CASE WHEN confidence = 0.5 OR confidence = 1 AND run = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fresh"
+    " FROM x, (VALUES (1), (2)) r(run) GROUP BY run, status"
+)
+def cached_validations(spark, sf_dir):
+    """Matches by status and by whether their secret was answered in this run, in a first run and a second one: the second asks again only what was not conclusive."""
+    path = f"{shared_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    table, hits = validation_cache.ResultTable(spark, path), Q.document_matches(spark, sf_dir)
+    out = None
+    for run in (1, 2):
+        told = validation_cache.validated(hits, _CHECKS, _answer, table, now=1e9 + run, tries=1)
+        n = told.groupBy("status").agg(F.count("*").alias("matches"), F.sum((F.col("fresh") & (F.col("confidence") > 0)).cast("long")).alias("fresh")).withColumn("run", F.lit(run))
+        out = n if out is None else out.unionByName(n)
+    return out.select("run", "status", "matches", "fresh")
+
+
 _EVENTS = f"e AS (SELECT *, {Q._CODE} AS code FROM events)"
 
 
