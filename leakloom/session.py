@@ -57,18 +57,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, name: str, tasks: int = 0) -> DataFrame:
+def materialize(df: DataFrame, name: str, tasks: int = 0, compression: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, cutting its lineage.
 
     The table survives the loss of executors and is deleted by discard(), or when the application's JVM
     ends. tasks, if given, keeps a table that is small for its input from being spread over more files
-    than that.
+    than that; compression, if given, is Parquet's codec in place of the session's.
     """
     if tasks:
         df = df.coalesce(tasks)
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     drop_at_exit(spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
