@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakloom.session import ship_package
+from leakloom.session import materialize, ship_package
 
 #: Samples of a frame, frames of a seek lane, and frames handled at once.
 BLOCK, SEEK_FRAMES, CHUNK = 192, 8, 12_288
@@ -605,6 +605,14 @@ def media_features(media: DataFrame, size: int = PCM_BLOCK) -> DataFrame:
     return pcm_blocks(media, size).mapInArrow(_feature_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def store(media: DataFrame) -> DataFrame:
+    """Write streams (doc_id, n_bytes, media) into the shared folder and read them back from there.
+
+    The files are Parquet with its general codec, as Rice codes of texts leave some redundancy.
+    """
+    return materialize(media, "media", compression="zstd")
+
+
 def op4_flac_media(spark, sf_dir: str) -> DataFrame:
-    """Every document stored as FLAC, read back in blocks of PCM and described."""
-    return media_features(encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Every document stored as FLAC, the stored streams read back in blocks of PCM and described."""
+    return media_features(store(encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
