@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 #: Keys of the Feistel rounds; other keys give another shuffle.
 KEYS = (101, 202, 303, 404)
-#: Rows of a numbering bucket, about, and the most buckets; a bucket is what one task sorts.
-BUCKET_ROWS, BUCKETS = 20_000, 65_536
+#: Rows of a numbering bucket, about; a bucket is what one task sorts.
+BUCKET_ROWS = 20_000
+#: Copies of a row that one task numbers at a time.
+COPIES = 10_000
 
 
 def _word(text: Column) -> Column:
@@ -63,19 +65,23 @@ def permute(df: DataFrame, number: str, n: int, out: str, keys=KEYS) -> DataFram
 
 
 def number_rows(df: DataFrame, order: list[str], out: str, n: int) -> DataFrame:
-    """Add column out: each row's number, 0 to n - 1, fixed by the values in the columns of order.
+    """The columns of order with column out: each row's number, 0 to n - 1, fixed by the values in these columns.
 
-    Rows are dealt over hash buckets and numbered within them; only one count a bucket is gathered.
-    Rows that agree in all these columns get consecutive numbers.
+    Equal rows are counted first and numbered by their count, so a row with many copies is one row
+    until these are dealt again. Distinct rows are dealt over hash buckets and numbered within them;
+    only one count a bucket is gathered.
     """
-    buckets = min(BUCKETS, max(1, -(-n // BUCKET_ROWS)))
+    buckets = max(1, -(-n // BUCKET_ROWS))
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order])
-    df = df.withColumn("_bucket", (_word(key) % F.lit(buckets)).cast("int"))
-    counts = df.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    once = df.select(*order).groupBy(*order).agg(F.count("*").alias("_copies")).withColumn("_bucket", (_word(key) % F.lit(buckets)).cast("int"))
+    counts = once.groupBy("_bucket").agg(F.sum("_copies").alias("_rows"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    return df.withColumn("_at", F.row_number().over(within)).join(starts, "_bucket").withColumn(out, F.col("_start") + F.col("_at") - 1).drop("_bucket", "_at", "_start")
+    within = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    first = once.withColumn("_at", F.coalesce(F.sum("_copies").over(within), F.lit(0))).join(starts, "_bucket").withColumn("_first", F.col("_start") + F.col("_at"))
+    each = first.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES).cast("long")))).repartition(*order, "_from")
+    copies = F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col("_copies")) - 1)
+    return each.withColumn("_copy", F.explode(copies)).select(*order, (F.col("_first") + F.col("_copy")).alias(out))
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", keys=KEYS) -> DataFrame:
@@ -120,7 +126,7 @@ def _network_sql(x: str) -> str:
 
 OP10_SQL = f"""
 WITH RECURSIVE size AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents),
-dom AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b, least({BUCKETS}, greatest(1, CAST(ceil(n / {BUCKET_ROWS}) AS BIGINT))) AS buckets FROM size),
+dom AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b, greatest(1, CAST(ceil(n / {BUCKET_ROWS}) AS BIGINT)) AS buckets FROM size),
 t AS (SELECT {_crc_entries()} AS steps),
 bytes AS (SELECT doc_id, coalesce(text, '') AS x, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS UBIGINT)) AS bs FROM documents),
 d AS (SELECT doc_id, CAST(strlen(x) + 16 AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, bs), lambda c, y: xor(c >> 8, steps[CAST(xor(c, y) & 255 AS INT) + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM bytes, t),
