@@ -5,7 +5,8 @@ runs inside it (winnowing), so that equal windows have equal fingerprints while
 share theirs. Documents are dealt by a hash into slices of bounded size, and a slice sends its distinct
 fingerprints, sorted, to buckets. A bucket merge-joins a batch with the sorted, immutable runs of
 earlier batches, tells all holders of a fingerprint that another slice has too, and writes what is new
-as a run; once there are a few runs, the same pass writes them as one. Candidates are then verified on
+as a run; once a tier has a few runs, the same pass writes them as one of the next tier, so that an
+entry is written again as often as there are tiers. Candidates are then verified on
 whole windows: slices send the 96-bit digests of windows with a shared fingerprint, and buckets say
 which of them start earlier elsewhere. Slices remove the covered words with these answers and with the
 repeats inside the slice.
@@ -30,7 +31,7 @@ from leakloom.session import drop_at_exit, drop_path, materialize, shared_dir, s
 WINDOW, ANCHOR = 20, 7
 #: Bytes of text of a slice, and of all text for each bucket, about.
 SLICE_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
-#: Batches in which a whole table passes the index, and runs that are compacted.
+#: Batches in which a whole table passes the index, and runs of one tier that become one of the next.
 BATCHES, FANOUT = 2, 2
 #: Bytes of text and number of fingerprints that a task gathers before it sends them.
 HELD_BYTES, HELD = 16 << 20, 2_000_000
@@ -145,12 +146,12 @@ _MERGED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("fps", pa.binar
 _MERGED_DDL = "kind int, key long, fps binary, owners binary"
 
 
-def _merge(whole: bool, every: bool) -> Callable:
+def _merge(every: bool) -> Callable:
     """Merge-join what slices sent to a bucket with its runs.
 
     Gives answers (kind 0, key: a slice) with the fingerprints that another slice has too, and the new
-    run (kind 1, key: the bucket): its fingerprints with the slice that has them (and one added). whole
-    writes what the runs held as well. Of a fingerprint of several slices, which have then been told,
+    run (kind 1, key: the bucket): its fingerprints with the slice that has them (and one added), with
+    what those runs held that it replaces. Of a fingerprint of several slices, which have then been told,
     every keeps all of them for later calls; else one entry stays, with 0.
     """
 
@@ -163,10 +164,11 @@ def _merge(whole: bool, every: bool) -> Callable:
             return _table([], _MERGED)
         owners += [np.full(len(p), o + 1) for p, o in zip(pieces[len(owners) :], sent.column("slice").to_pylist(), strict=True)]
         fps, owner = np.concatenate(pieces), np.concatenate(owners)
-        new = np.arange(len(fps)) >= old
-        by = np.lexsort((new, owner, fps))
+        new, moved = np.arange(len(fps)) >= old, np.zeros(len(fps), bool)
+        moved[:old] = np.repeat(runs.column("moved").to_numpy(), [len(p) for p in pieces[: runs.num_rows]])
+        by = np.lexsort((moved, new, owner, fps))
         by = by[_runs_of(fps[by], owner[by])[:-1]]  # a slice may have sent it in several parts
-        fps, owner, new = fps[by], owner[by], new[by]
+        fps, owner, new, moved = fps[by], owner[by], new[by], moved[by]
         cut = _runs_of(fps)
         first, size = cut[:-1], np.diff(cut)
         least, most = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
@@ -180,11 +182,11 @@ def _merge(whole: bool, every: bool) -> Callable:
             for a, b in itertools.pairwise(_runs_of(to).tolist()):
                 rows.append((0, int(to[a]), packed(said[a:b]), b""))
         if every:
-            kept = new | whole
+            kept = new | moved
             if kept.any():
                 rows.append((1, key[0].as_py(), packed(fps[kept]), narrow(owner[kept].astype(_U))))
             return _table(rows, _MERGED)
-        kept = np.ones(len(first), bool) if whole else fresh & ~told
+        kept = np.maximum.reduceat(moved, first) | fresh & ~told
         if kept.any():
             rows.append((1, key[0].as_py(), packed(fps[first][kept]), narrow(np.where(met, 0, least)[kept].astype(_U))))
         return _table(rows, _MERGED)
@@ -195,32 +197,36 @@ def _merge(whole: bool, every: bool) -> Callable:
 class FingerprintIndex:
     """Runs of sorted fingerprints with their slices, as files that are added and never changed.
 
-    Without a number of buckets, the first call's size gives it. With texts kept, later calls verify their windows against those of former ones. Once there are
-    fanout runs, the pass that merges a batch writes all of them as one run and drops the others.
+    Without a number of buckets, the first call's size gives it. With texts kept, later calls verify their windows against those of former ones. Runs
+    have tiers: where a batch would be the fanout-th run of a tier, the pass that merges it writes that
+    tier's runs with it, as a run of the next tier, and drops them; and so on upward.
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT, texts: bool = True):
         self.spark, self.buckets, self.fanout, self.texts = spark, buckets, fanout, texts
         self.path = f"{shared_dir(spark).rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        self.runs: list[tuple[str, int]] = []
         self.kept: list[str] = []
         self.calls = 0
         drop_at_exit(spark, self.path)
 
     def add(self, sent: DataFrame) -> DataFrame:
         """Merge a batch into the index; returns its answers: (slice, fps), fingerprints that several slices have."""
-        path, whole = f"{self.path}/run-{uuid.uuid4().hex}", len(self.runs) + 1 >= self.fanout
-        runs = self.spark.createDataFrame([], _MERGED_DDL)
+        path, tier, moved = f"{self.path}/run-{uuid.uuid4().hex}", 0, []
+        while len(same := [r for r in self.runs if r[1] == tier]) + 1 >= self.fanout:
+            moved += same
+            tier += 1
+            if not same:
+                break
+        runs = self.spark.createDataFrame([], f"{_MERGED_DDL}, moved boolean")
         for old in self.runs:
-            runs = runs.unionByName(self.spark.read.schema(_MERGED_DDL).parquet(old).filter("kind = 1"))
-        runs = runs.select(F.col("key").alias("bucket"), "fps", "owners")
-        runs.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_merge(whole, self.texts), _MERGED_DDL).write.partitionBy("kind").parquet(path)
+            runs = runs.unionByName(self.spark.read.schema(_MERGED_DDL).parquet(old[0]).filter("kind = 1").withColumn("moved", F.lit(old in moved)))
+        runs = runs.select(F.col("key").alias("bucket"), "fps", "owners", "moved")
+        runs.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_merge(self.texts), _MERGED_DDL).write.partitionBy("kind").parquet(path)
         merged = self.spark.read.schema(_MERGED_DDL).parquet(path)
-        if whole:
-            for old in self.runs:
-                drop_path(self.spark, f"{old}/kind=1")  # its answers stay
-            self.runs = []
-        self.runs.append(path)
+        for old in moved:
+            drop_path(self.spark, f"{old[0]}/kind=1")  # its answers stay
+        self.runs = [r for r in self.runs if r not in moved] + [(path, tier)]
         return merged.filter("kind = 0").select(F.col("key").alias("slice"), "fps")
 
     def keep(self, dealt: DataFrame) -> None:

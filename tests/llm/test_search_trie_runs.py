@@ -178,3 +178,38 @@ def test_runs_of_odd_texts(spark, odd, empty):
     long = next(r for r in periods.periodic_runs(odd).collect() if r.doc_id == 5)
     assert [tuple(x) for x in long.runs] == [(0, 48_000, 6)] and long.collapsed == "word another token of the text"
     assert periods.periodic_runs(empty).collect() == []
+
+
+def test_an_index_of_twenty_batches_writes_each_entry_a_few_times(spark, tmp_path):
+    """Runs have tiers: what is written over all batches grows with the logarithm of their number."""
+    from leakloom.llm import substrings
+
+    r = random.Random(6)
+    shared = [" ".join(f"s{r.randint(0, 9)}{i}" for _ in range(25)) for i in range(3)]
+    index, written, rows = substrings.FingerprintIndex(spark, 4), 0, []
+    for b in range(20):
+        batch = [(100 * b + i, " ".join([*(f"w{r.randint(0, 99999)}" for _ in range(60)), shared[(b + i) % 3] if i < 2 else ""])) for i in range(4)]
+        rows += batch
+        docs = spark.createDataFrame(batch, "doc_id long, text string")
+        sent = docs.select((docs.doc_id + 1).alias("slice"), "text").mapInArrow(substrings._anchor_batches(20, 4), substrings._SENT_DDL)
+        index.add(sent).collect()
+        entries = spark.read.schema(substrings._MERGED_DDL).parquet(index.runs[-1][0]).filter("kind = 1").collect()
+        written += sum(len(substrings.unpacked(x.fps)) for x in entries)
+    held = sum(len(substrings.unpacked(x.fps)) for path, _ in index.runs for x in spark.read.schema(substrings._MERGED_DDL).parquet(path).filter("kind = 1").collect())
+    assert [t for _, t in index.runs] == [4, 2]  # as the digits of 20
+    assert held < written <= held * 5.5
+    index.drop()
+
+
+def test_numbers_of_rows_with_many_copies(spark, monkeypatch):
+    from leakloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    rows = [(1, "same")] * 300 + [(i, f"t{i}") for i in range(200)] + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard(docs, 7).collect()
+    assert sorted(x.row_number for x in out) == list(range(503)) == sorted(x.position for x in out)
+    assert sum(x.doc_id == 1 for x in out) == 301 and sum(x.doc_id is None for x in out) == 3
+    sizes = [sum(x.shard == s for x in out) for s in range(7)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(x.slot for x in out if x.shard == s) == list(range(sizes[s])) for s in range(7))
