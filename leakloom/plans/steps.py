@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from leakloom.operators.chunks import scan_pieces
 from leakloom.operators.facet_index import FacetIndex
 from leakloom.plans import queries as Q
-from leakloom.plans.queries import PACK, query
+from leakloom.plans.queries import PACK, query, table
+from leakloom.sources.walk import ignored, ignored_with_parents
 
 
 @query(Q.SQL["matches_by_content"])
@@ -39,3 +40,19 @@ def indexed_recounts(spark, sf_dir):
     index = FacetIndex(Q._facet_rows(spark, sf_dir), ["rule_name", "source"], ["categories"])
     counts = [index.counts(chosen).select(F.lit(i).alias("choice"), "facet", "value", "n") for i, (chosen, _) in enumerate(_CHOICES)]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+#: Ignore rules in order: a source, all but some of its documents' files again, a kind of file, and one of these again.
+_RULES = ("src1/", "!src1/*7.txt", "*.log", "!/src2/**/keep*.log", "src3/en", "!src3/en/*.txt")
+_PATH = "source || '/' || coalesce(lang, 'none') || '/' || CASE WHEN doc_id % 3 = 0 THEN 'keep' ELSE 'd' END || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.log' ELSE '.txt' END"
+
+
+@query(
+    f"WITH p AS (SELECT doc_id, {_PATH} AS path FROM documents),"
+    " m AS (SELECT *, regexp_matches(path, '(^|/)src1/') AS a, regexp_matches(path, '^src1/[^/]*7.txt(/|$)') AS b, regexp_matches(path, '(^|/)[^/]*.log(/|$)') AS c, regexp_matches(path, '^src2/(.*/)?keep[^/]*.log(/|$)') AS d, regexp_matches(path, '^src3/en(/|$)') AS e, regexp_matches(path, '^src3/en/[^/]*.txt(/|$)') AS f FROM p)"
+    " SELECT doc_id, path, CASE WHEN f THEN false WHEN e THEN true WHEN d THEN false WHEN c THEN true WHEN b THEN false ELSE a END AS ignored, a OR e OR CASE WHEN d THEN false ELSE c END AS ignored_with_parents FROM m"
+)
+def ordered_ignores(spark, sf_dir):
+    """Which paths rules in order leave out, with and without what is below ignored folders."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PATH} AS path")
+    return rows.select("doc_id", "path", ignored(F.col("path"), _RULES).alias("ignored"), ignored_with_parents(F.col("path"), _RULES).alias("ignored_with_parents"))
