@@ -8,6 +8,7 @@ from leakloom.operators.chunks import scan_pieces
 from leakloom.operators.facet_index import FacetIndex
 from leakloom.plans import queries as Q
 from leakloom.plans.queries import PACK, query, table
+from leakloom.sources.commits import first_commits
 from leakloom.sources.walk import ignored, ignored_with_parents
 
 
@@ -56,3 +57,17 @@ def ordered_ignores(spark, sf_dir):
     """Which paths rules in order leave out, with and without what is below ignored folders."""
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_PATH} AS path")
     return rows.select("doc_id", "path", ignored(F.col("path"), _RULES).alias("ignored"), ignored_with_parents(F.col("path"), _RULES).alias("ignored_with_parents"))
+
+
+@query(
+    "WITH RECURSIVE c AS (SELECT DISTINCT doc_id AS c FROM documents WHERE doc_id IS NOT NULL), e AS (SELECT c, c - 1 AS p FROM c WHERE c % 8 <> 0 UNION SELECT c, c // 2 FROM c WHERE c % 8 = 0 AND c > 0 UNION SELECT c, c // 3 FROM c WHERE c % 8 = 0 AND c > 0),"
+    " k AS (SELECT e.c, e.p FROM e JOIN c ON e.p = c.c), w AS (SELECT c, c AS a, 0 AS n FROM c UNION SELECT w.c, k.p, w.n + 1 FROM w JOIN k ON w.a = k.c), g AS (SELECT c, max(n) + 1 AS generation FROM w GROUP BY c),"
+    " f AS (SELECT doc_id AS c, md5(coalesce(text, '')) AS blob_id, coalesce(source, '') || '/' || doc_id AS path, coalesce(n_chars, 0) AS made FROM documents)"
+    " SELECT blob_id, CAST(c AS VARCHAR) AS commit_id, CAST(generation AS BIGINT) AS generation, path FROM f JOIN g USING (c) QUALIFY row_number() OVER (PARTITION BY blob_id ORDER BY generation, made, CAST(c AS VARCHAR), path) = 1"
+)
+def first_commits_of_blobs(spark, sf_dir):
+    """Documents as files of commits that form chains and merges by their ids: the first commit of each content."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    commits = docs.selectExpr("cast(doc_id as string) AS commit_id", "coalesce(n_chars, 0) AS committed_at", "transform(CASE WHEN doc_id % 8 <> 0 THEN array(doc_id - 1) WHEN doc_id > 0 THEN array(doc_id div 2, doc_id div 3) ELSE array() END, x -> cast(x as string)) AS parents")
+    files = docs.selectExpr("cast(doc_id as string) AS commit_id", "md5(cast(coalesce(text, '') as binary)) AS blob_id", "concat(coalesce(source, ''), '/', doc_id) AS path")
+    return first_commits(files, commits).select("blob_id", "commit_id", "generation", "path")
