@@ -40,10 +40,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 _AIMED = re.compile(r"\b(?:you|your|youre|they|he|she)\W+(?:\w+\W+){0,3}?(?:%s)\b" % "|".join(sorted(SEEDS)), re.IGNORECASE)
 _LOUD = re.compile(r"!{2,}|\b[A-Z]{4,}\b(?:\W+\b[A-Z]{4,}\b)+")
 VOTERS = ("seed", "seeds", "words", "begin3", "begin4", "begin5", "begin6", "begin7", "hits2", "hits3", "hits5", "dense", "aimed", "loud", "clean")
-#: How often a gold label is taken to be right, as a vote among others.
-GOLD = 0.999
-#: Pairs of voters whose correlation the label model estimates at most, and how strong it has to be.
-EDGES, CORRELATED = 80, 0.05
+#: How often a gold label is taken to be right, as a vote among others, and pairs of voters whose correlation the label
+#: model estimates at most: defaults, and what train() chooses among by rows whose gold label the fit does not see.
+GOLD, EDGES = 0.999, 80
+CHOICES = ((0.9, 80), (0.98, 80), (0.999, 80), (0.999, 40))
+#: How strong a correlation has to be, and parts of the rows that take turns at a choice.
+CORRELATED, FOLDS = 0.05, 2
 #: Voters that look at words; share of a text's distinct words that have to be in a lexicon for the vote `dense`.
 BY_WORDS, DENSE = 12, 0.02
 
@@ -105,7 +107,10 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable) -> tuple[DataFrame, int, int]:
-    """doc_id, text and toxic of at most MAX_TRAIN usable labelled rows, written, and how many of each label there are."""
+    """doc_id, text and toxic of at most MAX_TRAIN usable labelled rows, written, and how many of each label there are.
+
+    An id with both labels is toxic: what someone has marked is not learned as clean.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(usable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -223,14 +228,14 @@ def dependencies(fires: np.ndarray, post: np.ndarray, weight: np.ndarray, most:
     return sorted(sorted(pairs, key=lambda e: -corr[e])[:most])
 
 
-def _known(gold: np.ndarray) -> np.ndarray:
+def _known(gold: np.ndarray, right: float = GOLD) -> np.ndarray:
     """The log odds that gold labels (1, 0 or -1 for none) give."""
-    return np.where(gold < 0, 0.0, np.where(gold == 1, 1.0, -1.0) * math.log(GOLD / (1 - GOLD)))
+    return np.where(gold < 0, 0.0, np.where(gold == 1, 1.0, -1.0) * math.log(right / (1 - right)))
 
 
-def fit_label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float, rounds: int = 150) -> LabelModel:
-    """Maximise the likelihood of the votes, and of the gold labels (1, 0 or -1 for none) as votes that are right with probability GOLD."""
-    known = _known(gold)
+def fit_label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float, rounds: int = 150, right: float = GOLD, most: int = EDGES) -> LabelModel:
+    """Maximise the likelihood of the votes, and of the gold labels (1, 0 or -1 for none) as votes that are right with probability right."""
+    known = _known(gold, right)
     # Equal rows count once, with their weights.
     kinds, of = np.unique(np.column_stack([fires, known]), axis=0, return_inverse=True)
     weight = np.bincount(of.reshape(-1), weight, len(kinds)) / weight.sum()
@@ -242,7 +247,7 @@ def fit_label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, sha
         r0, r1 = _independent(fires, post, weight * 1e4)
         odds = math.log(share / (1 - share)) + fires @ np.log(r1 / r0) + (1 - fires) @ np.log((1 - r1) / (1 - r0))
         post = 1 / (1 + np.exp(-np.clip(odds + known, -30, 30)))
-    edges = dependencies(fires, post, weight)
+    edges = dependencies(fires, post, weight, most)
     logit = lambda p: np.log(p / (1 - p))
     model = LabelModel(logit(r0), np.clip(logit(r1) - logit(r0), -6, 6), edges, np.zeros(len(edges)), share)
     together = np.stack([fires[:, j] * fires[:, k] for j, k in edges], 1) if edges else np.zeros((len(fires), 0))
@@ -265,9 +270,22 @@ def fit_label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, sha
 
 
 def label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float) -> np.ndarray:
-    """The posterior of toxicity of each row from its voters (0/1) and its gold label (1, 0 or -1 for none)."""
-    known = _known(gold)
-    return fit_label_model(fires, gold, weight, share).posterior(fires, known)
+    """The posterior of toxicity of each row from its voters (0/1); gold labels (1, 0 or -1 for none) help to fit the model only."""
+    right, most = choice(fires, gold, weight, share) if (gold >= 0).any() else (GOLD, EDGES)
+    return fit_label_model(fires, gold, weight, share, right=right, most=most).posterior(fires)
+
+
+def choice(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float) -> tuple[float, int]:
+    """The trust in gold labels and the number of edges under which votes alone tell best the gold labels of rows that were fitted without these."""
+    of, loss = np.cumsum(gold >= 0) % FOLDS, []
+    for right, most in CHOICES:
+        total = 0.0
+        for fold in range(FOLDS):
+            hidden = (gold >= 0) & (of == fold)
+            post = np.clip(fit_label_model(fires, np.where(hidden, -1, gold), weight, share, right=right, most=most).posterior(fires[hidden]), 1e-3, 1 - 1e-3)
+            total -= float(weight[hidden] @ np.log(np.where(gold[hidden] == 1, post, 1 - post)))
+        loss.append(total)
+    return CHOICES[int(np.argmin(loss))]
 
 
 def _hit_batches(model) -> Callable:
@@ -302,7 +320,11 @@ def fit_linear(found: list[np.ndarray], fires: np.ndarray, post: np.ndarray, wei
 
 
 def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
-    """Train on the labelled rows whose id usable() accepts; without both labels the seed lexicon alone speaks."""
+    """Train on the labelled rows whose id usable() accepts; without both labels the seed lexicon alone speaks.
+
+    Labels of one half of these rows make the lexicons, those of the other half fit the label model;
+    the classifier learns what the voters' posterior says, on all of them.
+    """
     spark = docs.sparkSession
     rows, n_pos, n_neg = training_rows(docs, labels, usable)
     if not n_pos or not n_neg:
@@ -311,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
     sample = rows.mapInArrow(_hit_batches(spark.sparkContext.broadcast(model)), "doc_id long, toxic int, found array<int>, fires array<tinyint>").toPandas().sort_values("doc_id", kind="stable")
     fires = np.array(sample["fires"].tolist(), float).reshape(len(sample), len(VOTERS))
     toxic = sample["toxic"].to_numpy()
-    # Labels of the mining half made the lexicons; voters are judged on the other half's.
+    # Labels of the mining half made the lexicons; voters are judged on the other half's, which the posterior does not see.
     judged = np.array([_half(int(i)) for i in sample["doc_id"]]) == 1
     share = n_pos / (n_pos + n_neg)
     weight = np.where(toxic == 1, share / max(1, (toxic == 1).sum()), (1 - share) / max(1, (toxic == 0).sum())) * len(sample)
