@@ -216,6 +216,16 @@ def json_findings(spark, sf_dir):
     return report.finding_json(Q.passed(spark, sf_dir))
 
 
+@query(
+    f"WITH {_IDS}, o AS (SELECT *, CAST((row_number() OVER (PARTITION BY finding_id ORDER BY match_id) - 1) // 3 AS BIGINT) AS part, count(*) OVER (PARTITION BY finding_id) AS n FROM f),"
+    " g AS (SELECT finding_id, rule_id, part, any_value(groups) AS groups, any_value(n) AS n, list({'StructuralID': match_id, 'BlobID': blob_id, 'Start': s, 'End': e} ORDER BY match_id) AS ms FROM o GROUP BY finding_id, rule_id, part)"
+    " SELECT finding_id, part, CAST(to_json({'ID': finding_id, 'RuleID': rule_id, 'Groups': list_transform(groups, lambda x: to_base64(encode(x))), 'MatchCount': n, 'Part': part, 'Matches': ms}) AS VARCHAR) AS json FROM g"
+)
+def json_finding_parts(spark, sf_dir):
+    """Findings as JSON in parts of three matches."""
+    return report.finding_parts(Q.passed(spark, sf_dir), 3)
+
+
 @query(
     f"WITH {_IDS}, t AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY finding_id) AS n FROM f WINDOW w AS (PARTITION BY finding_id ORDER BY blob_id, s, e) QUALIFY row_number() OVER w <= 3),"
     " g AS (SELECT finding_id, any_value(name) AS name, any_value(rule_id) AS rule_id, any_value(groups) AS groups, max(k) AS k, any_value(n) AS n, string_agg('  ' || k || '. blob ' || blob_id || ', bytes ' || s || ' to ' || e, chr(10) ORDER BY k) AS shown FROM t GROUP BY finding_id)"

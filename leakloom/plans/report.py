@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakloom.functions.ids import base64_of
@@ -41,6 +41,20 @@ def finding_json(matches: DataFrame) -> DataFrame:
     return by.select("finding_id", F.to_json(fields).alias("json"))
 
 
+def finding_parts(matches: DataFrame, size: int = 1000) -> DataFrame:
+    """finding_json() in parts: (finding_id, part, json), each with at most so many of a finding's matches, and the number of all.
+
+    Matches are numbered in the order of their ids, so that no row holds all of a finding that has many.
+    """
+    of = Window.partitionBy("finding_id").orderBy("match_id")
+    numbered = matches.withColumn("part", F.floor((F.row_number().over(of) - 1) / size))
+    total = matches.groupBy("finding_id").agg(F.count("*").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("match_id").alias("StructuralID"), F.col("blob_id").alias("BlobID"), F.col("start").alias("Start"), F.col("end").alias("End"))))
+    by = numbered.groupBy("finding_id", "rule_id", "part").agg(F.first("groups").alias("groups"), listed.alias("matches")).join(total, "finding_id")
+    fields = F.struct(F.col("finding_id").alias("ID"), F.col("rule_id").alias("RuleID"), F.transform("groups", base64_of).alias("Groups"), F.col("n").alias("MatchCount"), F.col("part").alias("Part"), F.col("matches").alias("Matches"))
+    return by.select("finding_id", "part", F.to_json(fields).alias("json"))
+
+
 def human(found: DataFrame, top: DataFrame, rules: DataFrame) -> DataFrame:
     """A block of text for each finding: its rule, its groups and its first matches (see findings.top_matches)."""
     line = F.format_string("  %d. blob %s, bytes %d to %d", "number", "blob_id", "start", "end")

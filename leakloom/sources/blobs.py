@@ -100,10 +100,52 @@ def from_items(spark: SparkSession, items: Iterable[tuple[str, str]]) -> DataFra
     return from_texts(spark.createDataFrame([(i, s, c) for i, (s, c) in enumerate(items)], "seq long, source string, content string").withColumnRenamed("content", "text"), "seq", "text", "source")
 
 
+#: Bytes of objects that one call of git gives a task.
+CALLED = 32 << 20
+
+
+def _sizes(call: list[str], names: list[str]) -> list[int]:
+    """The size of each object that is a blob, else -1: others, and objects that are missing, as in a shallow clone."""
+    listed = subprocess.run([*call, "cat-file", "--batch-check"], input="\n".join(names).encode() + b"\n", capture_output=True, check=True).stdout
+    told = [line.split() for line in listed.splitlines()]
+    return [int(t[2]) if len(t) == 3 and t[1] == b"blob" else -1 for t in told]
+
+
+def _some_objects(call: list[str], names: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of names whose objects have CALLED bytes together, or one object of more; sizes are asked for before contents."""
+    low, held = 0, 0
+    for i, size in enumerate(_sizes(call, names)):
+        size = size if 0 <= size <= most else 0
+        if i > low and held + size > CALLED:
+            yield low, i
+            low, held = i, 0
+        held += size
+    if names:
+        yield low, len(names)
+
+
+def _contents(call: list[str], names: list[str], most: int) -> list[bytes | None]:
+    """The contents of text blobs of at most that size, else None."""
+    sizes = _sizes(call, names)
+    wanted = [n for n, size in zip(names, sizes, strict=True) if 0 <= size <= most]
+    raw = subprocess.run([*call, "cat-file", "--batch"], input="\n".join(wanted).encode() + b"\n", capture_output=True, check=True).stdout if wanted else b""
+    at, out = 0, []
+    for size in sizes:
+        if not 0 <= size <= most:
+            out.append(None)
+            continue
+        at = raw.index(b"\n", at) + 1
+        body = raw[at : at + size]
+        out.append(None if b"\x00" in body[:SNIFFED] else body)
+        at += size + 1
+    return out
+
+
 def from_git(spark: SparkSession, repository: str, history: bool = True, most: int = MOST_FILE) -> DataFrame:
     """Text blobs of a git repository that all executors can reach: of all its history, or of HEAD's tree.
 
-    Hashes and first paths are listed once; contents are read by tasks, many objects a call.
+    Hashes and first paths are listed once; contents are read by tasks, of CALLED bytes a call, and of
+    objects of more than most bytes only the size is.
     """
     ship_package(spark)
     call = ["git", "-C", repository]
@@ -117,16 +159,10 @@ def from_git(spark: SparkSession, repository: str, history: bool = True, most: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(1).to_pylist()
-            raw = subprocess.run([*call, "cat-file", "--batch"], input="\n".join(names).encode() + b"\n", capture_output=True, check=True).stdout
-            at, content = 0, []
-            for _ in names:
-                end = raw.index(b"\n", at)
-                _, kind, size = raw[at:end].split()
-                body = raw[end + 1 : end + 1 + int(size)]
-                content.append(body if kind == b"blob" and len(body) <= most and b"\x00" not in body[:SNIFFED] else None)
-                at = end + 2 + int(size)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary())], ["seq", "blob_id", "path", "content"])
+            for low, high in _some_objects(call, batch.column(1).to_pylist(), most):
+                part = batch.slice(low, high - low)
+                content = _contents(call, part.column(1).to_pylist(), most)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(content, pa.binary())], ["seq", "blob_id", "path", "content"])
 
     found = rows.repartition(max(1, len(seen) // 2000 + 1)).mapInArrow(run, "seq long, blob_id string, path string, content binary").filter("content is not null")
     return found.select("blob_id", "content", F.octet_length("content").cast("long").alias("size"), "path", "seq")

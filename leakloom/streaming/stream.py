@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakloom.operators.match import scan
@@ -50,6 +50,12 @@ def new_only(hits: DataFrame, keys: list[str] | None = None, within: str | None
     return hits.dropDuplicates(keys)
 
 
+def _one_each(numbered: DataFrame) -> DataFrame:
+    """One row of each blob id, of rows with _number: ids are compared, and contents move only if there are too many ids to send to all tasks."""
+    again = numbered.select("blob_id", "_number").withColumn("_n", F.row_number().over(Window.partitionBy("blob_id").orderBy("_number"))).filter("_n > 1").select("_number")
+    return numbered.join(again, "_number", "left_anti").drop("_number")
+
+
 def incremental(stream: DataFrame, store, scan_new: Callable[[DataFrame], None], checkpoint: str):
     """Scan what no earlier batch or run has stored: each micro-batch is cut to unseen blobs, scanned, and stored."""
 
@@ -57,11 +63,13 @@ def incremental(stream: DataFrame, store, scan_new: Callable[[DataFrame], None],
 
     def batch(rows: DataFrame, number: int) -> None:
         this = f"{named}-{number}"  # a batch that is tried again sees and replaces its own rows
-        fresh = store.unseen(rows.dropDuplicates(["blob_id"]), this).persist()
+        numbered = rows.withColumn("_number", F.monotonically_increasing_id()).persist()
+        fresh = store.unseen(_one_each(numbered), this).persist()
         try:
             scan_new(fresh)
             store.add("blobs", fresh.select("blob_id", "size"), this)
         finally:
             fresh.unpersist()
+            numbered.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

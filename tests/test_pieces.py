@@ -77,3 +77,23 @@ def test_table_function_makes_its_prefilter_once(spark):
     rows = spark.sql("SELECT s.* FROM contents, LATERAL scan_secrets(content) s").collect()
     assert [(r.rule_id, r.start, r.end) for r in rows] == [("lk.aws.1", 0, 20)]
     assert api._ready(list(R.CREDENTIAL_PACK)) is api._ready(list(R.CREDENTIAL_PACK))
+
+
+def test_git_objects_are_read_in_bounded_calls(spark, tmp_path, monkeypatch):
+    import subprocess
+
+    from leakloom.sources import blobs as B
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    texts = {f"f{i}": f"text {i}\n" * (i + 1) for i in range(9)} | {"large": "x" * 5000, "bin": "\0"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    run("add", "-A")
+    run("commit", "-qm", "all")
+    rows = {r.path: bytes(r.content).decode() for r in B.from_git(spark, str(tmp_path), most=4000).collect()}
+    assert rows == {k: v for k, v in texts.items() if k not in ("large", "bin")}
+    monkeypatch.setattr(B, "CALLED", 100)
+    call = ["git", "-C", str(tmp_path)]
+    names = [subprocess.run([*call, "hash-object", n], cwd=tmp_path, capture_output=True, text=True).stdout.strip() for n in ("f1", "f2", "f3", "f8", "large")] + ["0" * 40]
+    assert list(B._some_objects(call, names, 4000)) == [(0, 3), (3, 6)] and B._contents(call, names, 4000)[-2:] == [None, None]
