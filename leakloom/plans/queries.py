@@ -131,17 +131,10 @@ def incremental_blobs(spark, sf_dir):
 # --- matching ---
 
 
-def _before_first():
-    """What stands before the first place of a match's text."""
-    return F.expr("substring(content, 1, locate(matching, content) - 1)")
-
-
-@query(f"WITH {_MATCHES_SQL} SELECT blob_id, rule_id, s AS start, e AS \"end\", matching, array_to_string(groups, '|') AS groups, 1 + length(t) - length(replace(t, chr(10), '')) AS start_line FROM (SELECT *, array_to_string(string_split(text, chr(10)), chr(10)) AS t0, left(text, instr(text, matching) - 1) AS t FROM m) WHERE s = strlen(t)")
+@query(f"WITH {_MATCHES_SQL} SELECT blob_id, rule_id, s AS start, e AS \"end\", matching, array_to_string(groups, '|') AS groups, 1 + length(t) - length(replace(t, chr(10), '')) AS start_line FROM (SELECT *, left(text, cs) AS t FROM m)")
 def matches_first_places(spark, sf_dir):
-    """Matches that are the first place of their text in the blob: byte range, groups and line."""
-    found = document_matches(spark, sf_dir).join(B.distinct(document_blobs(spark, sf_dir)).select("blob_id", "content"), "blob_id")
-    first = found.filter(F.octet_length(_before_first()) == F.col("start"))
-    return first.select("blob_id", "rule_id", "start", "end", "matching", F.array_join("groups", "|").alias("groups"), "start_line")
+    """The first place of each match's groups in its blob: byte range, groups and line."""
+    return document_matches(spark, sf_dir).select("blob_id", "rule_id", "start", "end", "matching", F.array_join("groups", "|").alias("groups"), "start_line")
 
 
 @query(f"WITH {_MATCHES_SQL} SELECT blob_id, rule_id, s AS start, e AS \"end\", matching, array_to_string(groups, '|') AS groups FROM m")
@@ -316,18 +309,21 @@ def masked_secrets(spark, sf_dir):
 
 
 @query(
-    f"WITH {_MATCHES_SQL}, q AS (SELECT blob_id, rule_id, s, matching, left(text, instr(text, matching) - 1) AS b0, text FROM m), c AS (SELECT *, right(b0, 100) AS bf, substr(text, length(b0) + length(matching) + 1, 100) AS af FROM q WHERE s = strlen(b0)),"
+    f"WITH {_MATCHES_SQL}, q AS (SELECT blob_id, rule_id, s, matching, left(text, cs) AS b0, text FROM m), c AS (SELECT *, right(b0, 100) AS bf, substr(text, length(b0) + length(matching) + 1, 100) AS af FROM q),"
     " z AS (SELECT *, length(bf) AS a, length(matching) AS w, length(bf || matching || af) AS n, bf || matching || af AS x FROM c), y AS (SELECT *, (80 - w - 6) // 2 AS h FROM z), u AS (SELECT *, a - h AS l0, a + w + h AS h0 FROM y),"
     " v AS (SELECT *, greatest(l0, 0) AS l1, CASE WHEN l0 < 0 THEN h0 - l0 ELSE h0 END AS h1 FROM u), k AS (SELECT *, CASE WHEN h1 > n THEN greatest(l1 - (h1 - n), 0) ELSE l1 END AS lo, least(h1, n) AS hi FROM v)"
     " SELECT blob_id, rule_id, s AS start, CASE WHEN n <= 80 THEN x WHEN w >= 80 THEN '...' || left(matching, 74) || '...' ELSE CASE WHEN lo > 0 THEN '...' ELSE '' END || substr(x, lo + 1, hi - lo) || CASE WHEN hi < n THEN '...' ELSE '' END END AS snippet FROM k"
 )
 def snippets(spark, sf_dir):
-    """The window of 80 characters around each match that is the first place of its text."""
-    found = document_matches(spark, sf_dir).select("blob_id", "rule_id", "start", "matching").join(B.distinct(document_blobs(spark, sf_dir)).select("blob_id", "content"), "blob_id")
-    first = found.withColumn("b0", _before_first()).filter(F.octet_length("b0") == F.col("start"))
-    before = F.when(F.length("b0") > 100, F.substring("b0", -100, 100)).otherwise(F.col("b0"))
-    after = F.substring(F.col("content"), F.length("b0") + F.length("matching") + 1, F.lit(100))
-    return first.select("blob_id", "rule_id", "start", T.snippet_window(before, F.col("matching"), after, 80).alias("snippet"))
+    """The window of 80 characters around each match, cut from 100 characters on either side."""
+    found = document_matches(spark, sf_dir).select("blob_id", "rule_id", "start", "end", "matching")
+    found = found.join(B.distinct(document_blobs(spark, sf_dir)).select("blob_id", F.col("content").cast("binary").alias("content")), "blob_id")
+    # Bytes that hold 100 characters and some; a character that is cut stands beyond these.
+    part = lambda start, n: F.substring(F.col("content"), (start + 1).cast("int"), n.cast("int")).cast("string")
+    low = F.greatest(F.col("start") - 404, F.lit(0))
+    before, after = F.expr("right(held, 100)"), F.left(part(F.col("end"), F.lit(404)), F.lit(100))
+    found = found.withColumn("held", part(low, F.col("start") - low))
+    return found.select("blob_id", "rule_id", "start", T.snippet_window(before, F.col("matching"), after, 80).alias("snippet"))
 
 
 @query(f"WITH {_IDS_SQL}, an AS (SELECT user_id % 64 AS k, arg_max(event_type, (ts, event_id)) AS annotation FROM events GROUP BY user_id % 64), ff AS (SELECT DISTINCT finding_id FROM f) SELECT finding_id, annotation FROM ff LEFT JOIN an ON an.k = CAST('0x' || left(finding_id, 4) AS BIGINT) % 64")
