@@ -97,10 +97,15 @@ def _ready(rules: list[R.Rule]) -> tuple:
 
 
 def register(spark: SparkSession, rules: Iterable[R.Rule] = R.CREDENTIAL_PACK) -> None:
-    """Make `git_blob_id(binary)` and the table function `scan_secrets(string)` known to SQL."""
-    from pyspark.sql.functions import udtf
+    """Make `git_blob_id(binary)` and the table functions `scan_secrets(string)` and `scan_blobs(TABLE)` known to SQL.
 
-    from leakloom.operators.match import matches_in
+    scan_secrets stands in a lateral join, a call a row; scan_blobs takes a table whose first columns are
+    a blob's id and content, a batch a call, and gives all columns of matches.
+    """
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udtf, udtf
+
+    from leakloom.operators.match import MATCHES, match_rows, matches_in
     from leakloom.session import ship_package
 
     ship_package(spark)
@@ -116,6 +121,14 @@ def register(spark: SparkSession, rules: Iterable[R.Rule] = R.CREDENTIAL_PACK) -
             for m in matches_in(content or "", *self.ready):
                 yield m[0], m[2], m[3], m[7]
 
+    class ScanBlobs:
+        def __init__(self):
+            self.ready = _ready(packed)
+
+        def eval(self, batch: pa.RecordBatch):
+            yield pa.Table.from_batches([match_rows(batch, self.ready)])
+
+    spark.udtf.register("scan_blobs", arrow_udtf(ScanBlobs, returnType=MATCHES))
     spark.udtf.register("scan_secrets", udtf(ScanSecrets, returnType="rule_id string, start long, end long, matching string", useArrow=True))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION git_blob_id(content BINARY) RETURNS STRING RETURN sha1(concat(CAST(concat('blob ', CAST(octet_length(content) AS STRING)) AS BINARY), X'00', content))")
 

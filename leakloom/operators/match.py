@@ -216,6 +216,14 @@ def _rows(rows: list[tuple], report: bool = False) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
 
+def match_rows(batch: pa.RecordBatch, ready: tuple) -> pa.RecordBatch:
+    """The matches in a batch whose first columns are blob_id and content; ready: what matches_in() takes after the text."""
+    rows = []
+    for blob, content in zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        rows += [(blob, *(_clean(x) for x in row)) for row in matches_in(decoded(content), *ready)]
+    return _rows(rows)
+
+
 def _told(tally: Tally) -> pa.RecordBatch:
     """A tally as rows without matches: one for each rule and status, and one for each blob on which a rule was given up."""
     rows = [{"rule_id": r, "status": s, "blobs": n, "millis": ms} for (r, s), (n, ms) in tally.counts.items()]
