@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leakloom.operators.chunks import scan_pieces
 from leakloom.operators.facet_index import FacetIndex
 from leakloom.plans import queries as Q
 from leakloom.plans.queries import PACK, query, table
+from leakloom.session import drop_at_exit, shared_dir
 from leakloom.sources.commits import first_commits
 from leakloom.sources.walk import ignored, ignored_with_parents
+from leakloom.streaming.stateful import first_seen
 
 
 @query(Q.SQL["matches_by_content"])
@@ -71,3 +75,26 @@ def first_commits_of_blobs(spark, sf_dir):
     commits = docs.selectExpr("cast(doc_id as string) AS commit_id", "coalesce(n_chars, 0) AS committed_at", "transform(CASE WHEN doc_id % 8 <> 0 THEN array(doc_id - 1) WHEN doc_id > 0 THEN array(doc_id div 2, doc_id div 3) ELSE array() END, x -> cast(x as string)) AS parents")
     files = docs.selectExpr("cast(doc_id as string) AS commit_id", "md5(cast(coalesce(text, '') as binary)) AS blob_id", "concat(coalesce(source, ''), '/', doc_id) AS path")
     return first_commits(files, commits).select("blob_id", "commit_id", "generation", "path")
+
+
+def _streamed(spark, sf_dir: str, name: str, build):
+    """A stream over a table's files, run to its end: what it has written, as a table."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    files = f"{sf_dir}/events.parque[t]"  # a pattern, as a stream's path may not be one file
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(files)
+    out, held = build(stream), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(held), 8)))  # a stream keeps its number of partitions, each with a store of its own
+    try:
+        query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id, event_type")
+def streamed_new_pairs(spark, sf_dir):
+    """Events as a stream of which only the first of each user and type passes: each pair once."""
+    seen = _streamed(spark, sf_dir, "new-pairs", lambda s: first_seen(s.select("user_id", "event_type"), ["user_id", "event_type"], buckets=8))
+    return seen.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))

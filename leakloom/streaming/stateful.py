@@ -41,6 +41,7 @@ class FirstSeen(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         head, tail = self.ends.get() if self.ends.exists() else (0, 0)
         for part in rows:
+            part = part[~part.iloc[:, len(self.columns)].duplicated()]  # repeats need no look at the state
             new = []
             # Columns are taken by place: names that are no identifiers arrive changed.
             for at, seen in enumerate(part.iloc[:, len(self.columns)].tolist()):
