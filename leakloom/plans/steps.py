@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from leakloom.operators.chunks import scan_pieces
 from leakloom.operators.facet_index import FacetIndex
+from leakloom.operators.match import scan
 from leakloom.plans import queries as Q
+from leakloom.plans import rules as R
 from leakloom.plans.queries import PACK, query, table
 from leakloom.session import drop_at_exit, shared_dir
+from leakloom.sources import blobs as B
 from leakloom.sources.commits import first_commits
 from leakloom.sources.walk import ignored, ignored_with_parents
 from leakloom.streaming.stateful import first_seen
@@ -98,3 +101,34 @@ def streamed_new_pairs(spark, sf_dir):
     """Events as a stream of which only the first of each user and type passes: each pair once."""
     seen = _streamed(spark, sf_dir, "new-pairs", lambda s: first_seen(s.select("user_id", "event_type"), ["user_id", "event_type"], buckets=8))
     return seen.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://github.com/' || host || '/repo' || page_id || '.git/' WHEN page_id % 3 = 1 THEN url ELSE '/data/' || host || '//' END AS target, CASE WHEN page_id % 3 = 0 THEN 'repo' || page_id WHEN page_id % 3 = 1 THEN coalesce(nullif(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1), ''), 'output') ELSE host END || '.ds' AS name FROM (SELECT page_id, url, split_part(url, '/', 3) AS host FROM pages)")
+def store_names(spark, sf_dir):
+    """Names of stores for scans of repositories, pages and folders."""
+    host = "split_part(url, '/', 3)"
+    target = F.expr(f"CASE WHEN page_id % 3 = 0 THEN concat('https://github.com/', {host}, '/repo', page_id, '.git/') WHEN page_id % 3 = 1 THEN url ELSE concat('/data/', {host}, '//') END")
+    return table(spark, sf_dir, "pages").select("page_id", target.alias("target")).withColumn("name", B.store_name(F.col("target")))
+
+
+#: Rules in free-spacing form, which other engines take once it is expanded.
+_SPACED = (
+    R.Rule("lk.email.2", "Mail address", "(?x) \\b ( [A-Za-z0-9._%+-]+   # who\n @ [A-Za-z0-9.-]+ \\. [A-Za-z]{2,} )  # where\n \\b"),
+    R.Rule("lk.ipv4.2", "IPv4 address", "(?x) \\b ( \\d{1,3} (?# three more ) (?: \\. \\d{1,3} ){3} ) \\b"),
+    R.Rule("lk.assigned.2", "Assigned value", "(?ix) ( token | secret ) [ ]=[ ] \" [#0-9a-f]+"),
+)
+
+
+@query(
+    "WITH "
+    + ", ".join(f"p{i} AS (SELECT {Q._quoted(r.id)} AS rule_id, CAST(sum(len(regexp_extract_all(coalesce(text, ''), {Q._quoted(R.expanded(r.pattern))}))) AS BIGINT) AS matches FROM documents)" for i, r in enumerate(_SPACED))
+    + " "
+    + " UNION ALL ".join(f"SELECT rule_id, matches, matches AS by_rlike FROM p{i}" for i in range(len(_SPACED)))
+)
+def free_spacing_rules(spark, sf_dir):
+    """Matches of rules in free-spacing form, by the scan and by Spark's own engine, which takes them expanded."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("blob_id"), F.coalesce("text", F.lit("")).alias("content"))
+    found = scan(docs, _SPACED, 0, "location").groupBy("rule_id").agg(F.count("*").alias("matches"))
+    counts = [docs.agg(F.sum(F.regexp_count("content", F.lit(R.expanded(r.pattern)))).cast("long").alias("by_rlike")).withColumn("rule_id", F.lit(r.id)) for r in _SPACED]
+    own = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return own.join(found, "rule_id", "left").select("rule_id", F.coalesce("matches", F.lit(0)).alias("matches"), "by_rlike")

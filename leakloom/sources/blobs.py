@@ -195,6 +195,14 @@ def listing(url: str) -> tuple[str, str] | None:
     return (found[1], found[2]) if found else None
 
 
+def store_name(target: Column) -> Column:
+    """The name of a store for what is scanned: of a hosted repository its name, else the last part of the path; `output` if there is none."""
+    bare = F.regexp_replace(target, "/+$", "")
+    hosted = F.regexp_extract(bare, r"^(?:[^:]*://)?(?:github|gitlab)\.com/[^/]*/(.+?)(?:\.git)?$", 1)
+    last = F.regexp_extract(bare, "([^/]*)$", 1)
+    return F.concat(F.when(hosted != "", hosted).when(last.isin("", "."), "output").otherwise(last), F.lit(".ds"))
+
+
 def base_url(url: str) -> bool:
     """Whether a service's base URL is insecure; other schemes than http and https are errors."""
     scheme = url.partition("://")[0].lower() if "://" in url else ""
