@@ -1,6 +1,7 @@
 """Streams with state: what is new across restarts and within bounds, and the queue in which the latest content wins."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ def feed(spark, tmp_path):
     folder.mkdir()
 
     def write(rows):
-        (folder / f"{len(seen):03}.json").write_text("\n".join(map(json.dumps, rows)))
+        path = folder / f"{len(seen):03}.json"
+        path.write_text("\n".join(map(json.dumps, rows)))
+        os.utime(path, (1_700_000_000 + len(seen),) * 2)  # files are read in the order of their times
         seen.append(rows)
 
     def run(build, schema, out):
