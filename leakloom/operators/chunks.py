@@ -356,7 +356,9 @@ def scan_pieces(blobs: DataFrame, rules: Iterable[Rule], lines: int = 3, dedupe:
     margin = max([FOLLOWED * k.width + k.around for k in wide] + [len(w) for r in last for w in r.keywords] + [4])
     rows = blobs.select("blob_id", F.col("content").cast("binary").alias("content"))
     small, large = rows.filter(F.coalesce(F.octet_length("content"), F.lit(0)) <= size), rows.filter(F.octet_length("content") > size)
-    pieces = large.mapInArrow(_cut_batches(max(size, 16 * margin), margin, lines), _PIECE_DDL).repartition("blob_id", "piece")
+    pieces = large.mapInArrow(_cut_batches(max(size, 16 * margin), margin, lines), _PIECE_DDL)
+    # A number of its own, as Spark else joins partitions up to its advisory size, which is many pieces.
+    pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "blob_id", "piece")
     tagged = materialize(pieces.mapInArrow(_piece_batches(last, run, lines, timeout), _TAGGED_DDL), "pieces")
     always = [i for i, k in enumerate(kinds) if k.kind == "whole"]
     again = tagged.filter(F.col("tag") == WHOLE).groupBy("blob_id").agg(F.collect_set("rule_place").alias("again"))  # rules at most
