@@ -119,7 +119,7 @@ def test_trie_against_a_plain_one(spark):
 
 def test_long_lists_of_ends_and_long_conversations_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(trie, "PIECE", 50)
-    rows = [(c, 0, "user", "same") for c in range(0, 4000, 5)] + [(5001, t, "user", str(t % 3)) for t in range(500)]
+    rows = [(c, 0, "user", "same") for c in range(0, 2000, 5)] + [(5001, t, "user", str(t % 3)) for t in range(150)]
     assert grown(spark, rows) == plain_trie(rows)
     ends = spark.createDataFrame([(c, 1, 2, 3, 4, 5) for c in range(1000)], "conv_id long, depth long, l0 long, l1 long, l2 long, l3 long")
     want = hashlib.sha256(",".join(map(str, range(1000))).encode()).hexdigest()
