@@ -98,8 +98,8 @@ def _streamed(spark, sf_dir: str, name: str, build):
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id, event_type")
 def streamed_new_pairs(spark, sf_dir):
-    """Events as a stream of which only the first of each user and type passes: each pair once."""
-    seen = _streamed(spark, sf_dir, "new-pairs", lambda s: first_seen(s.select("user_id", "event_type"), ["user_id", "event_type"], buckets=8))
+    """Events as a stream of which only the first of each user and type passes: each pair once, however many there are."""
+    seen = _streamed(spark, sf_dir, "new-pairs", lambda s: first_seen(s.select("user_id", "event_type"), ["user_id", "event_type"], most=None))
     return seen.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 

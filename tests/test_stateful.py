@@ -3,10 +3,12 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from leakloom.operators import findings
+from leakloom.plans import steps
 from leakloom.streaming import stateful
 
 
@@ -78,3 +80,59 @@ def test_the_queue_releases_the_latest_content_in_batches_of_ten(spark, feed):
     assert sorted(sizes.values()) == [3, 10, 10] and "late" in {r.source for r in got}
     latest = findings.latest(df.withColumn("at", F.struct("at", "content")), ["source"], "at")
     assert {r.source for r in latest.collect()} == {r.source for r in first}
+
+
+def test_each_pair_passes_once_however_many_there_are(spark, tmp_path):
+    """More pairs than bounded buckets remember, and all of them again in a later micro-batch; a null is a user too."""
+    user = F.when(F.col("id") > 0, F.col("id")).alias("user_id")
+    for i, part in enumerate(("a", "b", "c", "d", "e", "f")):
+        spark.range(100_000).select(user, F.lit("view").alias("event_type")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        for x in set((tmp_path / "events.parquet").glob("part-*.parquet")):
+            if not x.stem.startswith("part-z"):
+                x.rename(x.with_name(f"part-z{part}.parquet"))
+                os.utime(x.with_name(f"part-z{part}.parquet"), (1_700_000_000 + i,) * 2)
+    n = steps.streamed_new_pairs(spark, str(tmp_path)).agg(F.count("*").alias("pairs"), F.max("n").alias("most")).first()
+    assert (n.pairs, n.most) == (100_000, 1)
+
+
+def test_a_bucket_calls_its_store_twice_a_batch_whatever_its_keys():
+    """Calls to the store are counted, and the clock is ours: keys whose time has ended are new again."""
+    calls, now = [], [0]
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Held()
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return now[0]
+
+    for ttl, again in ((None, 0), (100, 500)):
+        seen = stateful.FirstSeen(["place"], 2000, ttl)
+        seen.init(Handle())
+
+        def passed(places):
+            keys = [i.to_bytes(stateful.KEY_BYTES, "big") for i in places]
+            return sum(map(len, seen.handleInputRows((0,), iter([pd.DataFrame({"place": places, "key": keys})]), Clock())))
+
+        now[0] = 0
+        assert passed([*range(500), *range(500)]) == 500
+        now[0] = 60
+        calls.clear()
+        assert passed(range(1000)) == 500 and calls == ["get", "update"]
+        now[0] = 110  # the first 500 have ended, the others have not
+        assert passed(range(1000)) == again
