@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakloom.session import materialize
@@ -32,8 +32,6 @@ TOKEN = r"[A-Za-z0-9+/_=-]{%d,}"
 #: Characters of a token that is scored, at least: base patterns report no shorter secret either.
 LEAST = 6
 INT_MAX = 2**31 - 1
-#: Documents, about, from which the ordinary tokens of the sample come.
-SAMPLE_DOCS = 2000
 #: Weight of the uniform distribution in each row of a model, as a number of transitions.
 PRIOR_RANDOM, PRIOR_ORDINARY = 200.0, 2.0
 #: Mean log-likelihood ratio a transition above which a token is reported; one of fewer characters than
@@ -41,6 +39,8 @@ PRIOR_RANDOM, PRIOR_ORDINARY = 200.0, 2.0
 THRESHOLD, EVEN, LENGTHS = 0.5, 20, 64
 #: Share of the ordinary tokens of a length that its limit may let pass, where the sample has enough of them to tell.
 FALSE_RATE = 1e-4
+#: Steps of a limit that is raised, within 1.
+LIMIT_STEPS = 1000
 
 
 #: Elements that one inner loop of gathered() handles.
@@ -109,19 +109,24 @@ def _byte(data: Column, i: Column) -> Column:
     return F.ascii(F.substring(data, i, 1).cast("string"))
 
 
+def _counted(samples: DataFrame) -> DataFrame:
+    """Samples with n, how often each occurs; where they do not say so, each row is one."""
+    return samples if "n" in samples.columns else samples.withColumn("n", F.lit(1).cast("long"))
+
+
 def _transitions(samples: DataFrame) -> DataFrame:
     """Counts n of each pair of characters (a, b as bytes) by label, over all samples; ordinary ones in three forms."""
     # An ordinary word is one in capitals too, and with a first capital.
     word = F.col("text")
     forms = F.when(F.col("label") == 0, F.array_distinct(F.array(word, F.upper(word), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, INT_MAX))))).otherwise(F.array(word))
-    words = samples.filter((F.length("text") > 1) & ~F.col("text").rlike(r"[^\x00-\x7F]")).groupBy("label", "text").agg(F.count("*").alias("n"))
+    words = _counted(samples).filter((F.length("text") > 1) & ~F.col("text").rlike(r"[^\x00-\x7F]")).groupBy("label", "text").agg(F.sum("n").alias("n"))
     pairs = let(F.col("text").cast("binary"), lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: _byte(t, i) * 128 + _byte(t, i + 1)))
     rows = words.withColumn("text", F.explode(forms)).select("label", "n", F.explode(pairs).alias("p"))
     return rows.groupBy("label", "p").agg(F.sum("n").alias("n")).select("label", F.floor(F.col("p") / 128).cast("int").alias("a"), (F.col("p") % 128).alias("b"), "n")
 
 
 def train(samples: DataFrame) -> list[float]:
-    """The log-likelihood ratio of each transition, from samples (text, label; 1: random, 0: ordinary).
+    """The log-likelihood ratio of each transition, from samples (text, label and, if there, n; 1: random, 0: ordinary).
 
     At most 2 * 128 ** 2 counts reach the driver. Null texts and labels and texts with characters beyond
     ASCII are left out, as are transitions outside ALPHABET; without samples of a label, its model is uniform.
@@ -163,15 +168,22 @@ def limits(samples: DataFrame | None = None, table: list[float] | None = None) -
     """The mean log-likelihood ratio that a token has to exceed, by its length from 1 to LENGTHS.
 
     Where the samples hold 1 / FALSE_RATE ordinary tokens of a length or more, at most that share of
-    them exceeds its limit. Fewer tell nothing of such a share, and one secret among them would hide others.
+    them exceeds its limit: all of them are counted, and a limit that has to be raised is the least
+    multiple of 1 / LIMIT_STEPS that will do. Fewer tell nothing of such a share, and one secret among
+    them would hide others. At most LENGTHS rows reach the driver.
     """
     out = [THRESHOLD * max(1.0, (EVEN - 1) / max(1, n - 1)) for n in range(1, LENGTHS + 1)]
     if samples is not None and table is not None:
         inside = F.col("text").rlike("^" + TOKEN % 2 + "$")
-        scored = samples.filter((F.col("label") == 0) & inside).select(F.least(F.length("text"), F.lit(LENGTHS)).alias("n"), ratio(F.col("text"), table).alias("r"))
-        cut = scored.groupBy("n").agg(F.count("*").alias("c"), F.percentile_approx("r", 1 - FALSE_RATE, 100_000).alias("q"))
-        for row in cut.filter(F.col("c") >= 1 / FALSE_RATE).collect():
-            out[row["n"] - 1] = max(out[row["n"] - 1], row["q"])
+        scored = _counted(samples).filter((F.col("label") == 0) & inside).select(F.least(F.length("text"), F.lit(LENGTHS)).alias("length"), ratio(F.col("text"), table).alias("r"), "n")
+        least = F.element_at(F.array(*map(F.lit, out)), F.col("length"))
+        steps = scored.withColumn("step", F.when(F.col("r") > least, F.ceil(F.col("r") * LIMIT_STEPS))).groupBy("length", "step").agg(F.sum("n").alias("n"))  # null: passes at no limit
+        by_length = Window.partitionBy("length")
+        over = F.coalesce(F.sum("n").over(by_length.orderBy(F.desc_nulls_last("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        told = steps.select("length", "step", over.alias("over"), F.sum("n").over(by_length).alias("all")).filter((F.col("all") >= 1 / FALSE_RATE) & (F.col("over") <= F.col("all") * FALSE_RATE))
+        for row in told.groupBy("length").agg(F.min("step").alias("step"), F.bool_or(F.col("step").isNull()).alias("enough")).collect():
+            if not row["enough"]:
+                out[row["length"] - 1] = row["step"] / LIMIT_STEPS
     return out
 
 
@@ -196,22 +208,23 @@ def markov_spans(text: Column, table: list[float], limit: list[float] | None = N
     return F.when(held, _positions(text, pattern, 3, keep)).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
 
 
-def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", about: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled samples (text, label) from documents.
+def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Labelled samples (text, label, n) from all documents; n is how often a text occurs.
 
-    Random strings: what the base patterns report, in all documents. Ordinary tokens: all words, numbers
-    and identifiers of about that many documents, chosen by a hash of their ids, in which the base
-    patterns find nothing. One pass over the texts writes them all.
+    Random strings: what the base patterns report. Ordinary tokens: all words, numbers and identifiers
+    of each document in which the base patterns report nothing; beside what they report, there may be
+    secrets of other forms. One pass over the texts writes them all, each distinct one once.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     shown = F.array_union(
         F.filter(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= ASSIGN_LEAST),
         F.array_union(F.regexp_extract_all("t", F.lit("AKIA[A-Z0-9]{%d,}" % (ACCESS_LEAST - 4)), F.lit(0)), F.regexp_extract_all("t", F.lit("[0-9a-f]{%d,}" % HEX_LEAST), F.lit(0))),
     )
     any_base = F.col("t").rlike("(?:%s)|AKIA[A-Z0-9]{%d,}|[0-9a-f]{%d,}" % (ASSIGN, ACCESS_LEAST - 4, HEX_LEAST))
-    chosen = F.pmod(F.xxhash64("id"), F.lit(max(1, docs.count() // about))) == 0
-    told = F.when(any_base, F.struct(shown.alias("texts"), F.lit(1).alias("label"))).when(chosen, F.struct(F.regexp_extract_all("t", F.lit(TOKEN % 2), F.lit(0)).alias("texts"), F.lit(0).alias("label")))
-    return materialize(rows.select(told.alias("told")).select(F.explode("told.texts").alias("text"), "told.label"), "samples")
+    words = F.struct(F.regexp_extract_all("t", F.lit(TOKEN % 2), F.lit(0)).alias("texts"), F.lit(0).alias("label"))
+    told = F.when(any_base, let(shown, lambda s: F.when(F.size(s) > 0, F.struct(s.alias("texts"), F.lit(1).alias("label"))).otherwise(words))).otherwise(words)
+    each = rows.select(told.alias("told")).select(F.explode("told.texts").alias("text"), "told.label")
+    return materialize(each.groupBy("label", "text").agg(F.count("*").alias("n")).select("text", "label", "n"), "samples")
 
 
 def all_spans(text: Column, table: list[float], limit: list[float] | None = None) -> Column:

@@ -550,3 +550,11 @@ def test_no_secret_is_found_in_ordinary_words_in_any_case(spark):
     planted = spark.createDataFrame([("".join(r.choices(letters, k=n)), n) for n in (6, 8, 12, 32) for _ in range(100)], "text string, n int")
     found = secrets.with_spans(planted, table, limit=limit).groupBy("n").agg(F.avg(F.exists("secret_spans", lambda s: s["kind"] == 3).cast("int")).alias("share")).collect()
     assert all(x.share >= {6: 0.9, 8: 0.95}.get(x.n, 0.98) for x in found), found
+
+
+def test_secrets_are_learned_from_every_document(spark):
+    """Each word of each document counts, however many documents there are and whatever their ids."""
+    rows = [(i % 7 if i % 3 else None, f"word{i} common common") for i in range(4100)] + [(1, "a token = abc only"), (2, "password: hunter2222 beside"), (3, None)]
+    got = {(x.text, x.label): x.n for x in secrets.samples(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(f"word{i}", 0): 1 for i in range(4100)} | {("common", 0): 8200, ("hunter2222", 1): 1}
+    assert got == want | {("token", 0): 1, ("abc", 0): 1, ("only", 0): 1}
