@@ -19,7 +19,7 @@ from leakloom.operators import filters, findings, validation
 from leakloom.operators.chunks import PIECE, cuts
 from leakloom.operators.match import context, matches_in, scan
 from leakloom.operators.prefilter import Prefilter, literals
-from leakloom.plans import report
+from leakloom.plans import details, report
 from leakloom.plans import rules as R
 from leakloom.sources import blobs as B
 from leakloom.sources.extract import Limits, members, page_items, rtf_text
@@ -391,3 +391,26 @@ def test_streams(spark, tmp_path):
     contents = stream.items(requests).select(ids.blob_id(F.col("content").cast("binary")).alias("blob_id"), "content", F.length("content").cast("long").alias("size"))
     stream.incremental(contents, store, lambda rows: seen.append(rows.count()), str(tmp_path / "c2")).awaitTermination(90)
     assert seen == [3] and store.read("blobs").count() == 3
+
+
+def test_containers_with_databases_wait_for_no_disk(monkeypatch):
+    """A database in a container is made without waiting for the disk, and closed once it is read."""
+    waits, opened = [], []
+
+    class Told(sqlite3.Connection):
+        def __init__(self, *args, **kwargs):
+            super().__init__(*args, **kwargs)
+            opened.append(self)
+
+        def commit(self):
+            waits.append((self.execute("PRAGMA synchronous").fetchone()[0], self.execute("PRAGMA journal_mode").fetchone()[0]))
+            super().commit()
+
+    connect = sqlite3.connect
+    monkeypatch.setattr(sqlite3, "connect", lambda *args, **kwargs: connect(*args, **{**kwargs, "factory": Told}))
+    raw = details._contained("a.sqlite", b"text")
+    assert waits == [(0, "off")]
+    assert list(members("a.sqlite", raw)) == [("tables", hashlib.md5(b"text").hexdigest().encode() + b"\n")]
+    for db in opened:
+        with pytest.raises(sqlite3.ProgrammingError):
+            db.execute("SELECT 1")
