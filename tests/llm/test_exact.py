@@ -558,3 +558,18 @@ def test_secrets_are_learned_from_every_document(spark):
     got = {(x.text, x.label): x.n for x in secrets.samples(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = {(f"word{i}", 0): 1 for i in range(4100)} | {("common", 0): 8200, ("hunter2222", 1): 1}
     assert got == want | {("token", 0): 1, ("abc", 0): 1, ("only", 0): 1}
+
+
+def test_limits_count_every_ordinary_token(spark):
+    """Of the tokens of a length, with their counts, at most the share exceeds its limit, and a lower limit would not do."""
+    r = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    table = secrets.train(spark.createDataFrame([("".join(r.choices(letters, k=32)), 1) for _ in range(300)] + [("the_user_name", 0)] * 300, "text string, label int"))
+    tokens = {"".join(r.choices(letters, k=n)): 1 + i % 3 for n in (20, 24) for i in range(30)} | {"the_user_name_the_us": 99_000, "the_user_name_the_user_n": 9_000}
+    limit = secrets.limits(spark.createDataFrame([(t, 0, n) for t, n in tokens.items()], "text string, label int, n long"), table)
+    place = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    ratio = lambda t: sum(round(table[place[a] * len(place) + place[b]], 5) for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1)
+    over = lambda n, least: sum(k for t, k in tokens.items() if len(t) == n and ratio(t) > least)
+    allowed = secrets.FALSE_RATE * sum(k for t, k in tokens.items() if len(t) == 20)
+    assert limit[19] > secrets.THRESHOLD and over(20, limit[19]) <= allowed < over(20, limit[19] - 1 / secrets.LIMIT_STEPS)
+    assert limit[23] == secrets.THRESHOLD and over(24, limit[23]) > 0  # too few of this length to tell

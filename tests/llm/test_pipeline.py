@@ -142,3 +142,15 @@ def test_stages_of_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_the_secret_scan_learns_from_every_row(spark, monkeypatch):
+    """Models and limits of the stage see each word of all rows, with or without ids, more rows than any sample had."""
+    seen, train, limits = [], secrets.train, secrets.limits
+    monkeypatch.setattr(secrets, "train", lambda s: seen.append(s) or train(s))
+    monkeypatch.setattr(secrets, "limits", lambda s, t: seen.append(s) or limits(s, t))
+    docs = spark.createDataFrame([(i if i % 2 else None, f"row{i} password: hunter2222" if i % 100 == 0 else f"row{i} word") for i in range(4200)], "doc_id long, text string")
+    assert corpus_pipeline.mask_secrets(spark, docs, "").filter(F.col("text").contains("[SECRET]")).count() == 42
+    for sample in seen:
+        assert {x.label: x.n for x in sample.groupBy("label").agg(F.sum("n").alias("n")).collect()} == {0: 2 * 4158, 1: 42}
+    assert len(seen) == 2
