@@ -16,14 +16,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leakloom.session import materialize, ship_package
+from leakloom.session import discard, materialize, ship_package
 
-#: Labelled training rows that are used at most, half of them of each label: the smallest by a hash of the id.
-MAX_TRAIN = 12_000
 #: Features of the classifier at most (those that tell the labels apart best), and training rows that have to hold a feature.
 MAX_FEATURES, SUPPORT = 8_000, 4
 #: Share of toxic rows (at even classes) from which on a mined feature belongs to a lexicon.
@@ -46,6 +46,8 @@ GOLD, EDGES = 0.999, 80
 CHOICES = ((0.9, 80), (0.98, 80), (0.999, 80), (0.999, 40))
 #: How strong a correlation has to be, and parts of the rows that take turns at a choice.
 CORRELATED, FOLDS = 0.05, 2
+#: L2 penalty of the classifier, its steps at most, and the relative gain at which it stops.
+PENALTY, STEPS, GAIN = 1e-4, 100, 1e-6
 #: Voters that look at words; share of a text's distinct words that have to be in a lexicon for the vote `dense`.
 BY_WORDS, DENSE = 12, 0.02
 
@@ -107,23 +109,26 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable) -> tuple[DataFrame, int, int]:
-    """doc_id, text and toxic of at most MAX_TRAIN usable labelled rows, written, and how many of each label there are.
+    """doc_id, text and toxic of all usable labelled rows, written, and how many of each label there are.
 
     An id with both labels is toxic: what someone has marked is not learned as clean.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(usable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.filter("toxic = 1").orderBy(*by_hash).limit(MAX_TRAIN // 2).unionByName(known.filter("toxic = 0").orderBy(*by_hash).limit(MAX_TRAIN // 2))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
     # Rows that repeat an id are one row with one of their texts.
-    return materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "labelled"), n.get(1, 0), n.get(0, 0)
+    rows = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "labelled")
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return rows, n.get(1, 0), n.get(0, 0)
 
 
 def _half(doc_id: int) -> int:
     return (doc_id * 2654435761 >> 7) & 1
 
 
+def _fold(doc_id: int) -> int:
+    return (doc_id * 2654435761 >> 9) % FOLDS
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of each label that hold a feature, over the mining half of the training rows."""
     pos, neg = Counter(), Counter()
@@ -145,7 +150,7 @@ def _counts(pos: Counter, neg: Counter) -> pa.RecordBatch:
 def mine(rows: DataFrame) -> Model:
     """The features that tell the labels apart most, and of them the lexicons; at most MAX_FEATURES rows are gathered."""
     counts = rows.select("doc_id", "text", "toxic").mapInArrow(_count_batches, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    totals = rows.filter("(shiftright(doc_id * 2654435761, 7) & 1) = 0").groupBy().agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).first()
+    totals = rows.filter("(shiftright((doc_id & 255) * 2654435761, 7) & 1) = 0").groupBy().agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).first()
     p, n = (totals["p"] or 0) + 1, (totals["n"] or 0) + 1
     odds = F.log(((F.col("pos") + 0.5) / p) / ((F.col("neg") + 0.5) / n))
     found = counts.filter(F.col("pos") + F.col("neg") >= SUPPORT).withColumn("odds", odds)
@@ -269,77 +274,82 @@ def fit_label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, sha
     return model
 
 
-def label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float) -> np.ndarray:
-    """The posterior of toxicity of each row from its voters (0/1); gold labels (1, 0 or -1 for none) help to fit the model only."""
-    right, most = choice(fires, gold, weight, share) if (gold >= 0).any() else (GOLD, EDGES)
+def label_model(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float, fold: np.ndarray | None = None) -> np.ndarray:
+    """The posterior of toxicity of each row from its voters (0/1); gold labels (1, 0 or -1 for none) help to fit the model only.
+
+    A row may stand for as many equal ones as its weight; fold says at which turn its gold label is hidden.
+    """
+    right, most = choice(fires, gold, weight, share, fold) if (gold >= 0).any() else (GOLD, EDGES)
     return fit_label_model(fires, gold, weight, share, right=right, most=most).posterior(fires)
 
 
-def choice(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float) -> tuple[float, int]:
+def choice(fires: np.ndarray, gold: np.ndarray, weight: np.ndarray, share: float, fold: np.ndarray | None = None) -> tuple[float, int]:
     """The trust in gold labels and the number of edges under which votes alone tell best the gold labels of rows that were fitted without these."""
-    of, loss = np.cumsum(gold >= 0) % FOLDS, []
+    of, loss = np.cumsum(gold >= 0) % FOLDS if fold is None else fold, []
     for right, most in CHOICES:
         total = 0.0
-        for fold in range(FOLDS):
-            hidden = (gold >= 0) & (of == fold)
+        for turn in range(FOLDS):
+            hidden = (gold >= 0) & (of == turn)
             post = np.clip(fit_label_model(fires, np.where(hidden, -1, gold), weight, share, right=right, most=most).posterior(fires[hidden]), 1e-3, 1 - 1e-3)
             total -= float(weight[hidden] @ np.log(np.where(gold[hidden] == 1, post, 1 - post)))
         loss.append(total)
     return CHOICES[int(np.argmin(loss))]
 
 
+#: Of a training row: its votes (a bit each), its gold label if it is judged (-1: none), its fold, and the features in it.
+HITS = "votes int, gold int, fold int, found array<int>"
+
+
 def _hit_batches(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m, bits = model.value, 1 << np.arange(len(VOTERS))
         for batch in batches:
-            hits = [m.hits(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array([sorted(h[0]) for h in hits], pa.list_(pa.int32())), pa.array([h[1].astype(np.int8).tolist() for h in hits], pa.list_(pa.int8()))], ["doc_id", "toxic", "found", "fires"])
+            ids, hits = batch.column(0).to_pylist(), [m.hits(t) for t in batch.column(1).to_pylist()]
+            # Labels of the mining half made the lexicons; voters are judged on the other half's, which the posterior does not see.
+            gold = [toxic if _half(i) else -1 for i, toxic in zip(ids, batch.column(2).to_pylist(), strict=True)]
+            columns = [[int(h[1] @ bits) for h in hits], gold, [_fold(i) for i in ids]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array([sorted(h[0]) for h in hits], pa.list_(pa.int32()))], ["votes", "gold", "fold", "found"])
 
     return run
 
 
-def fit_linear(found: list[np.ndarray], fires: np.ndarray, post: np.ndarray, weight: np.ndarray, n_features: int, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression on soft labels with an L2 penalty, by accelerated gradient descent."""
-    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    cols = np.concatenate(found) if len(rows) else np.zeros(0, np.int64)
-    total = weight.sum()
-    w, v, b = np.zeros(n_features), np.zeros(fires.shape[1]), 0.0
-    ow, ov, ob = w.copy(), v.copy(), b
-    size = 1.0 + max((len(f) for f in found), default=0) ** 0.5 + fires.shape[1]
-    rate, penalty = 8.0 / size, 1e-4
-    for i in range(rounds):
-        m = i / (i + 3)
-        yw, yv, yb = w + m * (w - ow), v + m * (v - ov), b + m * (b - ob)
-        z = np.bincount(rows, yw[cols], len(found)) + fires @ yv + yb
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - post) / total
-        ow, ov, ob = w, v, b
-        w = yw - rate * (np.bincount(cols, g[rows], n_features) + penalty * yw)
-        v = yv - rate * (fires.T @ g + penalty * yv)
-        b = yb - rate * g.sum()
-    return w, v, float(b)
+def posteriors(hits: DataFrame, share: float) -> dict[int, float]:
+    """What the label model, fitted to all rows, says to each combination of votes; rows that are equal to it reach the driver as one, with their count."""
+    kinds = sorted(hits.groupBy("votes", "gold", "fold").agg(F.count("*").alias("n")).collect())
+    votes, gold, fold, n = (np.array(c) for c in zip(*kinds, strict=True))
+    fires = ((votes[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
+    return dict(zip(votes.tolist(), label_model(fires, gold, n.astype(float), share, fold).tolist(), strict=True))
+
+
+def fit_linear(hits: DataFrame, post: dict[int, float], n_features: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression on soft labels with an L2 penalty, over all rows where they are.
+
+    A row with posterior p is a toxic one of weight p and a clean one of weight 1 - p.
+    """
+    soft = F.broadcast(hits.sparkSession.createDataFrame(list(post.items()), "votes int, p double"))
+    voters = F.filter(F.array(*(F.when(F.col("votes").bitwiseAND(1 << j) > 0, F.lit(n_features + j)) for j in range(len(VOTERS)))), lambda i: i.isNotNull())
+    sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight"))))
+    rows = hits.join(soft, "votes").select(F.concat("found", voters).cast("array<string>").alias("names"), sides.alias("side")).select("names", "side.*")
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_features + len(VOTERS))], "names", "features").transform(rows)
+    fitted = LogisticRegression(weightCol="weight", regParam=PENALTY, standardization=False, maxIter=STEPS, tol=GAIN).fit(vectors.select("features", "label", "weight"))
+    weights = fitted.coefficients.toArray()
+    return weights[:n_features], weights[n_features:], float(fitted.intercept)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
-    """Train on the labelled rows whose id usable() accepts; without both labels the seed lexicon alone speaks.
+    """Train on all labelled rows whose id usable() accepts; without both labels the seed lexicon alone speaks.
 
     Labels of one half of these rows make the lexicons, those of the other half fit the label model;
     the classifier learns what the voters' posterior says, on all of them.
     """
-    spark = docs.sparkSession
     rows, n_pos, n_neg = training_rows(docs, labels, usable)
     if not n_pos or not n_neg:
         return Model(voter_weights=np.array([3.0, 1.0] + [0.0] * 10 + [1.0, 0.0, -1.0]), bias=-2.0)
     model = mine(rows)
-    sample = rows.mapInArrow(_hit_batches(spark.sparkContext.broadcast(model)), "doc_id long, toxic int, found array<int>, fires array<tinyint>").toPandas().sort_values("doc_id", kind="stable")
-    fires = np.array(sample["fires"].tolist(), float).reshape(len(sample), len(VOTERS))
-    toxic = sample["toxic"].to_numpy()
-    # Labels of the mining half made the lexicons; voters are judged on the other half's, which the posterior does not see.
-    judged = np.array([_half(int(i)) for i in sample["doc_id"]]) == 1
-    share = n_pos / (n_pos + n_neg)
-    weight = np.where(toxic == 1, share / max(1, (toxic == 1).sum()), (1 - share) / max(1, (toxic == 0).sum())) * len(sample)
-    post = label_model(fires, np.where(judged, toxic, -1), weight, share)
-    found = [np.asarray(f, np.int64) for f in sample["found"]]
-    model.weights, model.voter_weights, model.bias = fit_linear(found, fires, post, weight, len(model.weights))
+    hits = materialize(rows.mapInArrow(_hit_batches(docs.sparkSession.sparkContext.broadcast(model)), HITS), "hits")
+    discard(rows)
+    model.weights, model.voter_weights, model.bias = fit_linear(hits, posteriors(hits, n_pos / (n_pos + n_neg)), len(model.weights))
+    discard(hits)
     return model
 
 

@@ -1,11 +1,13 @@
 """Operators that learn: held-out accuracy, and defined results for odd rows."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from leakloom.llm import langid, toxicity
 
 SYLLABLES = {
@@ -101,6 +103,39 @@ def test_toxicity_rows_that_repeat_an_id_are_learned_once(spark, labelled):
     assert toxicity.without_toxic(named, toxicity.Model(bias=-5.0), 0.3).collect() == named.collect()
 
 
+def test_toxicity_is_learned_from_every_labelled_row(spark, tmp_path, monkeypatch):
+    """Every labelled row that is not held out is learned from, however many there are and however large their ids."""
+    rows = [(i + (1 << 40) * (i % 2), f"word{i % 50} {'you grumpf' if i % 20 == 0 else 'a fine day'}", int(i % 20 == 0)) for i in range(17_000)]
+    docs, labels = (spark.createDataFrame([(x[0], x[k]) for x in rows], f"doc_id long, {c}") for k, c in ((1, "text string"), (2, "toxic int")))
+    mine = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    toxic = sum(x[2] for x in mine)
+    assert len(mine) - toxic > 12_000
+    learned, n_pos, n_neg = toxicity.training_rows(docs, labels, lambda c: ~toxicity.held_out(c))
+    assert (learned.count(), n_pos, n_neg) == (len(mine), toxic, len(mine) - toxic)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    seen, posteriors, fit = [], toxicity.posteriors, toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "posteriors", lambda h, share: seen.append((h.count(), share)) or posteriors(h, share))
+    monkeypatch.setattr(toxicity, "fit_linear", lambda h, *more: seen.append((h.count(), toxic / len(mine))) or fit(h, *more))
+    left = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert seen == [(len(mine), toxic / len(mine))] * 2
+    assert sorted(x.doc_id for x in left) == sorted(i for i, _, bad in rows if not bad)
+
+
+def test_linear_classifier_is_at_its_optimum(spark):
+    """The gradient of the penalised mean loss on soft labels vanishes; equal rows and rows without features count too."""
+    r = np.random.default_rng(8)
+    n, k = 400, 6
+    votes, found = r.integers(0, 8, n), [sorted(np.flatnonzero(r.random(k) < 0.4).tolist()) for _ in range(n)]
+    post = {int(v): float(p) for v, p in zip(range(8), r.uniform(0.1, 0.9, 8), strict=True)}
+    hits = spark.createDataFrame([(int(v), -1, 0, f) for v, f in zip(votes, found, strict=True)], toxicity.HITS)
+    w, v, b = toxicity.fit_linear(hits, post, k)
+    x = np.array([[i in f for i in range(k)] for f in found], float)
+    fires = ((votes[:, None] >> np.arange(len(toxicity.VOTERS))) & 1).astype(float)
+    off = (1 / (1 + np.exp(-(x @ w + fires @ v + b))) - np.array([post[int(i)] for i in votes])) / n
+    slopes = np.concatenate([x.T @ off + toxicity.PENALTY * w, fires.T @ off + toxicity.PENALTY * v, [off.sum()]])
+    assert len(w) == k and len(v) == len(toxicity.VOTERS) and np.abs(slopes).max() < 1e-3 and np.abs(v[:3]).max() > 0.1
+
+
 def test_language_on_held_out_rows(spark, labelled, odd, empty):
     docs, _ = labelled
     field = langid.train(docs, lambda c: ~langid.held_out(c))
