@@ -23,9 +23,11 @@ from leakloom.session import materialize, ship_package
 
 #: Words of a window and of a shingle; a shorter item is one window, a shorter window one shingle.
 WINDOW, SHINGLE = 10, 5
-#: Bits of the Bloom filter for each of the benchmark's shingles, and the least and most bits in all: at most 64 MB are
-#: broadcast. Beyond 33 million shingles more of the texts pass the filter; what it lets pass is joined in any case.
-BLOOM_PER, BLOOM_LEAST, BLOOM_MOST = 16, 1 << 20, 1 << 29
+#: Bits of the Bloom filter for each of the benchmark's shingles, and the least and most bits in all: at most 16 MB are
+#: gathered and broadcast. Beyond 8 million shingles more of the texts pass the filter; what it lets pass is joined in any case.
+BLOOM_PER, BLOOM_LEAST, BLOOM_MOST = 16, 1 << 20, 1 << 27
+#: Bytes of the filter that one task puts together, of which the driver gets a row.
+BLOCK = 1 << 16
 # Fixed value: the characters between words, once A-Z are lower-cased.
 BETWEEN = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,16 +65,24 @@ def _shingle_batches(k: int, size: int) -> Callable:
     return run
 
 
+def _block(cells: pa.Table) -> pa.Table:
+    """The bytes of a block of the filter, from its words of 64 bits."""
+    at, out = cells["cell"].to_numpy() % (BLOCK // 8), np.zeros(BLOCK // 8, "<i8")
+    out[at] = cells["set"].to_numpy()
+    return pa.table({"block": cells["block"][:1], "held": pa.array([out.tobytes()], pa.binary())})
+
+
 def bloom(windows: DataFrame, k: int = SHINGLE) -> np.ndarray:
-    """The Bloom filter of all shingles of the windows: BLOOM_MOST / 64 rows at most are gathered."""
+    """The Bloom filter of all shingles of the windows; tasks make its blocks, and BLOOM_MOST / 8 bytes at most are gathered."""
     each = windows.select("win", "size").distinct()
     shingles = each.agg(F.sum(F.col("size") - F.least("size", F.lit(k)) + 1)).first()[0] or 0
     size = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (BLOOM_PER * shingles).bit_length()))
     bits = each.mapInArrow(_shingle_batches(k, size), "bit long")
-    cells = bits.groupBy(F.expr("bit div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("set")).toPandas()
-    out = np.zeros(size // 64, np.int64)
-    out[cells["cell"].to_numpy()] = cells["set"].to_numpy()
-    return out.view(np.uint8)
+    cells = bits.groupBy(F.expr("bit div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("set"))
+    out = np.zeros(size // 8, np.uint8)
+    for r in cells.withColumn("block", F.expr(f"cell div {BLOCK // 8}")).groupBy("block").applyInArrow(_block, "block long, held binary").collect():
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["held"], np.uint8)
+    return out
 
 
 def _held(bloom_bytes: np.ndarray, g: np.ndarray) -> np.ndarray:

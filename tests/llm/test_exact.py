@@ -77,6 +77,18 @@ def test_contamination_of_partitions_with_one_short_document(spark):
         assert got == (want if step == 1 else {n: (n, 0, []) for n in range(13)})
 
 
+def test_the_filter_of_a_benchmark_is_put_together_by_tasks(spark, monkeypatch):
+    """The driver gets the filter in blocks, a few rows, not a row for each of its cells."""
+    kind, gathered = type(spark.range(0)), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: gathered.append(collect(self)) or gathered[-1])
+    texts = [" ".join(f"i{i}w{j}" for j in range(30)) for i in range(400)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    out = decontam.contamination(spark.createDataFrame([(i, f"a {t[:-1]}") for i, t in enumerate(texts[:40])] + [(50, "a b")], "doc_id long, text string"), bench)
+    assert sum(map(len, gathered)) < 40
+    assert {x.doc_id: (x.n_hit, x.item_ids) for x in out.collect()} == {i: (29, [str(i)]) for i in range(40)} | {50: (0, [])}
+
+
 def test_token_counts_against_the_library(spark, odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = tokens.tokenizer(path)
