@@ -89,6 +89,21 @@ def test_the_filter_of_a_benchmark_is_put_together_by_tasks(spark, monkeypatch):
     assert {x.doc_id: (x.n_hit, x.item_ids) for x in out.collect()} == {i: (29, [str(i)]) for i in range(40)} | {50: (0, [])}
 
 
+def test_contamination_of_texts_that_the_benchmark_holds_whole(spark):
+    """A long run is not carried with each of its shingles; words are counted once over the pieces it is cut in."""
+    r = random.Random(8)
+    words = [f"w{r.randrange(4000)}" for _ in range(9000)]
+    texts = {1: words, 2: words[:7] + ["x"] + words[7:], 3: words[2000:2009], 4: words[1020:1030] + ["x"] + words[-12:]}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words)), (3, "w w w")], "item_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_hit, x.item_ids) for x in decontam.contamination(docs, bench).collect()}
+    assert got == {1: (9000, 9000, ["1", "2"]), 2: (9001, 8993, ["1", "2"]), 3: (9, 0, []), 4: (23, 22, ["1", "2"])}
+    runs = spark.createDataFrame([(7, " ".join(words), 1)], "run_id long, run string, docs long")
+    spots = decontam.run_shingles(runs, [3, 10]).collect()
+    assert {len(x.around) for x in spots} == {3, *range(10, 16)}
+    assert sorted((x.at, len(x.around) == 3, " ".join(x.around)) for x in spots) == sorted((i, n == 3, " ".join(words[max(0, i - n + s) : i + n])) for n, s in ((3, 3), (10, 5)) for i in range(9000 - s + 1))
+
+
 def test_token_counts_against_the_library(spark, odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = tokens.tokenizer(path)
